@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, quality, toxicity
+from . import bpe, decontam, neardup, quality, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.components(_read(spark, sf_dir, "documents").select("doc_id", "text"), words=3, percent=85)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, _read(spark, sf_dir, "labels"))
@@ -51,7 +55,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op3_decontamination, op9_toxicity, op10_bpe)}
+    return {f.__name__: f for f in (op1_quality, op3_decontamination, op4_near_duplicates, op9_toxicity, op10_bpe)}
 
 
 #: Words of a text, windows of an item and their occurrences, by joining on the window's words.
@@ -78,5 +82,25 @@ from dw left join pos using (doc_id) left join items using (doc_id)
 """
 
 
+#: Shared shingles of all pairs, then reachability.
+OP4_SQL = r"""
+with recursive w as (
+  select doc_id, coalesce(list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> ''), []) as w
+  from documents),
+s as (
+  select distinct doc_id, array_to_string(list_slice(w, i, i + 2), ' ') as s
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) as i from w where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+e as (
+  select a.doc_id as a, b.doc_id as b
+  from s a join s b on a.s = b.s and a.doc_id <> b.doc_id join n x on x.doc_id = a.doc_id join n y on y.doc_id = b.doc_id
+  group by a.doc_id, b.doc_id, x.n, y.n
+  having 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+r(doc_id, c) as (select doc_id, doc_id from documents union select r.doc_id, e.b from r join e on r.c = e.a)
+select r.doc_id, cast(coalesce(max(n.n), 0) as bigint) as n_shingles, min(c) as component_id, r.doc_id = min(c) as kept
+from r left join n on n.doc_id = r.doc_id group by r.doc_id
+"""
+
+
 def oracle_sql() -> dict:
-    return {"op3_decontamination": OP3_SQL}
+    return {"op3_decontamination": OP3_SQL, "op4_near_duplicates": OP4_SQL}
