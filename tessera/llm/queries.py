@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, neardup, quality, toxicity
+from . import bpe, decontam, licences, neardup, quality, secrets, toxicity, urlfilter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -38,6 +38,46 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.components(_read(spark, sf_dir, "documents").select("doc_id", "text"), words=3, percent=85)
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, secrets.train(secrets.labelled_samples(docs)))
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    base = secrets.listed(F.filter("spans", lambda s: s["kind"] < 3))
+    return found.select(
+        "doc_id",
+        of(0).alias("n_assign"),
+        of(1).alias("n_access"),
+        of(2).alias("n_hex"),
+        F.sha2(base.cast("binary"), 256).alias("base_sha256"),
+        secrets.listed(F.col("spans")).alias("spans"),
+    )
+
+
+#: The rules of the contract, and the method's own for URLs that none of these fits.
+OP6_RULES = (
+    urlfilter.host_rule("allow", "org/"),
+    urlfilter.host_rule("block", "example.org/es/"),
+    urlfilter.host_rule("block", "example.org/en/1"),
+    urlfilter.host_rule("allow", "com/fr/"),
+    urlfilter.host_rule("block", "com/de/"),
+    *urlfilter.PATTERNS,
+)
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.classify(_read(spark, sf_dir, "pages").select("page_id", "url"), OP6_RULES, keep=["page_id"])
+
+
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licences.scan(_read(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    return out.select(
+        "doc_id",
+        F.size("licences").cast("long").alias("n_licences"),
+        "licence",
+        F.array_join(F.transform("licences", lambda h: F.concat_ws(":", h["line"].cast("string"), h["licence"], h["dice"].cast("string"))), ",").alias("licences"),
+    )
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, _read(spark, sf_dir, "labels"))
@@ -55,7 +95,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op3_decontamination, op4_near_duplicates, op9_toxicity, op10_bpe)}
+    return {f.__name__: f for f in (op1_quality, op3_decontamination, op4_near_duplicates, op5_secrets, op6_url_filter, op7_licences, op9_toxicity, op10_bpe)}
 
 
 #: Words of a text, windows of an item and their occurrences, by joining on the window's words.
@@ -102,5 +142,55 @@ from r left join n on n.doc_id = r.doc_id group by r.doc_id
 """
 
 
+_PATTERN_ROWS = ", ".join(f"({i}, '{r.action}', '{r.regex}', {r.weight})" for i, r in enumerate(OP6_RULES) if r.tier == 1)
+_HOST_ROWS = ", ".join(
+    f"({i}, '{r.action}', '{r.name}', '{r.name.partition('/')[0]}', '/{r.name.partition('/')[2]}')" for i, r in enumerate(OP6_RULES) if r.tier == 0
+)
+OP6_SQL = rf"""
+with u as (
+  select page_id, row_number() over () as k, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as t from pages),
+p as (
+  select page_id, k, translate(regexp_extract(t, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(substr(t, length(regexp_extract(t, '^[^/?#]*')) + 1), '^[^?#]*') as path,
+    translate(regexp_extract(t, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || substr(t, length(regexp_extract(t, '^[^/?#]*')) + 1) as text
+  from (select page_id, k, coalesce(t, '') as t from u)),
+h as (
+  select k, action, name from p, (values {_HOST_ROWS}) r(i, action, name, rhost, rpath)
+  where (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath)
+  qualify row_number() over (partition by k order by length(name) desc, i) = 1),
+m as (
+  select k, action from p, (values {_PATTERN_ROWS}) r(i, action, regex, weight)
+  where text <> '' and regexp_matches(text, regex)
+  qualify row_number() over (partition by k order by weight desc, i) = 1)
+select page_id, host, path, h.name as rule, coalesce(h.action, m.action, 'allow') as verdict
+from p left join h using (k) left join m using (k)
+"""
+
+_TEMPLATE_ROWS = ", ".join(
+    "('%s', [%s])" % (k, ", ".join(f"'{g}'" for g in licences.bigrams_of(v))) for k, v in sorted(licences.TEMPLATES.items())
+)
+OP7_SQL = rf"""
+with t(licence, tg) as (values {_TEMPLATE_ROWS}),
+unit as (
+  select doc_id, k, unnest(range(0, len(l))) as line, unnest(l) as s
+  from (select doc_id, row_number() over () as k, list_prepend(coalesce(text, ''), string_split(coalesce(text, ''), chr(10))) as l from documents)),
+w as (
+  select k, line, list_filter(regexp_split_to_array(translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda x: x <> '') as w
+  from unit),
+g as (select k, line, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as g from w where len(w) > 1),
+d as (
+  select k, line, licence, len(list_intersect(g, tg)) as s, len(g) + len(tg) as n from g, t
+  where len(g) * 120 >= len(tg) * 80 and len(g) * 80 <= len(tg) * 120),
+b as (
+  select k, line, licence, cast(s * 2000 // n as int) as dice from d where s * 200 >= n * 80
+  qualify row_number() over (partition by k, line order by s * 2000 // n desc, licence) = 1),
+a as (
+  select k, count(*) as n, string_agg(line || ':' || licence || ':' || dice, ',' order by line) as l, arg_min(licence, (-dice, licence)) as best
+  from b group by k)
+select doc_id, coalesce(n, 0) as n_licences, best as licence, coalesce(l, '') as licences
+from (select distinct doc_id, k from unit) left join a using (k)
+"""
+
+
 def oracle_sql() -> dict:
-    return {"op3_decontamination": OP3_SQL, "op4_near_duplicates": OP4_SQL}
+    return {"op6_url_filter": OP6_SQL, "op7_licences": OP7_SQL, "op3_decontamination": OP3_SQL, "op4_near_duplicates": OP4_SQL}
