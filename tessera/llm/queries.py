@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, licences, neardup, quality, secrets, toxicity, urlfilter
+from . import audio, bpe, decontam, licences, neardup, quality, runtime, secrets, tokencount, toxicity, urlfilter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,6 +20,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(*quality.verdict(scored))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = tokencount.read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    return tokencount.count(_read(spark, sf_dir, "documents").select("doc_id", "text"), pieces, keep=["doc_id"])
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontam.annotate(docs, _read(spark, sf_dir, "benchmark"), keep=["doc_id"])
@@ -78,6 +83,14 @@ def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no recordings: each vector of `embeddings` is played as a melody. Queries are the rows
+    whose id is divisible by 20, against all rows."""
+    prints = audio.fingerprints(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding", audio.render, keep=["vec_id"])
+    prints = runtime.Scratch(spark, "prints").table(prints, "prints")
+    return audio.search(prints, "vec_id", F.col("vec_id") % 20 == 0)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, _read(spark, sf_dir, "labels"))
@@ -95,7 +108,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op3_decontamination, op4_near_duplicates, op5_secrets, op6_url_filter, op7_licences, op9_toxicity, op10_bpe)}
+    return {f.__name__: f for f in (op1_quality, op2_token_counts, op3_decontamination, op4_near_duplicates, op5_secrets, op6_url_filter, op7_licences, op8_audio_fingerprints, op9_toxicity, op10_bpe)}
 
 
 #: Words of a text, windows of an item and their occurrences, by joining on the window's words.
