@@ -103,7 +103,7 @@ def copy_to(df: DataFrame, path: str, options: CopyOptions | None = None) -> Non
     """COPY TO, beyond the original: a folder of text or CSV files."""
     o = options or CopyOptions()
     if o.format == "csv":
-        df.write.mode("overwrite").option("sep", o.delimiter or ",").option("header", bool(o.header)).option("emptyValue", '""').csv(path)
+        df.write.mode("overwrite").option("sep", o.delimiter or ",").option("header", bool(o.header)).option("escape", o.escape or o.quote).option("emptyValue", '""').csv(path)
         return
     def field_text(c):
         t = F.col(f"`{c}`").cast("string")
