@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .interval import let
+
 EPSILON = 1.0e-6
 LEAST = F.least
 MOST = F.greatest
@@ -147,6 +149,10 @@ def lseg_perpendicular(s, t):
 
 
 def closest_on_lseg(p, s):
+    return let(F.struct(p.alias("p"), s.alias("s")), lambda v: _closest_on_lseg(v["p"], v["s"]))
+
+
+def _closest_on_lseg(p, s):
     dx, dy = _direction(s)
     n = dx * dx + dy * dy
     t = F.when(n == 0, 0.0).otherwise(((p["x"] - s["a"]["x"]) * dx + (p["y"] - s["a"]["y"]) * dy) / n)
@@ -155,7 +161,7 @@ def closest_on_lseg(p, s):
 
 
 def point_lseg_distance(p, s):
-    return point_distance(p, closest_on_lseg(p, s))
+    return let(closest_on_lseg(p, s), lambda c: point_distance(p, c))
 
 
 def point_on_lseg(p, s):
@@ -173,6 +179,10 @@ def _crossing(s, t):
 
 def lseg_intersection(s, t):
     """The common point, NULL if none or if parallel."""
+    return let(F.struct(s.alias("s"), t.alias("t")), lambda v: _lseg_intersection(v["s"], v["t"]))
+
+
+def _lseg_intersection(s, t):
     ok, u, v = _crossing(s, t)
     dx, dy = _direction(s)
     inside = ok & le(F.lit(0.0), u) & le(u, F.lit(1.0)) & le(F.lit(0.0), v) & le(v, F.lit(1.0))
@@ -261,6 +271,10 @@ def box_overlaps(b, c):
 
 
 def box_intersection(b, c):
+    return let(F.struct(b.alias("b"), c.alias("c")), lambda v: _box_intersection(v["b"], v["c"]))
+
+
+def _box_intersection(b, c):
     high = point(LEAST(b["high"]["x"], c["high"]["x"]), LEAST(b["high"]["y"], c["high"]["y"]))
     low = point(MOST(b["low"]["x"], c["low"]["x"]), MOST(b["low"]["y"], c["low"]["y"]))
     return F.when(box_overlaps(b, c), F.struct(high.alias("high"), low.alias("low")))
@@ -489,6 +503,10 @@ def polygon_overlaps(g, h):
 
 
 def polygon_distance(g, h):
+    return let(F.struct(g.alias("g"), h.alias("h")), lambda v: _polygon_distance(v["g"], v["h"]))
+
+
+def _polygon_distance(g, h):
     pairs = F.flatten(F.transform(edges(g), lambda e: F.transform(edges(h), lambda f: lseg_distance(e, f))))
     return F.when(polygon_overlaps(g, h), 0.0).otherwise(F.array_min(pairs))
 

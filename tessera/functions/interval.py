@@ -26,6 +26,11 @@ def span(i: Column) -> Column:
     return i["months"].cast("decimal(38,0)") * MONTH + i["days"].cast("decimal(38,0)") * DAY + i["micros"]
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often `use` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def add(a: Column, b: Column) -> Column:
     return make(a["months"] + b["months"], a["days"] + b["days"], a["micros"] + b["micros"])
 
@@ -40,6 +45,10 @@ def subtract(a: Column, b: Column) -> Column:
 
 def multiply(a: Column, f) -> Column:
     """Fractions of months become days, fractions of days become time."""
+    return let(a, lambda x: _multiply(x, f))
+
+
+def _multiply(a: Column, f) -> Column:
     f = f if isinstance(f, Column) else F.lit(float(f))
     months, days = a["months"] * f, a["days"] * f
     m = F.signum(months) * F.floor(F.abs(months))
@@ -58,6 +67,10 @@ def _whole(x: Column, unit: int) -> Column:
 
 
 def justify_hours(i: Column) -> Column:
+    return let(i, _justify_hours)
+
+
+def _justify_hours(i: Column) -> Column:
     d = _whole(i["micros"], DAY)
     days, rest = i["days"] + d, i["micros"] - d * DAY
     up = (days > 0) & (rest < 0)
@@ -66,6 +79,10 @@ def justify_hours(i: Column) -> Column:
 
 
 def justify_days(i: Column) -> Column:
+    return let(i, _justify_days)
+
+
+def _justify_days(i: Column) -> Column:
     m = _whole(i["days"], 30)
     months, rest = i["months"] + m, i["days"] - m * 30
     up = (months > 0) & (rest < 0)
@@ -96,7 +113,12 @@ def between(later: Column, earlier: Column) -> Column:
 def age(later: Column, earlier: Column) -> Column:
     """The difference field by field, borrowing from the months' lengths."""
     swap = later < earlier
-    a, b = F.when(swap, earlier).otherwise(later), F.when(swap, later).otherwise(earlier)
+    pair = F.struct(F.when(swap, earlier).otherwise(later).alias("a"), F.when(swap, later).otherwise(earlier).alias("b"))
+    out = let(pair, lambda p: _age(p["a"], p["b"]))
+    return F.when(swap, negate(out)).otherwise(out)
+
+
+def _age(a: Column, b: Column) -> Column:
     us = lambda t: F.unix_micros(t.cast("timestamp")) - F.unix_micros(F.to_date(t).cast("timestamp"))
     clock = us(a) - us(b)
     borrow_day = (clock < 0).cast("int")
@@ -104,13 +126,16 @@ def age(later: Column, earlier: Column) -> Column:
     borrow_month = (days < 0).cast("int")
     days = days + borrow_month * F.dayofmonth(F.last_day(F.to_date(b)))
     months = (F.year(a) - F.year(b)) * 12 + F.month(a) - F.month(b) - borrow_month
-    out = make(months, days, clock + borrow_day * DAY)
-    return F.when(swap, negate(out)).otherwise(out)
+    return make(months, days, clock + borrow_day * DAY)
 
 
 def text(i: Column) -> Column:
     """The output form: years, mons, days and a clock."""
-    plural = lambda n, word: F.when(n != 0, F.concat(n.cast("string"), F.lit(" " + word), F.when(F.abs(n) == 1, "").otherwise("s")))
+    return let(i, _text)
+
+
+def _text(i: Column) -> Column:
+    plural = lambda n, word: F.when(n != 0, F.concat(n.cast("string"), F.lit(" " + word), F.when(n == 1, "").otherwise("s")))
     y, m = _whole(i["months"], 12), i["months"] - _whole(i["months"], 12) * 12
     us = F.abs(i["micros"])
     h, mi, s, f = us / 3_600_000_000, us / 60_000_000 % 60, us / 1_000_000 % 60, us % 1_000_000
