@@ -70,7 +70,7 @@ class Database:
     def over(cls, spark: SparkSession, sf_dir: str, tables: list[str] | None = None) -> Database:
         """A database whose tables are the Parquet files of a folder."""
         db = cls(spark)
-        for t in tables or TABLES:
+        for t in TABLES if tables is None else tables:
             spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
         return db
 

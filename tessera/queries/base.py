@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from ..database import Database
+import re
+
+from ..database import TABLES, Database
 
 
 class Texts:
@@ -18,6 +20,7 @@ class Texts:
 
     def queries(self) -> dict:
         def make(text):
-            return lambda spark, sf_dir: Database.over(spark, sf_dir).query(text)
+            used = sorted(set(re.findall(r"\w+", text.lower())) & set(TABLES))
+            return lambda spark, sf_dir: Database.over(spark, sf_dir, used).query(text)
 
         return {k: make(v) for k, v in self.run.items()}
