@@ -1,36 +1,18 @@
-"""Session helpers: shipping the package to executors, scratch tables, positional column handling."""
+"""Session helpers: scratch tables in the shared folder, Arrow passes with columns by position."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that Python workers import it
-    by reference and keep their module-level caches between tasks."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    path = os.path.join(tempfile.mkdtemp(prefix="tessera-ship-"), "tessera.zip")
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, f"{root.name}/{f.relative_to(root)}")
-    sc.addPyFile(path)
-    _shipped.add(sc.applicationId)
-
+from ..ship import ship
 
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster (spark.checkpoint.dir); a local one only where that is unset."""
