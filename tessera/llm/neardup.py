@@ -3,11 +3,13 @@
 One pass over the texts computes each document's set of word shingles (as 64-bit hashes), a 128-bit digest
 of the set and its SuperMinHash bands. Documents with equal sets are one class from then on, so exact
 copies cost nothing further, however many there are. Classes that share a band are candidates. Inside a
-bucket of candidates no pairs are enumerated at first: every member is compared to one centre, on the full
-sets, and the confirmed links are joined to components. A second centre serves the buckets that still hold
-several components. Only what then remains unconnected within a bucket is compared pair by pair, after
-buckets of over `LARGE` members have been divided by longer bands of a second signature. A pair inside one
-component needs no comparison, as it cannot change the result.
+bucket of candidates pairs are never enumerated: every member is compared to one centre, on the full sets,
+and the confirmed links are joined to components. A second centre serves the buckets that still hold
+several components. The members of the buckets that then remain open are joined exactly by prefix
+filtering: with a set's shingles in the order of their rarity, two sets that reach the threshold share one
+among the first few of each, at positions that leave room for the overlap. Pairs inside one component need
+no comparison, as they cannot change the result, so members of a shingle's largest component only meet the
+others. Near copies with many changes of their own start with shingles that no other has, and meet nobody.
 
 The number of bands follows from the threshold: a pair at the threshold is missed with a probability of at
 most MISS. Sets of candidates are fetched by a join; ids are broadcast only below BROADCAST_IDS of them.
@@ -24,7 +26,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,8 +36,6 @@ from . import textkernel as tk
 SHARD_BYTES = 1 << 20
 ROWS = 5
 MISS = 1e-7
-LARGE = 48
-FINE_BANDS, FINE_ROWS = 20, 12
 BROADCAST_IDS = 500_000
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _ODD = np.array([0x9E3779B97F4A7C15 + 0x6A09E667F3BCC909 * k & (1 << 64) - 1 | 1 for k in range(64)], np.uint64)
@@ -163,15 +163,6 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     return runtime.map_arrow(docs, ["text"], _per_shard(0, f), [("set", T.ArrayType(T.LongType()))], ["id"])
 
 
-def _fine_bands(docs: DataFrame, words: int) -> DataFrame:
-    def f(data, offsets):
-        v, off = shingles(data, offsets, words)
-        b = bands_of(superminhash(v, off, FINE_BANDS * FINE_ROWS, seed=1), FINE_ROWS)
-        return [_lists(b.reshape(-1), np.arange(len(off)) * FINE_BANDS)]
-
-    return runtime.map_arrow(docs, ["text"], _per_shard(0, f), [("fine", T.ArrayType(T.LongType()))], ["id"])
-
-
 class _Finder:
     def __init__(self, docs: DataFrame, words: int, percent: int):
         self.docs, self.words, self.percent = docs, words, percent
@@ -266,21 +257,26 @@ class _Finder:
         )
 
     def _rest(self, rows: DataFrame) -> DataFrame:
-        """All pairs of different components in the open buckets; large buckets are divided first."""
-        key = rows.where(F.col("k") <= LARGE).select("bk", F.lit(0).cast("long").alias("sub"), "rep", "n", "comp")
-        large = rows.where(F.col("k") > LARGE)
-        ids = self.scratch.table(large.select(F.col("rep").alias("id")).distinct(), "large-ids")
-        if not ids.isEmpty():
-            fine = self.scratch.table(_fine_bands(self.of_ids(ids), self.words).select(F.col("id").alias("rep"), "fine"), "fine")
-            key = key.unionAll(large.join(fine, "rep").select("bk", F.explode("fine").alias("sub"), "rep", "n", "comp"))
-        other = key.toDF("bk", "sub", "rep2", "n2", "comp2")
-        return (
-            key.join(other, ["bk", "sub"])
-            .where("rep < rep2 and comp <> comp2")
-            .where(self.close("n", "n2"))
-            .select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
-            .distinct()
-        )
+        """All pairs of different components among the open buckets' members that may reach the threshold."""
+        s, p = self.scratch, self.percent
+        reps = s.table(rows.select("rep", "comp").distinct(), "open-members")
+        sets = s.table(_sets(self.of_ids(reps.select(F.col("rep").alias("id"))), self.words), "open-sets")
+        sets = sets.join(reps, sets["id"] == reps["rep"]).select("rep", "comp", F.xxhash64("set").alias("h"), F.size("set").alias("n"), "set")
+        tokens = sets.select("rep", "comp", "h", "n", F.explode("set").alias("token"))
+        shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+        own = Window.partitionBy("rep", "h")
+        # shingles that no other member has come first: they take up places, but need no rows
+        place = F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("df", "token"))
+        prefix = tokens.join(shared, "token").withColumn("i", place).where(F.expr(f"i <= n - (n * {p} + 99) div 100 + 1"))
+        prefix = s.table(prefix.select("token", "rep", "n", "i", "comp"), "prefixes")
+        sizes = prefix.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
+        mixed = sizes.groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("major"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+        minor = prefix.join(mixed.select("token", "major"), "token").where("comp <> major").drop("major")
+        other = prefix.toDF("token", "rep2", "n2", "i2", "comp2")
+        overlap = f"((n + n2) * {p} + {99 + p}) div {100 + p}"
+        room = F.expr(f"comp <> comp2 and i <= n - {overlap} + 1 and i2 <= n2 - {overlap} + 1") & self.close("n", "n2")
+        found = minor.join(other, (minor["token"] == other["token"]) & room)
+        return found.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
