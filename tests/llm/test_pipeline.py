@@ -1,0 +1,22 @@
+import importlib
+
+from pyspark.sql import functions as F
+
+
+def test_stages(spark):
+    pipeline = importlib.import_module("corpus_pipeline")
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    assert [n for n, _ in pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "secrets", "encoding"]
+    at, counts = docs, [docs.count()]
+    for name, f in pipeline.STAGES:
+        out = f(spark, at, d)
+        if name != "encoding":
+            assert out.columns == docs.columns and [t for _, t in out.dtypes] == [t for _, t in docs.dtypes]
+        out = out.cache()
+        counts.append(out.count())
+        at = out
+    assert counts[0] >= counts[1] >= counts[2] >= counts[3] == counts[4] == counts[5] > 0
+    again = pipeline.run(spark, d)
+    assert again.count() == counts[-1]
+    assert again.where(F.size("ids") != F.col("n_tokens")).count() == 0
