@@ -6,9 +6,8 @@ sixteen of them make a packed 32-bit integer per frame position. Two recordings
 of the offsets at which they have equal integers; the best offset's overlap is confirmed by its bit errors.
 
 Recordings with equal fingerprints are one class, found by an aggregate, and only classes are compared, so
-copies cost nothing however many there are. An integer that more than COMMON classes share is used together
-with its successor, and with the one after that, as far as it takes; a class whose integers are common
-throughout is thus still found by its longer keys.
+copies cost nothing however many there are. Classes are candidates if they share RUN integers in a row;
+each such run counts where it first stands in a recording, so a held tone or silence does not multiply.
 
 Defined results: a null, empty, unreadable or too short recording has no integers and aligns with nothing;
 silence has integers of its own; repeated rows are copies of a class; empty tables give empty results.
@@ -32,9 +31,9 @@ LOW, HIGH = 55.0, 3520.0
 SPAN = 16  # frames under the widest filter
 #: (kind, first pitch class, pitch classes, frames) of the filters.
 FILTERS = tuple((k % 4, (5 * k) % 12, 2 + (3 * k) % 9, (4, 8, 12, 16)[(k // 4) % 4]) for k in range(16))
-LEVELS = (-0.25, 0.0, 0.25)
+LEVELS = (-0.35, 0.15, 0.65)  # areas without sound have a ratio of 0, well inside a step
 GRAY = np.array([0, 1, 3, 2], np.uint32)
-COMMON = 50
+RUN = 3  # integers in a row that make two recordings candidates
 MAX_BIT_ERRORS = 0.2
 MIN_OVERLAP = 12
 ROWS = 32
@@ -147,13 +146,13 @@ def fingerprints(
     return runtime.map_arrow(df, [media_col], make, [(out_col, T.ArrayType(T.IntegerType()))], df.columns if keep is None else keep)
 
 
-def _keys(classes: DataFrame, length: int) -> DataFrame:
-    """(rep, pos, key): each run of `length` integers, as a hash."""
+def _keys(classes: DataFrame) -> DataFrame:
+    """(rep, key, pos): each run of RUN integers as a hash, where it first stands."""
     runs = F.transform(
-        F.sequence(F.lit(0), F.size("fp") - length),
-        lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice("fp", i + 1, F.lit(length)), F.lit(length)).alias("key")),
+        F.sequence(F.lit(0), F.size("fp") - RUN),
+        lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice("fp", i + 1, F.lit(RUN))).alias("key")),
     )
-    return classes.where(F.size("fp") >= length).select("rep", F.inline(runs))
+    return classes.where(F.size("fp") >= RUN).select("rep", F.inline(runs)).groupBy("rep", "key").agg(F.min("pos").alias("pos"))
 
 
 def align(prints: DataFrame, id_col: str, is_query, fp_col: str = "fingerprint") -> tuple[DataFrame, DataFrame]:
@@ -167,27 +166,16 @@ def align(prints: DataFrame, id_col: str, is_query, fp_col: str = "fingerprint")
         heard.groupBy("d", "d2").agg(F.min("id").alias("rep"), F.first("fp").alias("fp"), F.max("q").alias("q"), F.count(F.lit(1)).alias("n")), "classes"
     )
     members = scratch.table(heard.select("id", "d", "d2", "q").join(classes.select("d", "d2", "rep"), ["d", "d2"]).select("id", "rep", "q"), "members")
-    votes, length, todo = None, 1, classes
-    while True:
-        # keys of one integer; those of more than COMMON classes are replaced by longer ones
-        keys = _keys(todo, length)
-        often = keys.groupBy("key").agg(F.count_distinct("rep").alias("k"), F.max("rep").alias("m")).where("k > 1")
-        rare = scratch.table(keys.join(often.where(F.col("k") <= COMMON).select("key"), "key", "left_semi"), "keys")
-        left = rare.join(classes.where("q").select("rep"), "rep", "left_semi").select("key", F.col("rep").alias("a"), F.col("pos").alias("i"))
-        hits = left.join(rare.select("key", F.col("rep").alias("b"), F.col("pos").alias("j")), "key").where("a <> b")
-        now = hits.groupBy("a", "b", (F.col("i") - F.col("j")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
-        votes = now if votes is None else votes.unionAll(now)
-        common = scratch.table(keys.join(often.where(F.col("k") > COMMON).select("key"), "key", "left_semi").select("rep").distinct(), "common")
-        if common.isEmpty() or length >= 64:
-            break
-        todo, length = classes.join(common, "rep", "left_semi"), length * 4
-    best = votes.groupBy("a", "b", "offset").agg(F.sum("votes").alias("votes")).groupBy("a", "b")
-    best = best.agg(F.max_by("offset", F.struct("votes", -F.abs("offset"), "offset")).alias("offset"))
+    keys = _keys(classes)
+    asked = _keys(classes.where("q")).select("key", F.col("rep").alias("a"), F.col("pos").alias("i"))
+    hits = asked.join(keys.select("key", F.col("rep").alias("b"), F.col("pos").alias("j")), "key").where("a <> b")
+    votes = hits.groupBy("a", "b", (F.col("i") - F.col("j")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
+    best = votes.groupBy("a", "b").agg(F.max_by("offset", F.struct("votes", -F.abs("offset"), "offset")).alias("offset"))
     pairs = best.join(classes.select(F.col("rep").alias("a"), F.col("fp").alias("fa")), "a").join(classes.select(F.col("rep").alias("b"), F.col("fp").alias("fb")), "b")
     first = F.greatest("offset", F.lit(0))
     overlap = F.least(F.size("fa"), F.size("fb") + F.col("offset")) - first
     wrong = F.aggregate(
-        F.zip_with(F.slice("fa", first + 1, F.greatest(overlap, F.lit(0))), F.slice("fb", first - F.col("offset") + 1, F.greatest(overlap, F.lit(0))), lambda x, y: F.bit_count(x.bitwiseXOR(y))),
+        F.zip_with(F.slice("fa", first + 1, F.greatest(overlap, F.lit(0))), F.slice("fb", first - F.col("offset") + 1, F.greatest(overlap, F.lit(0))), lambda x, y: F.bit_count(x.bitwiseXOR(y).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))),
         F.lit(0),
         lambda s, x: s + x,
     )
