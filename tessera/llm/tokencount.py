@@ -2,11 +2,14 @@
 
 A text's pre-tokens are its words (divided by white space), each with the word-start mark before it. The
 best segmentation of a pre-token into pieces maximises the sum of the pieces' scores; the forward score at
-a position depends on nothing behind it, so distinct pre-tokens are inserted in a trie and every node gets
-its forward score, its number of pieces and the pieces still open there exactly once, however many
-pre-tokens share it. The count at a pre-token's last node is stored and summed over the documents.
+a position depends on nothing behind it, so all pre-tokens that share a prefix share its forward scores.
+The distinct pre-tokens of a shard of documents form a trie that is gone through depth first: in sorted
+order each pre-token enters the trie at the node where it leaves the one before, and only the nodes from
+there on are computed, each exactly once. The forward scores, numbers of pieces and open pieces of the
+current path are all that is held. The count at a pre-token's last node is stored and summed over the
+documents; stored counts are kept for later shards, up to WORDS of them, so memory is bounded, and no
+shuffle is needed.
 
-Each Python worker keeps one trie and drops it at NODES nodes, so memory is bounded; no shuffle is needed.
 A piece's score is the logarithm of its Zipf probability, 1 / (rank + 2), by the vocabulary's own order;
 a character without a piece falls back to its UTF-8 bytes. Equal scores go to fewer pieces.
 
@@ -24,10 +27,9 @@ from pyspark.sql import types as T
 from . import runtime
 
 MARK = "▁"
-NODES = 120_000
-WORDS = 200_000
-LONG = 48  # characters of a pre-token that the trie keeps; the rest is computed without being stored
-ROWS = 256
+WORDS = 300_000  # stored counts per Python worker
+SHARD_CHARS = 4_000_000
+LONG = 64  # longer pre-tokens are not stored beyond their shard
 
 
 def read_pieces(path: str) -> list[str]:
@@ -40,80 +42,78 @@ def read_pieces(path: str) -> list[str]:
 
 
 class Unigram:
-    """Scores of pieces, as a trie of characters; the key "" holds the score of a piece that ends there."""
+    """Scores of pieces, as nested tables: character -> (table of what may follow, score of the piece so far)."""
 
     def __init__(self, pieces: list[str]):
         total = math.log(sum(1 / (r + 2) for r in range(len(pieces) + 256)))
         self.root: dict = {}
         for r, p in enumerate(pieces):
             at = self.root
-            for c in p:
-                at = at.setdefault(c, {})
-            at.setdefault("", -math.log(r + 2) - total)
+            for c in p[:-1]:
+                at = at.setdefault(c, [{}, None])[0]
+            last = at.setdefault(p[-1], [{}, None])
+            if last[1] is None:
+                last[1] = -math.log(r + 2) - total
         self.byte = -math.log(len(pieces) + 258) - total
 
-    def step(self, state, c: str):
-        """The state behind one more character. A state: (score, pieces, open pieces' (place, score, pieces))."""
-        score, n, open_ = state
-        width = len(c.encode("utf-8", "surrogatepass"))
-        best, count = score + width * self.byte, n + width
-        going = []
-        for place, s, k in open_:
-            place = place.get(c)
-            if place is not None:
-                going.append((place, s, k))
-                own = place.get("")
-                if own is not None:
-                    s += own
-                    k += 1
-                    if s > best or (s == best and k < count):
-                        best, count = s, k
-        going.append((self.root, best, count))
-        return best, count, going
-
-    def start(self):
-        return 0.0, 0, [(self.root, 0.0, 0)]
-
-
-class Trie:
-    """Forward states of all prefixes seen, and the counts of the pre-tokens that end there."""
+    def counts(self, words: list[str]):
+        """(word, tokens) for sorted distinct words, by depth-first traversal of their trie."""
+        root, byte = self.root, self.byte
+        # by depth of the path: forward score, pieces, open pieces as (table, depth at which they began)
+        best, count = [0.0], [0]
+        going = [[(root, 0)]]
+        before = ""
+        for word in words:
+            s = MARK + word
+            # the node where this pre-token leaves the path of the last one
+            keep, most = 0, min(len(s), len(before))
+            while keep < most and s[keep] == before[keep]:
+                keep += 1
+            del best[keep + 1 :], count[keep + 1 :], going[keep + 1 :]
+            for depth in range(keep, len(s)):
+                c = s[depth]
+                width = 1 if c < "\x80" else len(c.encode("utf-8", "surrogatepass"))
+                top, n = best[depth] + width * byte, count[depth] + width
+                further = []
+                for table, start in going[depth]:
+                    found = table.get(c)
+                    if found is not None:
+                        table, own = found
+                        if own is not None:
+                            own += best[start]
+                            if own > top or (own == top and count[start] + 1 < n):
+                                top, n = own, count[start] + 1
+                        if table:
+                            further.append((table, start))
+                further.append((root, depth + 1))
+                best.append(top)
+                count.append(n)
+                going.append(further)
+            before = s
+            yield word, count[-1]
+
+
+class Counter:
+    """Counts of pre-tokens, kept between shards."""
 
     def __init__(self, model: Unigram):
         self.model = model
-        self.clear()
-
-    def clear(self) -> None:
-        self.top: list = [{}, self.model.step(self.model.start(), MARK)]
-        self.nodes = 1
-        self.counts: dict[str, int] = {}
-
-    def insert(self, word: str) -> int:
-        node = self.top
-        step = self.model.step
-        for c in word[:LONG]:
-            child = node[0].get(c)
-            if child is None:
-                child = node[0][c] = [{}, step(node[1], c)]
-                self.nodes += 1
-            node = child
-        state = node[1]
-        for c in word[LONG:]:
-            state = step(state, c)
-        if len(word) <= LONG:
-            self.counts[word] = state[1]
-        return state[1]
-
-    def count(self, text: str) -> tuple[int, int]:
-        """(pre-tokens, tokens) of a text."""
-        if self.nodes > NODES or len(self.counts) > WORDS:
-            self.clear()
-        words = text.split()
-        counts = self.counts
-        fresh = sorted(w for w in set(words) if w not in counts)
-        longer = {w: n for w in fresh if (n := self.insert(w)) and len(w) > LONG}
-        if longer:
-            return len(words), sum(longer[w] if len(w) > LONG else counts[w] for w in words)
-        return len(words), sum(map(counts.__getitem__, words))
+        self.stored: dict[str, int] = {}
+
+    def shard(self, texts: list[str]) -> list[tuple[int, int]]:
+        """(pre-tokens, tokens) of each text."""
+        if len(self.stored) > WORDS:
+            self.stored.clear()
+        words = [t.split() for t in texts]
+        stored = self.stored
+        fresh: set[str] = set().union(*words).difference(stored) if words else set()
+        own = dict(self.model.counts(sorted(fresh)))
+        stored.update(own)
+        out = [(len(w), sum(map(stored.__getitem__, w))) for w in words]
+        for w in fresh:
+            if len(w) > LONG:
+                del stored[w]
+        return out
 
 
 def count(docs: DataFrame, pieces: list[str], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -122,13 +122,22 @@ def count(docs: DataFrame, pieces: list[str], text_col: str = "text", keep: list
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
 
     def make():
-        trie = Trie(Unigram(shared.value))
+        counter = Counter(Unigram(shared.value))
+
+        def emit(texts):
+            found = counter.shard(texts)
+            return [pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())]
 
         def each(batch):
-            column = batch.column(0)
-            for i in range(0, len(column), ROWS):
-                found = [trie.count(v.as_py() or "") for v in column[i : i + ROWS]]
-                yield [pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())]
+            texts, size = [], 0
+            for v in batch.column(0):
+                texts.append(v.as_py() or "")
+                size += len(texts[-1])
+                if size > SHARD_CHARS:
+                    yield emit(texts)
+                    texts, size = [], 0
+            if texts:
+                yield emit(texts)
 
         return each
 
