@@ -172,7 +172,7 @@ def fit(
             break
         s, v = -size * d, fresh - g
         if s @ v > 1e-12:
-            pairs = [*pairs[-7:], (s, v, 1.0 / (s @ v))]
+            pairs = [*pairs[-4:], (s, v, 1.0 / (s @ v))]
         done = value - after < 1e-5 * max(1.0, abs(value))
         x, value, g = x + s, after, fresh
         if done:

@@ -31,6 +31,7 @@ PREFIXES, SUFFIXES = (3, 4, 5, 6, 7), (3, 4)
 BITS = 20
 N_OWN = 1 + len(PREFIXES) + len(SUFFIXES)
 PER_CLASS = (3000, 1000)  # most training rows of the labels 0 and 1
+LEAST = 3  # occurrences in training that a feature's weight needs
 TRAIN_WINDOW = 256  # words of a training sequence; scoring uses whole texts
 
 
@@ -120,13 +121,15 @@ def train(texts: list[str], y: np.ndarray) -> Model:
     own, _, _, words = features(data, offsets)
     state = _seeds(own, words, y)
     doc = np.repeat(np.arange(len(y)), np.diff(words))
-    # weights only for what occurs; numbers of columns: own features, then neighbours, then the bias
-    used = np.unique(own)
-    compact = np.searchsorted(used, own)
+    # weights only for features that occur LEAST times (number n stands for all others and has no weight);
+    # columns: own features, then neighbours, then the bias
+    used = np.flatnonzero(np.bincount(own.ravel(), minlength=size) >= LEAST)
     n = len(used)
+    number = np.full(size, n, np.int32)
+    number[used] = np.arange(n, dtype=np.int32)
     # training windows: pieces of documents, all of them
     cuts = np.unique(np.concatenate([words, *(np.arange(a, b, TRAIN_WINDOW) for a, b in zip(words[:-1], words[1:], strict=True))]))
-    model = Model(np.zeros(size), np.zeros(size), 0.0, np.zeros((2, 2)), np.zeros(3))
+    model = Model(np.zeros(size, np.float32), np.zeros(size, np.float32), 0.0, np.zeros((2, 2)), np.zeros(3))
     fitted = None
     for again in (False, True):
         # windows without any toxic word: one in six is enough
@@ -134,16 +137,20 @@ def train(texts: list[str], y: np.ndarray) -> Model:
         take = has | (np.arange(len(cuts) - 1) % 6 == 0)
         index = np.concatenate([np.arange(a, b) for a, b, t in zip(cuts[:-1], cuts[1:], take, strict=True) if t] or [np.zeros(0, np.int64)])
         off = np.concatenate(([0], np.cumsum(np.diff(cuts)[take])))
-        c, s = compact[index], state[index].astype(float)
+        c, s = number[own[index]], state[index].astype(float)
 
         def emission(w, c=c, off=off):
-            return w[c].sum(1) + _neighbours(w[n + c[:, 0]], off) + w[2 * n]
+            out = _neighbours(np.append(w[n : 2 * n], 0.0)[c[:, 0]], off) + w[2 * n]
+            mine = np.append(w[:n], 0.0)
+            for k in range(N_OWN):
+                out += mine[c[:, k]]
+            return out
 
         def gather(v, c=c, off=off):
             out = np.zeros(2 * n + 1)
             for k in range(N_OWN):
-                out[:n] += np.bincount(c[:, k], weights=v, minlength=n)
-            out[n : 2 * n] = np.bincount(c[:, 0], weights=_neighbours(v, off), minlength=n)
+                out[:n] += np.bincount(c[:, k], weights=v, minlength=n + 1)[:n]
+            out[n : 2 * n] = np.bincount(c[:, 0], weights=_neighbours(v, off), minlength=n + 1)[:n]
             out[2 * n] = v.sum()
             return out
 
