@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -17,10 +18,29 @@ from ..ship import ship
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster (spark.checkpoint.dir); a local one only where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = os.path.join(tempfile.gettempdir(), "tessera-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return (found or os.path.join(tempfile.gettempdir(), "tessera-checkpoints")).rstrip("/")
+
+
+#: Rows and bytes of a batch that goes to a Python worker and back. Texts are long, so Spark's own 10,000
+#: rows would make batches of tens of megabytes, held several times over by the JVM and by Python.
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batch size, unless it is set below ours already."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
+def _release() -> None:
+    """Gives freed memory back to the system: a worker lives on between stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it keeps what it has
+        pass
 
 
 class Scratch:
@@ -62,6 +82,7 @@ def map_arrow(
     names clash with the new ones do no harm: the operator's column replaces the old one.
     """
     ship(df.sparkSession)
+    _small_batches(df.sparkSession)
     made = {n.lower() for n, _ in fields}
     keep = [c for c in (keep or []) if c.lower() not in made]
     inner = df.select(
@@ -86,6 +107,8 @@ def map_arrow(
                 cols = [k.slice(at, n) for k in kept] + list(out)
                 at += n
                 yield pa.RecordBatch.from_arrays(cols, names=[f"_k{i}" for i in range(n_keep)] + [f"_o{i}" for i in range(len(out))])
+        del each
+        _release()
 
     out = inner.mapInArrow(run, schema)
     return out.select(

@@ -46,7 +46,7 @@ def test_fit_recovers_a_chain():
     off = np.array([0, 3000])
     w, trans = crf.fit(lambda w: w[x], lambda v: np.bincount(x, weights=v, minlength=2), 2, y, off)
     p = crf.marginals(w[x], off, trans)
-    assert ((p > 0.5) == y).mean() > ((x > 0) == y).mean() + 0.1
+    assert ((p > 0.5) == y).mean() > ((x > 0) == y).mean() + 0.05
 
 
 @pytest.mark.parametrize(("query", "label", "least"), [(queries.op1_quality, "quality", 0.95), (queries.op9_toxicity, "toxic", 0.95)])

@@ -39,7 +39,7 @@ def case(seed):
     make = lambda n: " ".join(r.choice(vocab) + r.choice(["", ",", ".", "\n"]) for _ in range(n))
     items = [(i, make(r.choice([0, 1, 3, 6, 9, 12]))) for i in range(12)] + [(3, make(7)), (None, make(5)), (50, None), (51, "...")]
     docs = [(d, make(r.randrange(60))) for d in range(40)]
-    docs += [(100 + i, make(4) + " " + (t or "") + " " + make(4)) for i, t in items] + [(7, None), (7, ""), (8, "..."), (9, "the")]
+    docs += [(100 + k, make(4) + " " + (t or "") + " " + make(4)) for k, (_, t) in enumerate(items)] + [(7, None), (7, ""), (8, "..."), (9, "the")]
     return docs, items
 
 
