@@ -3,11 +3,13 @@
 A recording's spectrum, frame by frame, is folded to twelve pitch classes. Filters that compare the sums of
 rectangles of the frames-by-pitches image, taken from its integral image, are quantised to two bits each;
 sixteen of them make a packed 32-bit integer per frame position. Two recordings are aligned by a histogram
-of the offsets at which they have equal integers; the best offset's overlap is confirmed by its bit errors.
+of the offsets at which they have equal integers, where a query's integer also counts as each of those that
+differ from it in some of its FLIPS least certain bits (whose filter values are next to a level). Every offset
+found is checked by the bit errors of its overlap; of those that hold, the one found most often is taken.
 
 Recordings with equal fingerprints are one class, found by an aggregate, and only classes are compared, so
-copies cost nothing however many there are. Classes are candidates if they share RUN integers in a row;
-each such run counts where it first stands in a recording, so a held tone or silence does not multiply.
+copies cost nothing however many there are. An integer counts where it first stands in a recording, so a held
+tone or silence does not multiply.
 
 Defined results: a null, empty, unreadable or too short recording has no integers and aligns with nothing;
 silence has integers of its own; repeated rows are copies of a class; empty tables give empty results.
@@ -33,7 +35,8 @@ SPAN = 16  # frames under the widest filter
 FILTERS = tuple((k % 4, (5 * k) % 12, 2 + (3 * k) % 9, (4, 8, 12, 16)[(k // 4) % 4]) for k in range(16))
 LEVELS = (-0.35, 0.15, 0.65)  # areas without sound have a ratio of 0, well inside a step
 GRAY = np.array([0, 1, 3, 2], np.uint32)
-RUN = 3  # integers in a row that make two recordings candidates
+RUN = 3  # integers in a row of the stricter rule that the tests compare with
+FLIPS = 6  # least certain bits of a query's integer, five bits each in the doubt
 MAX_BIT_ERRORS = 0.2
 MIN_OVERLAP = 12
 ROWS = 32
@@ -98,9 +101,14 @@ def chroma(samples: np.ndarray, rate: int) -> np.ndarray:
 
 def fingerprint(frames: np.ndarray) -> np.ndarray:
     """Packed integers (as int32), one for each position at which the widest filter fits."""
+    return doubted(frames)[0]
+
+
+def doubted(frames: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """fingerprint()'s integers, and for each the places of its FLIPS least certain bits, least certain lowest."""
     n = len(frames) - SPAN + 1
     if n <= 0:
-        return np.zeros(0, np.int32)
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
     wide = np.concatenate([frames, frames], 1)  # pitch classes go round
     image = np.zeros((len(wide) + 1, 25))
     image[1:, 1:] = wide.cumsum(0).cumsum(1)
@@ -110,7 +118,9 @@ def fingerprint(frames: np.ndarray) -> np.ndarray:
         return image[t1, p1] - image[t0, p1] - image[t1, p0] + image[t0, p0]
 
     out = np.zeros(n, np.uint32)
-    for kind, p, high, long in FILTERS:
+    levels = np.array(LEVELS)
+    gaps, places = np.zeros((n, len(FILTERS))), np.zeros((n, len(FILTERS)), np.int32)
+    for k, (kind, p, high, long) in enumerate(FILTERS):
         h, l = high // 2, long // 2
         whole = area(t, t + long, p, p + high)
         if kind == 0:  # later against earlier
@@ -124,54 +134,63 @@ def fingerprint(frames: np.ndarray) -> np.ndarray:
         rest = whole - part
         value = np.log((part + 1e-3 * long) / (np.maximum(rest, 0) + 1e-3 * long))
         out = (out << np.uint32(2)) | GRAY[np.digitize(value, LEVELS)]
-    return out.view(np.int32)
+        far = np.abs(value[:, None] - levels)
+        near = far.argmin(1)
+        gaps[:, k] = far[t, near]
+        places[:, k] = 2 * (len(FILTERS) - 1 - k) + (GRAY[near] ^ GRAY[near + 1]) // 2  # the bit that the level tells
+    least = np.take_along_axis(places, gaps.argsort(1, kind="stable")[:, :FLIPS], 1)
+    return out.view(np.int32), (least << (5 * np.arange(FLIPS, dtype=np.int32))).sum(1, dtype=np.int32)
 
 
 def fingerprints(
     df: DataFrame, media_col: str, reader: Callable = read_wav, out_col: str = "fingerprint", keep: list[str] | None = None
 ) -> DataFrame:
-    """The columns `keep` (default: all) and out_col, the packed integers of the recording that `reader`
-    makes of media_col's value (read_wav for WAV files, render for vectors)."""
+    """The columns `keep` (default: all), out_col, the packed integers of the recording that `reader` makes of
+    media_col's value (read_wav for WAV files, render for vectors), and out_col + "_doubt", their least certain bits."""
 
     def make():
         def each(batch):
             column = batch.column(0)
             for i in range(0, len(column), ROWS):
-                prints = [fingerprint(chroma(*reader(v.as_py()))) for v in column[i : i + ROWS]]
-                ends = np.concatenate(([0], np.cumsum([len(p) for p in prints]))).astype(np.int32)
-                yield [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prints)))]
+                prints = [doubted(chroma(*reader(v.as_py()))) for v in column[i : i + ROWS]]
+                ends = pa.array(np.concatenate(([0], np.cumsum([len(p) for p, _ in prints]))).astype(np.int32))
+                yield [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(c))) for c in zip(*prints)]
 
         return each
 
-    return runtime.map_arrow(df, [media_col], make, [(out_col, T.ArrayType(T.IntegerType()))], df.columns if keep is None else keep)
+    ints = T.ArrayType(T.IntegerType())
+    return runtime.map_arrow(df, [media_col], make, [(out_col, ints), (f"{out_col}_doubt", ints)], df.columns if keep is None else keep)
 
 
 def _keys(classes: DataFrame) -> DataFrame:
-    """(rep, key, pos): each run of RUN integers as a hash, where it first stands."""
-    runs = F.transform(
-        F.sequence(F.lit(0), F.size("fp") - RUN),
-        lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice("fp", i + 1, F.lit(RUN))).alias("key")),
-    )
-    return classes.where(F.size("fp") >= RUN).select("rep", F.inline(runs)).groupBy("rep", "key").agg(F.min("pos").alias("pos"))
+    """(rep, key, pos): each integer, where it first stands."""
+    return classes.select("rep", F.posexplode("fp").alias("pos", "key")).groupBy("rep", "key").agg(F.min("pos").alias("pos"))
+
+
+def _probes(classes: DataFrame) -> DataFrame:
+    """(a, key, i): each integer with any of its FLIPS least certain bits flipped, where such a key first stands."""
+    each = classes.select("rep", F.posexplode(F.arrays_zip("fp", "doubt")).alias("pos", "x"))
+    each = each.select("rep", "pos", "x.*", F.explode(F.sequence(F.lit(0), F.lit(2**FLIPS - 1))).alias("m"))
+    key = F.col("fp")
+    for i in range(FLIPS):
+        key = key.bitwiseXOR(F.expr(f"shiftleft((m >> {i}) & 1, (doubt >> {5 * i}) & 31)"))
+    return each.select("rep", "pos", key.alias("key")).groupBy(F.col("rep").alias("a"), "key").agg(F.min("pos").alias("i"))
 
 
 def align(prints: DataFrame, id_col: str, is_query, fp_col: str = "fingerprint") -> tuple[DataFrame, DataFrame]:
     """(membership, pairs): membership gives each row's id its class (the smallest id with an equal
     fingerprint); pairs are classes (a: holds a query row, b: any other) that align, with the offset of b's
-    start in a, the overlap and the share of differing bits."""
+    start in a, the overlap and the share of differing bits. prints has fp_col and its doubt as fingerprints() makes them."""
     scratch = runtime.Scratch(prints.sparkSession, "audio")
-    own = prints.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{fp_col}`").alias("fp"), is_query.alias("q")).where("id is not null")
+    own = prints.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{fp_col}`").alias("fp"), F.col(f"`{fp_col}_doubt`").alias("doubt"), is_query.alias("q")).where("id is not null")
     heard = own.where(F.size("fp") > 0).withColumn("d", F.xxhash64("fp")).withColumn("d2", F.hash("fp"))
     classes = scratch.table(
-        heard.groupBy("d", "d2").agg(F.min("id").alias("rep"), F.first("fp").alias("fp"), F.max("q").alias("q"), F.count(F.lit(1)).alias("n")), "classes"
+        heard.groupBy("d", "d2").agg(F.min("id").alias("rep"), F.first("fp").alias("fp"), F.min_by("doubt", F.struct("id", "doubt")).alias("doubt"), F.max("q").alias("q"), F.count(F.lit(1)).alias("n")), "classes"
     )
     members = scratch.table(heard.select("id", "d", "d2", "q").join(classes.select("d", "d2", "rep"), ["d", "d2"]).select("id", "rep", "q"), "members")
-    keys = _keys(classes)
-    asked = _keys(classes.where("q")).select("key", F.col("rep").alias("a"), F.col("pos").alias("i"))
-    hits = asked.join(keys.select("key", F.col("rep").alias("b"), F.col("pos").alias("j")), "key").where("a <> b")
+    hits = _probes(classes.where("q")).join(_keys(classes).select("key", F.col("rep").alias("b"), F.col("pos").alias("j")), "key").where("a <> b")
     votes = hits.groupBy("a", "b", (F.col("i") - F.col("j")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.groupBy("a", "b").agg(F.max_by("offset", F.struct("votes", -F.abs("offset"), "offset")).alias("offset"))
-    pairs = best.join(classes.select(F.col("rep").alias("a"), F.col("fp").alias("fa")), "a").join(classes.select(F.col("rep").alias("b"), F.col("fp").alias("fb")), "b")
+    pairs = votes.join(classes.select(F.col("rep").alias("a"), F.col("fp").alias("fa")), "a").join(classes.select(F.col("rep").alias("b"), F.col("fp").alias("fb")), "b")
     first = F.greatest("offset", F.lit(0))
     overlap = F.least(F.size("fa"), F.size("fb") + F.col("offset")) - first
     wrong = F.aggregate(
@@ -179,8 +198,10 @@ def align(prints: DataFrame, id_col: str, is_query, fp_col: str = "fingerprint")
         F.lit(0),
         lambda s, x: s + x,
     )
-    pairs = pairs.select("a", "b", F.col("offset").cast("long").alias("offset"), overlap.alias("overlap"), wrong.alias("wrong"))
-    pairs = pairs.where((F.col("overlap") >= MIN_OVERLAP) & (F.col("wrong") <= F.col("overlap") * 32 * MAX_BIT_ERRORS))
+    pairs = pairs.where(overlap >= MIN_OVERLAP).select("a", "b", "votes", F.col("offset").cast("long").alias("offset"), overlap.alias("overlap"), wrong.alias("wrong"))
+    pairs = pairs.where(F.col("wrong") <= F.col("overlap") * 32 * MAX_BIT_ERRORS)
+    best = F.max_by(F.struct("offset", "overlap", "wrong"), F.struct("votes", -F.abs("offset"), "offset"))
+    pairs = pairs.groupBy("a", "b").agg(best.alias("best")).select("a", "b", "best.*")
     return members, pairs.select("a", "b", "offset", F.col("overlap").cast("long").alias("overlap"), (F.col("wrong") / (F.col("overlap") * 32)).alias("bit_errors"))
 
 

@@ -122,3 +122,28 @@ def test_a_passage_of_all(spark):
     local = {r.vec_id: list(r.fingerprint) for r in prints.collect()}
     _, pairs = audio.align(prints, "vec_id", F.lit(True))
     assert {(r.a, r.b) for r in pairs.collect()} == set(brute(local)) != set()
+
+
+def test_recall_of_noisy_and_shifted_copies(spark):
+    """Against an exhaustive search of all offsets."""
+    from pyspark.sql import functions as F
+
+    prints, want = {}, {}
+    for kind, (sd, start) in enumerate([(0.15, 0), (0.2, 0), (0.3, 0), (0, 64), (0, 128), (0, 256)]):
+        want[kind] = set()
+        for seed in range(20):
+            samples, rate = audio.render(melody(1000 + seed))
+            noise = np.random.default_rng(5000 + seed).normal(size=len(samples)) * sd
+            for i, s in ((seed, samples), (100 * (kind + 1) + seed, (samples + noise)[start:])):
+                prints[i] = audio.doubted(audio.chroma(s, rate))
+            x, y = (prints[i][0].view(np.uint32) for i in (seed, 100 * (kind + 1) + seed))
+            for off in range(-len(y), len(x)):
+                first, n = max(off, 0), min(len(x), len(y) + off) - max(off, 0)
+                if n >= audio.MIN_OVERLAP and np.bitwise_count(x[first : first + n] ^ y[first - off : first - off + n]).sum() <= n * 32 * audio.MAX_BIT_ERRORS:
+                    want[kind].add((seed, 100 * (kind + 1) + seed))
+    rows = [(i, p.tolist(), d.tolist()) for i, (p, d) in prints.items()]
+    df = spark.createDataFrame(rows, "vec_id long, fingerprint array<int>, fingerprint_doubt array<int>")
+    got = {(r.a, r.b) for r in audio.align(df, "vec_id", F.col("vec_id") < 100)[1].collect()}
+    recall = {k: (len(got & v), len(v)) for k, v in want.items()}
+    assert all(n >= 19 for _, n in recall.values())
+    assert all(found >= 0.95 * n for found, n in recall.values()), recall
