@@ -137,6 +137,18 @@ A("srf_lockstep", "select unnest(array[1, 2]) as a, generate_series(1, 3) as b",
 A("srf_subscripts", "select s from generate_subscripts(array[5, 6, 7], 1) as t(s)", "select unnest([1, 2, 3]) as s")
 A("srf_join", "select n_name, g from nation, generate_series(1, 2) as t(g) where n_nationkey < 3")
 
+# the bounded ones again, over whole tables
+T.whole("expr_case", " where l_orderkey < 200")
+T.whole("expr_like", " where p_partkey < 100")
+T.whole("join_full", " where c_custkey < 20", " where s_suppkey < 10")
+T.whole("join_theta", " and a.p_partkey < 40 and b.p_partkey < 40")
+T.whole("join_lateral", " where c_custkey < 50")
+T.whole("win_ranking", " where o_orderkey < 2000")
+T.whole("win_frame_rows", " where o_custkey < 100")
+T.whole("win_lag_lead", " where o_custkey < 60")
+T.whole("set_intersect_except", " where c_custkey < 40")
+T.whole("sub_correlated_agg", " and l_orderkey < 4000")
+
 
 def queries() -> dict:
     return T.queries()
