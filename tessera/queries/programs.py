@@ -104,6 +104,14 @@ def fn_sql_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     return db.sql("select l_orderkey, l_linenumber, round(taxed(l_extendedprice, l_tax), 4) as t, third(l_linenumber + 5) as d, taxed(null, 1) is null as n from lineitem where l_orderkey < 1000")
 
 
+def fn_sql_function_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fn_sql_function over all of lineitem."""
+    db = Database.over(spark, sf_dir)
+    db.sql("create function taxed(price double precision, rate double precision) returns double precision language sql strict as 'select price * (1 + rate)'")
+    db.sql("create function third(int) returns int return $1 / 3")
+    return db.sql("select l_orderkey, l_linenumber, round(taxed(l_extendedprice, l_tax), 4) as t, third(l_linenumber + 5) as d, taxed(null, 1) is null as n from lineitem")
+
+
 def prog_prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     db = Database.over(spark, sf_dir)
     db.sql("prepare p (int, text) as select n_nationkey, n_name, $2 || n_name as x from nation where n_regionkey = $1")
@@ -178,6 +186,14 @@ def df_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rel.as_of(left, right, "ts", ["user_id"]).select("event_id", F.col("r_last_id").alias("last_id"))
 
 
+def df_as_of_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each purchase with the user's last event of another type up to then, over all events."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    left = e.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    right = e.where("event_type <> 'purchase'").groupBy("user_id", "ts").agg(F.max("event_id").alias("last_id"))
+    return rel.as_of(left, right, "ts", ["user_id"]).select("event_id", F.col("r_last_id").alias("last_id"))
+
+
 def df_salted_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     li, part = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "part"))
     joined = rel.salted_join(li.select(F.col("l_partkey").alias("k"), "l_quantity"), part.select(F.col("p_partkey").alias("k"), "p_size"), "k", 4)
@@ -200,8 +216,8 @@ def stream_running_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ALL = (
-    dml_update_delete, dml_returning, dml_constraints, dml_partitions, dml_inheritance, dml_transaction, ddl_enum, ddl_view_sequence, fn_sql_function, prog_prepared, prog_cursor, prog_plpgsql,
-    copy_text, copy_csv, df_not_in, df_as_of, df_salted_join, df_distinct_on, stream_tumbling, stream_running_totals,
+    dml_update_delete, dml_returning, dml_constraints, dml_partitions, dml_inheritance, dml_transaction, ddl_enum, ddl_view_sequence, fn_sql_function, fn_sql_function_whole, prog_prepared, prog_cursor, prog_plpgsql,
+    copy_text, copy_csv, df_not_in, df_as_of, df_as_of_whole, df_salted_join, df_distinct_on, stream_tumbling, stream_running_totals,
 )
 
 ORACLE = {
@@ -216,6 +232,7 @@ ORACLE = {
     "ddl_enum": "select * from (values ('a', 'happy', 3), ('b', 'sad', 1), ('c', 'ok', 2)) t(name, m, place)",
     "ddl_view_sequence": "select n_regionkey as region, count(*) as n, 5 as a, 15 as b, 15 as c from nation group by n_regionkey",
     "fn_sql_function": "select l_orderkey, l_linenumber, round(l_extendedprice * (1 + l_tax), 4) as t, (l_linenumber + 5) // 3 as d, true as n from lineitem where l_orderkey < 1000",
+    "fn_sql_function_whole": "select l_orderkey, l_linenumber, round(l_extendedprice * (1 + l_tax), 4) as t, (l_linenumber + 5) // 3 as d, true as n from lineitem",
     "prog_prepared": "select n_nationkey, n_name, 'in ' || n_name as x from nation where n_regionkey = 2",
     "prog_cursor": "select n_nationkey, n_name, 1 as step from nation where n_nationkey < 3 union all select n_nationkey, n_name, 2 from nation where n_nationkey in (3, 4) union all select n_nationkey, n_name, 3 from nation where n_nationkey in (3, 2)",
     "prog_plpgsql": "select * from (values ('collatz', 8), ('total', 35)) t(name, value)",
@@ -224,6 +241,8 @@ ORACLE = {
     "df_not_in": "select n_nationkey from nation where n_nationkey not in (select s_nationkey from supplier where s_acctbal > 5000)",
     "df_as_of": """with r as (select user_id, ts, max(event_id) as last_id from events where event_id % 3 = 1 group by user_id, ts)
         select l.event_id, r.last_id from (select event_id, user_id, ts from events where event_id % 3 = 0) l asof left join r on l.user_id = r.user_id and l.ts >= r.ts""",
+    "df_as_of_whole": """with r as (select user_id, ts, max(event_id) as last_id from events where event_type <> 'purchase' group by user_id, ts)
+        select l.event_id, r.last_id from (select event_id, user_id, ts from events where event_type = 'purchase') l asof left join r on l.user_id = r.user_id and l.ts >= r.ts""",
     "df_salted_join": "select p_size, sum(l_quantity) as q, count(*) as n from lineitem join part on l_partkey = p_partkey group by p_size",
     "df_distinct_on": "select distinct on (l_partkey) l_partkey, l_orderkey, l_linenumber, l_extendedprice from lineitem order by l_partkey, l_extendedprice desc, l_orderkey, l_linenumber",
     "stream_tumbling": "select cast(date_trunc('hour', ts) as timestamp) as bucket, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2",

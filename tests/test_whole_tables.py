@@ -40,3 +40,17 @@ def test_correlated_over_whole_lineitem(spark):
     mean = li.groupby("l_partkey").l_quantity.mean()
     want = [(r.l_orderkey, r.l_linenumber) for r in li.itertuples() if r.l_quantity > 1.5 * mean[r.l_partkey]]
     assert rows(spark, "sub_correlated_agg_whole") == sorted(want, key=str)
+
+
+def test_as_of_over_all_events(spark):
+    events = list(table("events").sort_values("ts").itertuples())
+    want = []
+    for e in (e for e in events if e.event_type == "purchase"):
+        before = [o.event_id for o in events if o.event_type != "purchase" and o.user_id == e.user_id and o.ts <= e.ts]
+        want.append((e.event_id, before[-1] if before else None))
+    assert rows(spark, "df_as_of_whole") == sorted(want, key=str)
+
+
+def test_sql_functions_over_whole_lineitem(spark):
+    got = QUERIES["fn_sql_function_whole"](spark, FOLDER).select("l_orderkey", "l_linenumber", "d").collect()
+    assert sorted(map(tuple, got)) == sorted((r.l_orderkey, r.l_linenumber, (r.l_linenumber + 5) // 3) for r in table("lineitem").itertuples())
