@@ -101,6 +101,11 @@ A("fn_bits", "select get_bit(B'1010', 2) as a, set_bit(B'1010', 1, 1) as b, bit_
 A("fn_session", "select pg_typeof(1) as a, pg_typeof('x'::text) as b, pg_typeof(array[1]) as c, pg_typeof(1.5) as d, current_schema() as e, pg_size_pretty(123456789) as f, num_nulls(1, null, null) as g, pg_input_is_valid('12', 'int4') as h, pg_input_is_valid('x', 'int4') as i",
   "select 'integer' as a, 'text' as b, 'integer[]' as c, 'numeric' as d, 'public' as e, '118 MB' as f, 2 as g, true as h, false as i")
 
+# the bounded ones again, over whole tables
+T.whole("fn_text_case", " where p_partkey < 200")
+for _name in ("fn_time_extract", "fn_time_extract_seconds", "fn_time_trunc", "fn_time_bin"):
+    T.whole(_name, " where event_id < 300")
+
 
 def queries() -> dict:
     return T.queries()

@@ -54,3 +54,13 @@ def test_as_of_over_all_events(spark):
 def test_sql_functions_over_whole_lineitem(spark):
     got = QUERIES["fn_sql_function_whole"](spark, FOLDER).select("l_orderkey", "l_linenumber", "d").collect()
     assert sorted(map(tuple, got)) == sorted((r.l_orderkey, r.l_linenumber, (r.l_linenumber + 5) // 3) for r in table("lineitem").itertuples())
+
+
+@pytest.mark.parametrize("name, of, key", [("fn_text_case_whole", "part", "p_partkey"), *((f"fn_time_{x}_whole", "events", "event_id") for x in ("extract", "extract_seconds", "trunc", "bin"))])
+def test_functions_read_every_row(spark, name, of, key):
+    assert sorted(r[key] for r in QUERIES[name](spark, FOLDER).select(key).collect()) == sorted(table(of)[key])
+
+
+def test_text_bound_is_gone():
+    """sf0.001 has no part beyond the bound."""
+    assert "p_partkey <" not in ORACLE["fn_text_case_whole"]
