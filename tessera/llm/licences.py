@@ -5,6 +5,10 @@ and 0-9 a gap) and compared to the licence templates: twice the number of shared
 the sum of both numbers. A coefficient of at least t needs sizes within a factor of (2 - t) / t, so a text
 meets only the templates within that bound, and texts outside all bounds are never divided into bigrams.
 
+notices() looks further: it compares every window of a document's words, whatever its lines, with these
+templates and with licence texts and file headers. A window of that coefficient has at least t / (2 - t) of
+the template's bigrams, so only documents with as many are searched, from bigrams of the template on.
+
 Defined results: a null or empty text, and one of fewer than two words, has no bigrams and matches nothing;
 of templates with the same coefficient the first by name wins; repeated rows each get their own result.
 """
@@ -28,6 +32,21 @@ TEMPLATES = {
     "MIT-permission": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
     "all-rights-reserved": "All rights reserved.",
 }
+#: Texts of short licences and the usual file headers of long ones, found by notices() only (fixed values).
+_MIT_GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+_MIT_WARRANTY = "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_BSD_CLAUSES = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_GPL = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+TEXTS = {
+    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    "BSD-clauses": _BSD_CLAUSES,
+    "GPL-2.0-notice": _GPL.format(2),
+    "GPL-3.0-notice": _GPL.format(3),
+    "ISC-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "MIT-text": f"{_MIT_GRANT} {_MIT_WARRANTY}",
+    "MIT-title": "MIT License",
+    "MPL-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+}
 PERCENT = 80
 
 
@@ -81,3 +100,43 @@ def scan(docs: DataFrame, text_col: str = "text", percent: int = PERCENT, templa
     df = df.withColumn("licences", hits)
     best = F.array_min(F.transform("licences", lambda h: F.struct((-h["dice"]).alias("d"), h["licence"].alias("licence"))))["licence"]
     return df.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(kept)], "licences", best.alias("licence"))
+
+
+def notices(docs: DataFrame, text_col: str = "text", percent: int = PERCENT, templates: dict[str, str] | None = None, keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep` (default: all), notices (array<struct<licence, word, words, dice>>: of each template
+    that a window of words matches the best window, the first and shortest of equals; words count from 1, dice
+    in per mille, rounded down) and notice (the best, else null)."""
+    own = {k: bigrams_of(v) for k, v in sorted((templates or TEMPLATES | TEXTS).items())}
+    known = F.array(*[F.struct(F.lit(k).alias("name"), F.array(*map(F.lit, v)).alias("g"), F.lit(len(v)).alias("k"), F.lit(len(v) * (200 - percent) // percent).alias("most")) for k, v in own.items() if v])
+    every = F.array(*map(F.lit, sorted({g for v in own.values() for g in v})))
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in ("notices", "notice")]
+    df = docs.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(kept)], _words(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("_w"))
+    last = F.greatest(F.size("_w") - 1, F.lit(0))
+    df = df.withColumn("_g", F.zip_with(F.slice("_w", 1, last), F.slice("_w", 2, last), lambda a, b: F.concat_ws(" ", a, b)))
+    df = df.withColumn("_c", F.array_intersect(every, "_g"))
+    df = df.withColumn("_t", F.filter(known, lambda t: F.size(F.array_intersect(t["g"], "_c")) * (200 - percent) >= t["k"] * percent))
+
+    def best_end(t, window):
+        """struct<n, s, d, e> for the window's beginnings: d is the best dice, e the bigrams that it takes."""
+        each = F.transform(window, lambda x, j: F.struct((j + 1).alias("e"), (F.array_position(window, x) == j + 1).cast("int").alias("new"), F.array_contains(t["g"], x).cast("int").alias("own")))
+
+        def step(at, x):
+            n, s = at["n"] + x["new"], at["s"] + x["new"] * x["own"]
+            d = F.when(s * 200 >= (n + t["k"]) * percent, F.floor(s * 2000 / (n + t["k"])).cast("int")).otherwise(0)
+            return F.struct(n.alias("n"), s.alias("s"), F.greatest(at["d"], d).alias("d"), F.when(d > at["d"], x["e"]).otherwise(at["e"]).alias("e"))
+
+        return F.aggregate(each, F.struct(*[F.lit(0).alias(c) for c in "nsde"]), step)
+
+    def best_window(t):
+        starts = F.filter(F.sequence(F.lit(1), F.size("_g")), lambda i: F.array_contains(t["g"], F.element_at("_g", i)))
+        windows = F.filter(
+            F.transform(starts, lambda i: F.struct(i.alias("i"), F.slice("_g", i, t["most"]).alias("g"))),
+            lambda w: F.size(F.array_intersect(w["g"], t["g"])) * (200 - percent) >= t["k"] * percent,
+        )
+        ends = F.transform(windows, lambda w: F.struct(w["i"].alias("i"), F.element_at(F.transform(F.array(w["g"]), lambda g: best_end(t, g)), 1).alias("at")))
+        return F.array_min(F.transform(F.filter(ends, lambda x: x["at"]["d"] > 0), lambda x: F.struct((-x["at"]["d"]).alias("d"), x["i"].alias("word"), (x["at"]["e"] + 1).alias("words"))))
+
+    found = F.filter(F.transform("_t", lambda t: F.struct(t["name"].alias("licence"), best_window(t).alias("b"))), lambda x: x["b"].isNotNull())
+    df = df.withColumn("notices", F.transform(found, lambda x: F.struct(x["licence"].alias("licence"), x["b"]["word"].alias("word"), x["b"]["words"].alias("words"), (-x["b"]["d"]).alias("dice"))))
+    best = F.array_min(F.transform("notices", lambda h: F.struct((-h["dice"]).alias("d"), (-h["words"]).alias("w"), h["licence"].alias("licence"))))["licence"]
+    return df.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(kept)], "notices", best.alias("notice"))

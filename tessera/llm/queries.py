@@ -83,6 +83,17 @@ def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences in windows of words, across line ends and inside lines."""
+    out = licences.notices(_read(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    return out.select(
+        "doc_id",
+        F.size("notices").cast("long").alias("n_notices"),
+        "notice",
+        F.array_join(F.transform("notices", lambda h: F.concat_ws(":", h["licence"], h["word"].cast("string"), h["words"].cast("string"), h["dice"].cast("string"))), ",").alias("notices"),
+    )
+
+
 def op8_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tables hold no recordings: each vector of `embeddings` is played as a melody. Queries are the rows
     whose id is divisible by 20, against all rows."""
@@ -108,7 +119,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_token_counts, op3_decontamination, op4_near_duplicates, op5_secrets, op6_url_filter, op7_licences, op8_audio_fingerprints, op9_toxicity, op10_bpe)}
+    return {f.__name__: f for f in (op1_quality, op2_token_counts, op3_decontamination, op4_near_duplicates, op5_secrets, op6_url_filter, op7_licences, op7_notices, op8_audio_fingerprints, op9_toxicity, op10_bpe)}
 
 
 #: Words of a text, windows of an item and their occurrences, by joining on the window's words.

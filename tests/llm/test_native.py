@@ -145,3 +145,39 @@ def test_licences(spark):
         return (min((-d, n) for _, n, d in out)[1] if out else None, out)
 
     assert got == {k: brute(v or "") for k, v in texts.items()}
+
+
+def brute_notices(text, templates):
+    words = re.sub("[^a-z0-9]+", " ", re.sub("[A-Z]", lambda m: m[0].lower(), text)).split()
+    g = [f"{a} {b}" for a, b in zip(words, words[1:])]
+    out = []
+    for name, body in sorted(templates.items()):
+        own = set(licences.bigrams_of(body))
+        found = []
+        for i in range(len(g)):
+            for j in range(i + 1, min(len(g), i + len(own) * 120 // 80) + 1):
+                w = set(g[i:j])
+                s, n = len(w & own), len(w) + len(own)
+                if s * 200 >= n * 80:
+                    found.append((-(s * 2000 // n), i + 1, j - i + 1))
+        if found:
+            d, at, n = min(found)
+            out.append((name, at, n, -d))
+    return out
+
+
+def test_notices_in_wrapped_and_running_text(spark):
+    every = licences.TEMPLATES | licences.TEXTS
+    mit, bsd, gpl = (every[k] for k in ("MIT-text", "BSD-3-Clause", "GPL-3.0-notice"))
+    wrap = lambda t, n: "\n * ".join(" ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    texts = {
+        1: "Some prose before.\n" + wrap(bsd, 9) + "\nand after it.", 2: "More on our site. Released under the MIT License. See the manual for more.",
+        3: "Copyright (c) 2020 Example Corp. All rights reserved.", 4: "/* " + wrap(gpl, 8) + " */\nint main() { return 0; }", 5: None, 6: "", 7: "word",
+        8: "rights reserved all rights reserved all all rights", 9: "nothing of the kind is in the text of this page", 10: "MIT License\n\nCopyright (c) 2020\n\n" + wrap(mit, 11),
+    }
+    df = spark.createDataFrame([(k, v, "n") for k, v in texts.items()] + [(2, texts[2], None)], "doc_id long, text string, notice string")
+    got = sorted((r.doc_id, [tuple(x) for x in r.notices]) for r in licences.notices(df).collect())
+    assert got == sorted((r.doc_id, brute_notices(r.text or "", every)) for r in df.collect())
+    found = {k: {x[0] for x in v} for k, v in got}
+    assert "BSD-3-Clause" in found[1] and "MIT" in found[2] and "all-rights-reserved" in found[3] and "GPL-3.0-notice" in found[4] and {"MIT-text", "MIT-permission"} <= found[10]
+    assert licences.notices(df.limit(0)).count() == 0
