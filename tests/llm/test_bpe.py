@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import time
 
 import public_tokenizers
 import pytest
@@ -40,6 +41,28 @@ def test_tree_equals_reference(codec, reference):
         assert codec.decode(ids) == t.encode()
 
 
+@pytest.mark.parametrize("unit", ["a", "-", "0", "ab", " ", "é", "abc-"])
+def test_long_runs(codec, reference, unit):
+    """A run of a million characters takes seconds; the reference only manages shorter ones, so lengths near
+    each other are compared there, and of the long one every pair of neighbours and the bytes."""
+    for n in (4001, 20003):
+        assert codec.encode(unit * n) == reference.encode_ordinary(unit * n)
+    text = unit * 1_000_003
+    began = time.perf_counter()
+    ids = codec.encode(text)
+    assert time.perf_counter() - began < 20
+    assert codec.decode(ids) == text.encode()
+    if codec.pattern.fullmatch(text):
+        assert all(codec.compatible(a, b) for a, b in zip(ids, ids[1:]))
+
+
+def test_window_equals_merging(codec):
+    r = random.Random(7)
+    for _ in range(2000):
+        data = bytes(r.choice(r.choice([b"ab", b"theandir ", bytes(range(256)), b"-=", b"aeioust"])) for _ in range(r.randrange(1, 40)))
+        assert codec._window(data) == codec._direct(data)
+
+
 def test_join_is_associative(codec):
     r = random.Random(5)
     for _ in range(300):
