@@ -13,6 +13,7 @@ from collections.abc import Callable
 import numpy as np
 
 BLOCK = 48
+AT_ONCE = 200_000  # positions of a step of training, which bounds its memory
 
 
 def _forward(e: np.ndarray, first: np.ndarray, length: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -93,7 +94,20 @@ def marginals(e: np.ndarray, offsets: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def _expected(e: np.ndarray, offsets: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """(sum of log partition functions, marginals, expected transition counts)."""
+    """(sum of log partition functions, marginals, expected transition counts), some sequences at a time."""
+    z, p, counts = 0.0, np.empty(len(e)), np.zeros((2, 2))
+    i, n = 0, len(offsets) - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + AT_ONCE, side="right")) - 1)
+        a, b = offsets[i], offsets[j]
+        part = _expected_of(e[a:b], offsets[i : j + 1] - a, w)
+        z, counts = z + part[0], counts + part[2]
+        p[a:b] = part[1]
+        i = j
+    return z, p, counts
+
+
+def _expected_of(e: np.ndarray, offsets: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
     f, b = log_ratios(e, offsets, w)
     p = 1.0 / (1.0 + np.exp(-np.clip(f + b, -60, 60)))
     length = np.diff(offsets)
@@ -117,6 +131,11 @@ def _expected(e: np.ndarray, offsets: np.ndarray, w: np.ndarray) -> tuple[float,
     return float(z.sum()), p, counts
 
 
+def _dot(a: np.ndarray, b: np.ndarray) -> float:
+    """The scalar product on one thread: vectors this short only keep BLAS's threads spinning."""
+    return float(np.einsum("i,i->", a, b))
+
+
 def fit(
     emission: Callable[[np.ndarray], np.ndarray],
     gather: Callable[[np.ndarray], np.ndarray],
@@ -142,7 +161,7 @@ def fit(
         w = x[n_weights:].reshape(2, 2)
         e = emission(x[:n_weights])
         z, p, counts = _expected(e, offsets, w)
-        value = z - float(e[y > 0].sum()) - float((seen * w).sum()) + 0.5 * l2 * float(x @ x)
+        value = z - float(e[y > 0].sum()) - float((seen * w).sum()) + 0.5 * l2 * _dot(x, x)
         g = np.concatenate([gather(p - y), (counts - seen).ravel()]) + l2 * x
         return value, g
 
@@ -152,17 +171,17 @@ def fit(
     for _ in range(steps):
         d, a = g.copy(), []
         for s, v, rho in reversed(pairs):
-            k = rho * (s @ d)
+            k = rho * _dot(s, d)
             a.append(k)
             d -= k * v
         if pairs:
             s, v, rho = pairs[-1]
-            d *= (s @ v) / (v @ v)
+            d *= _dot(s, v) / _dot(v, v)
         else:
             d /= max(1.0, np.abs(d).max())
         for (s, v, rho), k in zip(pairs, reversed(a), strict=True):
-            d += s * (k - rho * (v @ d))
-        slope, size = -(g @ d), 1.0
+            d += s * (k - rho * _dot(v, d))
+        slope, size = -_dot(g, d), 1.0
         for _ in range(12):
             after, fresh = loss(x - size * d)
             if after <= value + 1e-4 * size * slope:
@@ -171,8 +190,8 @@ def fit(
         else:
             break
         s, v = -size * d, fresh - g
-        if s @ v > 1e-12:
-            pairs = [*pairs[-4:], (s, v, 1.0 / (s @ v))]
+        if (bend := _dot(s, v)) > 1e-12:
+            pairs = [*pairs[-4:], (s, v, 1.0 / bend)]
         done = value - after < 1e-5 * max(1.0, abs(value))
         x, value, g = x + s, after, fresh
         if done:

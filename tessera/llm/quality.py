@@ -110,15 +110,15 @@ class Model:
         e = self.weights[features].sum(1)
         return crf.marginals(e, lines, self.transitions), length, lines
 
-    def raw(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        p, length, lines = self.good(data, offsets)
+    def raw(self, p: np.ndarray, length: np.ndarray, lines: np.ndarray) -> np.ndarray:
+        """The documents' means of their lines' marginals, weighted by length."""
         weight = length + 1.0
         return np.add.reduceat(p * weight, lines[:-1]) / np.add.reduceat(weight, lines[:-1])
 
-    def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    def of_lines(self, p: np.ndarray, length: np.ndarray, lines: np.ndarray) -> np.ndarray:
         if self.constant is not None:
-            return np.full(len(offsets) - 1, self.constant)
-        return training.apply_platt(self.raw(data, offsets)[:, None], self.scale)
+            return np.full(len(lines) - 1, self.constant)
+        return training.apply_platt(self.raw(p, length, lines)[:, None], self.scale)
 
 
 def train(texts: list[str], y: np.ndarray) -> Model:
@@ -137,7 +137,7 @@ def train(texts: list[str], y: np.ndarray) -> Model:
 
     weights, transitions = crf.fit(emission, gather, N_FEATURES, state, lines)
     model = Model(weights, transitions, np.zeros(2))
-    model.scale = training.platt(model.raw(data, offsets)[:, None], y)
+    model.scale = training.platt(model.raw(*model.good(data, offsets))[:, None], y)
     return model
 
 
@@ -146,8 +146,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
     return train(*training.sample(docs, labels, label, id_col, text_col))
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score", keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` (default: all) and out_col, the quality of each whole text."""
+def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score", keep: list[str] | None = None, lines_col: str | None = None) -> DataFrame:
+    """The columns `keep` (default: all) and out_col, the quality of each whole text. With lines_col also, in
+    the same pass, for each line of the text the probability that it is good."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -156,29 +157,27 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
         def each(batch):
             data, offsets = tk.column_bytes(batch.column(0))
             for lo, hi in runtime.rows_within(offsets, SHARD_BYTES):
-                yield [pa.array(m.score(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]))]
+                p, length, lines = m.good(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                out = [pa.array(m.of_lines(p, length, lines))]
+                if lines_col:
+                    out.append(pa.ListArray.from_arrays(pa.array(lines.astype(np.int32)), pa.array(p)))
+                yield out
 
         return each
 
-    return runtime.map_arrow(docs, [text_col], make, [(out_col, T.DoubleType())], docs.columns if keep is None else keep)
+    fields: list[tuple[str, T.DataType]] = [(out_col, T.DoubleType())]
+    if lines_col:
+        fields.append((lines_col, T.ArrayType(T.DoubleType())))
+    return runtime.map_arrow(docs, [text_col], make, fields, docs.columns if keep is None else keep)
 
 
 def line_labels(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "lines", keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` (default: all) and out_col: for each line of the text the probability that it is good."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def make():
-        m = shared.value
-
-        def each(batch):
-            data, offsets = tk.column_bytes(batch.column(0))
-            for lo, hi in runtime.rows_within(offsets, SHARD_BYTES):
-                p, _, lines = m.good(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                yield [pa.ListArray.from_arrays(pa.array(lines.astype(np.int32)), pa.array(p))]
-
-        return each
-
-    return runtime.map_arrow(docs, [text_col], make, [(out_col, T.ArrayType(T.DoubleType()))], docs.columns if keep is None else keep)
+    """The columns `keep` (default: all) and out_col, the lines' probabilities as score() gives them."""
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() != out_col.lower()]
+    names = {f"c{i}": c for i, c in enumerate(kept)}
+    inner = docs.select(F.col(f"`{text_col}`").alias("t"), *[F.col(f"`{c}`").alias(k) for k, c in names.items()])
+    found = score(inner, model, "t", "score", list(names), "found")
+    return found.select(*[F.col(k).alias(c) for k, c in names.items()], F.col("found").alias(out_col))
 
 
 def verdict(scored: DataFrame, id_col: str = "doc_id", score_col: str = "score", threshold: float = 0.7) -> list:

@@ -16,8 +16,8 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, _read(spark, sf_dir, "labels"))
-    scored = quality.score(docs, model, keep=["doc_id"])
-    return scored.select(*quality.verdict(scored))
+    scored = quality.score(docs, model, keep=["doc_id"], lines_col="lines")
+    return scored.select(*quality.verdict(scored), "lines")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,8 +105,9 @@ def op8_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, _read(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, model, keep=["doc_id"])
-    return scored.select(*toxicity.verdict(scored))
+    scored = toxicity.score(docs, model, keep=["doc_id"], spans_col="found")
+    offending = F.array_join(F.transform("found", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return scored.select(*toxicity.verdict(scored), offending.alias("spans"))
 
 
 RANKS = "byte_bpe_multi_50k.tiktoken"

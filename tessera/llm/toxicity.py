@@ -10,7 +10,7 @@ number of toxic words, set on the labels' scale by a logistic curve; words whose
 0.5 are the offending offsets.
 
 Defined results: a null or empty text has no words and gets the lowest score; with no training rows of
-both classes every score is the share of label 1 among them, or 0.5 without any.
+both classes every score is the share of label 1 among them, or 0.5 without any, and no word offends.
 """
 
 from __future__ import annotations
@@ -73,13 +73,13 @@ class Model:
         if len(ok):
             top = np.clip(np.maximum.reduceat(p, words[:-1][ok]), 1e-6, 1 - 1e-6)
             out[ok, 0] = np.log(top / (1 - top))
-            out[ok, 1] = np.log(np.maximum(np.add.reduceat(np.where(p >= 0.02, p, 0.0), words[:-1][ok]), 1e-5))
+            out[ok, 1] = np.log(np.maximum(np.add.reduceat(p, words[:-1][ok]), 1e-5))
         return out
 
-    def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    def of_marginals(self, p: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """The documents' scores from their words' marginals."""
         if self.constant is not None:
-            return np.full(len(offsets) - 1, self.constant)
-        p, _, _, words = self.marginals(data, offsets)
+            return np.full(len(words) - 1, self.constant)
         return training.apply_platt(self.evidence(p, words), self.scale)
 
 
@@ -116,9 +116,12 @@ def _seeds(own: np.ndarray, words: np.ndarray, y: np.ndarray) -> np.ndarray:
 def train(texts: list[str], y: np.ndarray) -> Model:
     size = 1 << BITS
     if not len(y) or y.min() == y.max():
-        return Model(np.zeros(size), np.zeros(size), 0.0, np.zeros((2, 2)), np.zeros(3), float(y.mean()) if len(y) else 0.5)
+        return Model(np.zeros(size), np.zeros(size), -60.0, np.zeros((2, 2)), np.zeros(3), float(y.mean()) if len(y) else 0.5)
     data, offsets = tk.column_bytes(pa.array(texts, pa.large_string()))
-    own, _, _, words = features(data, offsets)
+    parts = [features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]) for lo, hi in runtime.rows_within(offsets, SHARD_BYTES)]
+    own = np.concatenate([p[0] for p in parts])
+    words = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(p[3]) for p in parts]))))
+    del parts
     state = _seeds(own, words, y)
     doc = np.repeat(np.arange(len(y)), np.diff(words))
     # weights only for features that occur LEAST times (number n stands for all others and has no weight);
@@ -127,34 +130,30 @@ def train(texts: list[str], y: np.ndarray) -> Model:
     n = len(used)
     number = np.full(size, n, np.int32)
     number[used] = np.arange(n, dtype=np.int32)
-    # training windows: pieces of documents, all of them
+    c = np.asfortranarray(number[own])
+    # training windows: the documents in pieces, all of them
     cuts = np.unique(np.concatenate([words, *(np.arange(a, b, TRAIN_WINDOW) for a, b in zip(words[:-1], words[1:], strict=True))]))
     model = Model(np.zeros(size, np.float32), np.zeros(size, np.float32), 0.0, np.zeros((2, 2)), np.zeros(3))
     fitted = None
     for again in (False, True):
-        # windows without any toxic word: one in six is enough
-        has = np.add.reduceat(state, cuts[:-1]) > 0 if len(cuts) > 1 else np.zeros(0, bool)
-        take = has | (np.arange(len(cuts) - 1) % 6 == 0)
-        index = np.concatenate([np.arange(a, b) for a, b, t in zip(cuts[:-1], cuts[1:], take, strict=True) if t] or [np.zeros(0, np.int64)])
-        off = np.concatenate(([0], np.cumsum(np.diff(cuts)[take])))
-        c, s = number[own[index]], state[index].astype(float)
-
-        def emission(w, c=c, off=off):
-            out = _neighbours(np.append(w[n : 2 * n], 0.0)[c[:, 0]], off) + w[2 * n]
+        s = state.astype(float)
+
+        def emission(w):
+            out = _neighbours(np.append(w[n : 2 * n], 0.0)[c[:, 0]], cuts) + w[2 * n]
             mine = np.append(w[:n], 0.0)
             for k in range(N_OWN):
                 out += mine[c[:, k]]
             return out
 
-        def gather(v, c=c, off=off):
+        def gather(v):
             out = np.zeros(2 * n + 1)
             for k in range(N_OWN):
                 out[:n] += np.bincount(c[:, k], weights=v, minlength=n + 1)[:n]
-            out[n : 2 * n] = np.bincount(c[:, 0], weights=_neighbours(v, off), minlength=n + 1)[:n]
+            out[n : 2 * n] = np.bincount(c[:, 0], weights=_neighbours(v, cuts), minlength=n + 1)[:n]
             out[2 * n] = v.sum()
             return out
 
-        w, model.transitions = crf.fit(emission, gather, 2 * n + 1, s, off, l2=0.2, steps=8 if again else 18, start=fitted)
+        w, model.transitions = crf.fit(emission, gather, 2 * n + 1, s, cuts, l2=0.2, steps=8 if again else 18, start=fitted)
         fitted = np.concatenate([w, model.transitions.ravel()])
         model.own[used], model.near[used], model.bias = w[:n], w[n : 2 * n], float(w[2 * n])
         if not again:
@@ -174,28 +173,15 @@ def _share(docs: DataFrame, model: Model):
     return docs.sparkSession.sparkContext.broadcast(model)
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score", keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` (default: all) and out_col, the toxicity of each whole text."""
-    shared = _share(docs, model)
-
-    def make():
-        m = shared.value
-
-        def each(batch):
-            data, offsets = tk.column_bytes(batch.column(0))
-            for lo, hi in runtime.rows_within(offsets, SHARD_BYTES):
-                yield [pa.array(m.score(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]))]
-
-        return each
-
-    return runtime.map_arrow(docs, [text_col], make, [(out_col, T.DoubleType())], docs.columns if keep is None else keep)
+_SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())])
 
 
-def spans(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "spans", at_least: float = 0.5, keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` (default: all) and out_col: the offending words as (start, end, probability), in
-    code points, end exclusive."""
+def score(
+    docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score", keep: list[str] | None = None, spans_col: str | None = None, at_least: float = 0.5
+) -> DataFrame:
+    """The columns `keep` (default: all) and out_col, the toxicity of each whole text. With spans_col also, in
+    the same pass, the offending words: (start, end, probability), in code points, end exclusive."""
     shared = _share(docs, model)
-    kind = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())])
 
     def make():
         m = shared.value
@@ -204,19 +190,34 @@ def spans(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
             data, offsets = tk.column_bytes(batch.column(0))
             for lo, hi in runtime.rows_within(offsets, SHARD_BYTES):
                 part, own = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-                p, s, e, words = m.marginals(part, own)
-                points = np.concatenate(([0], np.cumsum((part & 0xC0) != 0x80)))
-                row = np.repeat(np.arange(hi - lo), np.diff(words))
-                hit = np.flatnonzero(p >= at_least)
-                base = points[own[:-1]][row[hit]]
-                values = pa.StructArray.from_arrays([pa.array(points[s[hit]] - base), pa.array(points[e[hit]] - base), pa.array(p[hit])], fields=list(kind))
-                ends = np.concatenate(([0], np.cumsum(np.bincount(row[hit], minlength=hi - lo)))).astype(np.int32)
-                yield [pa.ListArray.from_arrays(pa.array(ends), values)]
+                p, starts, ends, words = m.marginals(part, own)
+                out = [pa.array(m.of_marginals(p, words))]
+                if spans_col:
+                    points = np.concatenate(([0], np.cumsum((part & 0xC0) != 0x80)))
+                    row = np.repeat(np.arange(hi - lo), np.diff(words))
+                    hit = np.flatnonzero(p >= at_least)
+                    base = points[own[:-1]][row[hit]]
+                    values = pa.StructArray.from_arrays([pa.array(points[starts[hit]] - base), pa.array(points[ends[hit]] - base), pa.array(p[hit])], fields=list(_SPAN))
+                    each_row = np.concatenate(([0], np.cumsum(np.bincount(row[hit], minlength=hi - lo)))).astype(np.int32)
+                    out.append(pa.ListArray.from_arrays(pa.array(each_row), values))
+                yield out
 
         return each
 
-    element = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("p", T.DoubleType())])
-    return runtime.map_arrow(docs, [text_col], make, [(out_col, T.ArrayType(element))], docs.columns if keep is None else keep)
+    fields: list[tuple[str, T.DataType]] = [(out_col, T.DoubleType())]
+    if spans_col:
+        element = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("p", T.DoubleType())])
+        fields.append((spans_col, T.ArrayType(element)))
+    return runtime.map_arrow(docs, [text_col], make, fields, docs.columns if keep is None else keep)
+
+
+def spans(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "spans", at_least: float = 0.5, keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep` (default: all) and out_col, the offending words as score() gives them."""
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() != out_col.lower()]
+    names = {f"c{i}": c for i, c in enumerate(kept)}
+    inner = docs.select(F.col(f"`{text_col}`").alias("t"), *[F.col(f"`{c}`").alias(k) for k, c in names.items()])
+    found = score(inner, model, "t", "score", list(names), "found", at_least)
+    return found.select(*[F.col(k).alias(c) for k, c in names.items()], F.col("found").alias(out_col))
 
 
 def verdict(scored: DataFrame, id_col: str = "doc_id", score_col: str = "score", threshold: float = 0.3) -> list:

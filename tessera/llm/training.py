@@ -20,9 +20,11 @@ def is_held_out(id_col):
 def sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id", text_col: str = "text", per_class: tuple[int, int] = (SAMPLE_PER_CLASS, SAMPLE_PER_CLASS)) -> tuple[list[str], np.ndarray]:
     """Texts and labels of at most per_class[y] rows of each class y, none of them held out.
 
-    Rows are chosen by a hash of their id from all labelled ids, so the choice does not depend on how the
-    tables are laid out. Only ids travel until the choice is made; the chosen ids (sum(per_class) at most)
-    are broadcast. Texts over SAMPLE_TEXT_BYTES are passed over. Ids with several labels take the largest.
+    Rows are chosen by a hash of their id from all labelled ids with a text of at most SAMPLE_TEXT_BYTES, so
+    the choice does not depend on how the tables are laid out, and long texts leave no gaps in it. Only ids
+    travel until the choice is made; the chosen ids (sum(per_class) at most) are broadcast. Ids with several
+    labels take the largest, ids with several fitting texts the first in order; both are settled by Spark, so
+    the driver gets one row for each chosen id, however often the id is repeated.
     """
     ids = (
         labels.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{label}`").cast("int").alias("_y"))
@@ -30,14 +32,12 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id
         .where(~is_held_out("_id"))
         .groupBy("_id")
         .agg(F.max("_y").alias("_y"))
-        .withColumn("_h", F.xxhash64("_id"))
     )
-    chosen = ids.where("_y = 0").orderBy("_h", "_id").limit(per_class[0]).unionAll(ids.where("_y = 1").orderBy("_h", "_id").limit(per_class[1]))
-    texts = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_t")).where(
-        F.col("_t").isNotNull() & (F.octet_length("_t") <= SAMPLE_TEXT_BYTES)
-    )
-    rows = texts.join(F.broadcast(chosen), "_id").select("_h", "_id", "_t", "_y").toPandas()
-    rows = rows.sort_values(["_h", "_id", "_t"]).drop_duplicates(["_id"])
+    texts = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_t")).where(F.octet_length("_t") <= SAMPLE_TEXT_BYTES)
+    fits = texts.select("_id").distinct().join(ids, "_id").withColumn("_h", F.xxhash64("_id"))
+    chosen = fits.where("_y = 0").orderBy("_h", "_id").limit(per_class[0]).unionAll(fits.where("_y = 1").orderBy("_h", "_id").limit(per_class[1]))
+    rows = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "_h", "_y").agg(F.min("_t").alias("_t")).toPandas()
+    rows = rows.sort_values(["_h", "_id"])
     return rows["_t"].tolist(), rows["_y"].to_numpy(dtype=np.int64)
 
 

@@ -89,3 +89,64 @@ def test_spans_and_lines(spark):
     lines = quality.train(["good words in a line.\n" * 4, "BAD!! LINE!!\n" * 4] * 20, np.array([1, 0] * 20))
     p = {r.doc_id: r.lines for r in quality.line_labels(spark.createDataFrame([(1, "good words in a line.\nBAD!! LINE!!"), (2, None)], "doc_id long, text string"), lines).collect()}
     assert len(p[1]) == 2 and p[1][0] > 0.5 and len(p[2]) == 1
+
+
+def chain(e, w):
+    """Marginals of state 1 by the plain recursions, in probabilities."""
+    n = len(e)
+    f, b = np.zeros((n, 2)), np.ones((n, 2))
+    for t in range(n):
+        f[t] = np.exp([0, e[t]]) * (1 if t == 0 else f[t - 1] @ np.exp(w))
+        f[t] /= f[t].sum()
+    for t in range(n - 2, -1, -1):
+        b[t] = np.exp(w) @ (np.exp([0, e[t + 1]]) * b[t + 1])
+        b[t] /= b[t].sum()
+    p = f * b
+    return p[:, 1] / p.sum(1)
+
+
+def test_scores_equal_plain_versions(spark):
+    """Length weights, evidence, the logistic scale and the spans, each document by itself."""
+    import pyarrow as pa
+
+    from tessera.llm import textkernel as tk
+
+    docs = [(r.doc_id, r.text or "") for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()][:60] + [(-1, ""), (-2, "\n\nx\n"), (-3, "é 日本 " * 50)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    m = quality.fit(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), labels)
+    got = {r.doc_id: r for r in quality.score(df, m, keep=["doc_id"], lines_col="lines").collect()}
+    for i, text in docs:
+        data, offsets = tk.column_bytes(pa.array([text], pa.large_string()))
+        p = chain(m.weights[quality.measures(data, offsets)[0]].sum(1), m.transitions)
+        weight = np.array([len(x.encode()) + 1 for x in text.split("\n")])
+        x = (p * weight).sum() / weight.sum() * m.scale[0] + m.scale[1]
+        assert np.allclose(got[i].lines, p) and np.isclose(got[i].score, 1 / (1 + np.exp(-x)))
+    texts = ["some plain words stand here now"] * 40 + ["éé some idiot words stand here"] * 20
+    m = toxicity.train(texts, np.array([0] * 40 + [1] * 20))
+    docs += [(-4, "éé some idiot words\nand an Idiot, IDIOT")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r for r in toxicity.score(df, m, keep=["doc_id"], spans_col="spans").collect()}
+    for i, text in docs:
+        data, offsets = tk.column_bytes(pa.array([text], pa.large_string()))
+        own, starts, ends, words = toxicity.features(data, offsets)
+        e = np.array([m.bias + sum(float(m.own[f]) for f in x) + sum(float(m.near[own[j][0]]) for j in (k - 1, k + 1) if 0 <= j < len(own)) for k, x in enumerate(own)])
+        p = chain(e, m.transitions) if len(e) else np.zeros(0)
+        top = np.clip(p.max(initial=0), 1e-6, 1 - 1e-6)
+        evidence = [np.log(top / (1 - top)), np.log(max(p.sum(), 1e-5))] if len(p) else [-12.0, -12.0]
+        x = evidence[0] * m.scale[0] + evidence[1] * m.scale[1] + m.scale[2]
+        assert np.isclose(got[i].score, 1 / (1 + np.exp(-np.clip(x, -30, 30))), atol=1e-6)
+        raw = text.encode()
+        want = [(len(raw[:s].decode()), len(raw[:t].decode())) for s, t, q in zip(starts, ends, p) if q >= 0.5]
+        assert [(s.start, s.end) for s in got[i].spans] == want
+    assert len(got[-4].spans) >= 2
+
+
+def test_an_id_repeated_in_documents_reaches_the_driver_once(spark):
+    from tessera.llm import training
+
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, None), (1, "x" * 20000)] * 50 + [(2, "x" * 20000), (3, "c"), (4, "d"), (None, "e")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in (1, 1, 2, 3, 4, 5, 8, 9)] + [(None, 1)], "doc_id long, quality int")
+    free = {i for i in (1, 3, 4) if zlib.crc32(str(i).encode()) % 4 != 2}
+    texts, y = training.sample(docs, labels, "quality")
+    assert sorted(zip(texts, y.tolist())) == sorted((t, i % 2) for i, t in ((1, "a"), (3, "c"), (4, "d")) if i in free)
