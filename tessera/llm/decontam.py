@@ -1,17 +1,19 @@
 """Benchmark decontamination with suffix arrays over the training shards.
 
-Every shard (some megabytes of documents inside one task) gets a suffix array over its words; every
-suffix of every benchmark item is looked up in it by binary search, word by word, which yields the
-longest verbatim matches and where they lie. Nothing is shuffled: the documents stay where they were
-read, and the benchmark travels to them in blocks of a fixed size (`block_words`), each broadcast on
-its own, so that no broadcast grows with the benchmark and the driver holds one block at a time.
+Every shard (SHARD_BYTES of documents inside one task, gathered from its batches) gets a suffix array over
+its words; every suffix of every benchmark item whose first word the shard has is looked up in it by binary
+search, word by word, which yields the longest verbatim matches and where they lie. Nothing is shuffled: the
+documents stay where they were read, and the benchmark travels to them in blocks of a fixed size
+(`block_words`), each broadcast on its own. The driver holds one block at a time, and a worker that has more
+than RESIDENT of them to go through holds one at a time too and reads it again from its disk for the next
+shard.
 
 Suffixes that start with a word outside the block's vocabulary, or whose run of known words is
 shorter than every window, cannot hold a window and are left out of the array; this loses nothing.
 
 Defined results: a null text has no words; an item without words matches nothing; items with a null
-id are ignored; items that share an id count once; repeated documents each get their own row; an
-empty benchmark leaves every document clean; empty tables give empty results.
+id are ignored; items that share an id count once; item ids keep their type; repeated documents each get
+their own row; an empty benchmark leaves every document clean; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -23,18 +25,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import runtime
 from . import textkernel as tk
 
 SHARD_BYTES = 4 << 20
 BLOCK_WORDS = 1 << 20
+RESIDENT = 2  # blocks that a worker may keep
 
 
 class Block:
-    """Benchmark items as numbers: a vocabulary, the items' words and each suffix's window length."""
+    """Benchmark items as numbers: a vocabulary, the items' words and each suffix's window length. `keys` are
+    hashes of the items' ids."""
 
-    def __init__(self, ids: list[int], texts: list[str], window: int):
+    def __init__(self, keys: list[int], ids: list, texts: list[str], window: int):
         data, offsets = tk.column_bytes(pa.array(texts, pa.large_string()))
         starts, ends, rows = tk.word_bounds(data, offsets, tk.ALNUM)
         (hashes,) = tk.word_hashes(data, starts, ends)
@@ -47,7 +52,7 @@ class Block:
         first = np.concatenate(([0], np.cumsum(n_words)))[:-1]
         inside = np.arange(len(words)) - first[rows]
         left = n_words[rows] - inside
-        self.ids = np.asarray(ids, np.int64)
+        self.keys, self.ids = keys, ids
         self.item = rows
         self.start = place
         self.offset = inside
@@ -112,7 +117,10 @@ def _search(x: np.ndarray, block: Block, locate: bool) -> Iterator[tuple[int, np
     if not len(at):
         return
     sa = suffix_array(x, at, int(block.left.max()))
+    here = np.zeros(len(block.vocab) + 1, bool)
+    here[x[at]] = True
     live = np.flatnonzero(block.need > 0)
+    live = live[here[block.words[block.start[live]]]]
     lo, hi = np.zeros(len(live), np.int64), np.full(len(live), len(sa), np.int64)
     d = 0
     while len(live):
@@ -135,7 +143,8 @@ def _expand(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def scan(hashes: np.ndarray, rows: np.ndarray, n_rows: int, blocks, locate: bool):
-    """Per row: words, hit words, and (row, item id[, item start, document start, length]) pairs."""
+    """Per row: words, hit words, and (row, number of the item's id, item start, document start, length) of the
+    longest match of each pair; and the ids in the order of their numbers."""
     n_words = np.bincount(rows, minlength=n_rows)
     place = np.arange(len(hashes)) + rows  # a 0 closes every row
     first = np.concatenate(([0], np.cumsum(n_words + 1)))[:-1]
@@ -143,6 +152,8 @@ def scan(hashes: np.ndarray, rows: np.ndarray, n_rows: int, blocks, locate: bool
     row_of = np.repeat(np.arange(n_rows), n_words + 1)
     hit = np.zeros(total + 1, bool)
     found: list[np.ndarray] = []
+    number: dict[int, int] = {}
+    ids: list = []
     for block in blocks:
         if not len(block.vocab):
             continue
@@ -168,8 +179,18 @@ def scan(hashes: np.ndarray, rows: np.ndarray, n_rows: int, blocks, locate: bool
             k, m = _expand(begin[g], begin[g + 1])
             s = order[m]
             start = pos[where][k] - first[r[k]]
-            found.append(np.stack([r[k], block.ids[item[s]], block.offset[suffix[s]], start, np.full(len(k), d)], 1))
+            own, each = np.unique(item[s], return_inverse=True)
+            for i in own.tolist():
+                if number.setdefault(block.keys[i], len(ids)) == len(ids):
+                    ids.append(block.ids[i])
+            own = np.array([number[block.keys[i]] for i in own.tolist()], np.int64)
+            found.append(np.stack([r[k], own[each], block.offset[suffix[s]], start, np.full(len(k), d)], 1))
     pairs = np.concatenate(found) if found else np.zeros((0, 5), np.int64)
+    order = sorted(range(len(ids)), key=lambda i: repr(ids[i]) if isinstance(ids[i], (dict, list)) else ids[i])
+    place = np.empty(len(ids), np.int64)
+    place[order] = np.arange(len(ids))
+    ids = [ids[i] for i in order]
+    pairs[:, 1] = place[pairs[:, 1]]
     # the longest match of each (row, item), the first of several
     pairs = pairs[np.lexsort((pairs[:, 3], pairs[:, 2], -pairs[:, 4], pairs[:, 1], pairs[:, 0]))]
     if len(pairs):
@@ -177,29 +198,37 @@ def scan(hashes: np.ndarray, rows: np.ndarray, n_rows: int, blocks, locate: bool
         new[1:] = (pairs[1:, 0] != pairs[:-1, 0]) | (pairs[1:, 1] != pairs[:-1, 1])
         pairs = pairs[new]
     n_hit = np.bincount(row_of[np.flatnonzero(hit[:total])], minlength=n_rows)
-    return n_words, n_hit, pairs
+    return n_words, n_hit, pairs, ids
+
+
+def _one_by_one(blocks) -> Iterator[Block]:
+    """The broadcasts' blocks; if there are many, each is let go before the next is read."""
+    for b in blocks:
+        yield b.value
+        if len(blocks) > RESIDENT:
+            b.__dict__.pop("_value", None)
 
 
 def _blocks(bench: DataFrame, item_col: str, text_col: str, window: int, block_words: int):
     """Broadcasts of at most block_words words each (a longer item stands alone)."""
     sc = bench.sparkSession.sparkContext
     rows = (
-        bench.select(F.col(f"`{item_col}`").cast("long").alias("i"), F.col(f"`{text_col}`").alias("t"))
+        bench.select(F.col(f"`{item_col}`").alias("i"), F.xxhash64(f"`{item_col}`").alias("k"), F.col(f"`{text_col}`").alias("t"))
         .where("i is not null and t is not null")
         .toLocalIterator()
     )
-    ids: list[int] = []
-    texts: list[str] = []
+    keys, ids, texts = [], [], []
     out, size = [], 0
     for r in rows:
         if ids and size + len(r.t) // 2 > block_words:
-            out.append(sc.broadcast(Block(ids, texts, window)))
-            ids, texts, size = [], [], 0
+            out.append(sc.broadcast(Block(keys, ids, texts, window)))
+            keys, ids, texts, size = [], [], [], 0
+        keys.append(r.k)
         ids.append(r.i)
         texts.append(r.t)
         size += len(r.t) // 2 + 1
     if ids:
-        out.append(sc.broadcast(Block(ids, texts, window)))
+        out.append(sc.broadcast(Block(keys, ids, texts, window)))
     return out
 
 
@@ -218,8 +247,10 @@ def annotate(
     with a window in the document, holding its longest verbatim match (item_start, doc_start, length in
     words). With locate=False entries carry the window itself in place of the longest match."""
     blocks = _blocks(bench, item_col, item_text_col, window, block_words)
-    entry = T.StructType([T.StructField(n, T.LongType()) for n in ("item_id", "item_start", "doc_start", "length")])
-    arrow_entry = pa.struct([(n, pa.int64()) for n in ("item_id", "item_start", "doc_start", "length")])
+    kind = bench.schema[item_col].dataType
+    arrow_kind = to_arrow_type(kind)
+    entry = T.StructType([T.StructField("item_id", kind), *(T.StructField(n, T.LongType()) for n in ("item_start", "doc_start", "length"))])
+    arrow_entry = pa.struct([("item_id", arrow_kind), *((n, pa.int64()) for n in ("item_start", "doc_start", "length"))])
 
     def make():
         def each(batch):
@@ -228,16 +259,17 @@ def annotate(
                 part, own = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
                 starts, ends, rows = tk.word_bounds(part, own, tk.ALNUM)
                 (hashes,) = tk.word_hashes(part, starts, ends)
-                n_words, n_hit, pairs = scan(hashes, rows, hi - lo, (b.value for b in blocks), locate)
+                n_words, n_hit, pairs, ids = scan(hashes, rows, hi - lo, _one_by_one(blocks), locate)
                 counts = np.bincount(pairs[:, 0], minlength=hi - lo)
                 ends_ = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
-                values = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in range(1, 5)], fields=list(arrow_entry))
+                names = pa.array(ids, arrow_kind).take(pa.array(pairs[:, 1]))
+                values = pa.StructArray.from_arrays([names, *(pa.array(np.ascontiguousarray(pairs[:, k])) for k in range(2, 5))], fields=list(arrow_entry))
                 yield [pa.array(n_words), pa.array(n_hit), pa.ListArray.from_arrays(pa.array(ends_), values)]
 
         return each
 
     fields = [("n_words", T.LongType()), ("n_hit", T.LongType()), ("matches", T.ArrayType(entry))]
-    return runtime.map_arrow(docs, [text_col], make, fields, docs.columns if keep is None else keep)
+    return runtime.map_arrow(docs, [text_col], make, fields, docs.columns if keep is None else keep, SHARD_BYTES)
 
 
 def remove_contaminated(docs: DataFrame, bench: DataFrame, text_col: str = "text", window: int = 10, **options) -> DataFrame:

@@ -29,6 +29,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontam.annotate(docs, _read(spark, sf_dir, "benchmark"), keep=["doc_id"])
     items = F.array_sort(F.transform("matches", lambda m: m["item_id"].cast("string")))
+    longest = F.array_sort(F.transform("matches", lambda m: F.struct(m["item_id"].cast("string").alias("i"), F.concat_ws(":", *(m[k].cast("string") for k in ("item_id", "item_start", "doc_start", "length"))).alias("m"))))
     return out.select(
         "doc_id",
         "n_words",
@@ -36,6 +37,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("matches").cast("long").alias("n_items"),
         F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
+        F.array_join(F.transform(longest, lambda x: x["m"]), ",").alias("matches"),
     )
 
 
@@ -129,21 +131,27 @@ with dw as (
   select doc_id, coalesce(list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> ''), []) as w
   from documents),
 iw as (
-  select item_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') as w
+  select item_id, row_number() over () as ir, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') as w
   from benchmark),
 win as (
-  select distinct item_id, least(len(w), 10) as k, array_to_string(list_slice(w, i, i + least(len(w), 10) - 1), ' ') as s
-  from (select item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) as i from iw where len(w) > 0)),
+  select item_id, ir, i - 1 as ip, least(len(w), 10) as k, array_to_string(list_slice(w, i, i + least(len(w), 10) - 1), ' ') as s
+  from (select item_id, ir, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) as i from iw where len(w) > 0)),
 ks as (select distinct k from win),
 dwin as (
   select doc_id, p, k, array_to_string(list_slice(w, p, p + k - 1), ' ') as s
   from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as p from dw, ks where len(w) >= k)),
-hit as (select doc_id, item_id, p, dwin.k from dwin join win on dwin.s = win.s and dwin.k = win.k),
+hit as (select doc_id, item_id, ir, ip, p, dwin.k from dwin join win on dwin.s = win.s and dwin.k = win.k),
 pos as (select doc_id, count(distinct q) as n_hit from (select doc_id, unnest(range(p, p + k)) as q from (select distinct doc_id, p, k from hit)) group by doc_id),
-items as (select doc_id, count(*) as n_items, string_agg(i, ',' order by i) as l from (select distinct doc_id, cast(item_id as varchar) as i from hit) group by doc_id)
+items as (select doc_id, count(*) as n_items, string_agg(i, ',' order by i) as l from (select distinct doc_id, cast(item_id as varchar) as i from hit) group by doc_id),
+diagonal as (select *, p - 1 - ip as d, ip - row_number() over (partition by doc_id, ir, p - 1 - ip order by ip) as run from hit),
+match as (
+  select * from (select doc_id, item_id, min(ip) as ip, min(p) - 1 as dp, count(*) + any_value(k) - 1 as n from diagonal group by doc_id, item_id, ir, d, run)
+  qualify row_number() over (partition by doc_id, item_id order by n desc, ip, dp) = 1),
+matches as (select doc_id, string_agg(item_id || ':' || ip || ':' || dp || ':' || n, ',' order by cast(item_id as varchar)) as m from match group by doc_id)
 select dw.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
-  sha256(coalesce(l, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
-from dw left join pos using (doc_id) left join items using (doc_id)
+  sha256(coalesce(l, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated,
+  coalesce(m, '') as matches
+from dw left join pos using (doc_id) left join items using (doc_id) left join matches using (doc_id)
 """
 
 

@@ -16,9 +16,12 @@ from pyspark.sql import types as T
 from ..ship import ship
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir); a local one only where that is unset."""
+    """The shared folder of the cluster (spark.checkpoint.dir). Where that is unset: a folder of the warehouse,
+    which a cluster shares too, and a temporary one only if driver and executors are one process (local mode)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (found or os.path.join(tempfile.gettempdir(), "tessera-checkpoints")).rstrip("/")
+    if not found and spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+        found = os.path.join(tempfile.gettempdir(), "tessera-checkpoints")
+    return (found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/tessera-checkpoints").rstrip("/")
 
 
 #: Rows and bytes of a batch that goes to a Python worker and back. Texts are long, so Spark's own 10,000
@@ -27,7 +30,8 @@ BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 
 
 def _small_batches(spark: SparkSession) -> None:
-    """Sets the session's Arrow batch size, unless it is set below ours already."""
+    """Sets the session's Arrow batch size, unless it is set below ours already. It stays set, as Spark reads it
+    when a plan runs, which is after the operator has returned its DataFrame."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
         now = spark.conf.get(key, None)
         if now is None or not now.isdigit() or not 0 < int(now) <= most:
@@ -44,11 +48,12 @@ def _release() -> None:
 
 
 class Scratch:
-    """Tables written to the shared folder to cut lineage. drop() frees those that no later plan reads."""
+    """Tables written to the shared folder to cut lineage. drop() frees those that no later plan reads, close()
+    all but those that the operator's result still reads."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base = spark, f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self._n = 0
+        self._made: list[str] = []
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
@@ -56,16 +61,22 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def path(self, name: str) -> str:
-        self._n += 1
-        return f"{self.base}/{self._n:03d}-{name}"
+        self._made.append(f"{self.base}/{len(self._made) + 1:03d}-{name}")
+        return self._made[-1]
 
     def drop(self, *tables: DataFrame) -> None:
+        self._delete({os.path.dirname(f) for t in tables for f in t.inputFiles()})
+
+    def close(self, *keep: DataFrame) -> None:
+        kept = {os.path.basename(os.path.dirname(f)) for t in keep for f in t.inputFiles()}
+        self._delete({m for m in self._made if os.path.basename(m) not in kept})
+
+    def _delete(self, paths: set[str]) -> None:
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for t in tables:
-            for f in {os.path.dirname(f) for f in t.inputFiles()}:
-                p = jvm.org.apache.hadoop.fs.Path(f)
-                p.getFileSystem(conf).delete(p, True)
+        for f in paths:
+            p = jvm.org.apache.hadoop.fs.Path(f)
+            p.getFileSystem(conf).delete(p, True)
 
 
 def map_arrow(
@@ -74,12 +85,14 @@ def map_arrow(
     make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]],
     fields: list[tuple[str, T.DataType]],
     keep: list[str] | None = None,
+    gather: int = 0,
 ) -> DataFrame:
     """mapInArrow over the columns `read` (as _r0, _r1, ...), passing the columns `keep` through.
 
     make() runs once per task and returns a function from a batch to batches holding the kept columns
     (_k0, ...) followed by `fields`. Columns are handled by position inside, so extra columns whose
-    names clash with the new ones do no harm: the operator's column replaces the old one.
+    names clash with the new ones do no harm: the operator's column replaces the old one. Batches are
+    put together until they have `gather` bytes.
     """
     ship(df.sparkSession)
     _small_batches(df.sparkSession)
@@ -97,9 +110,7 @@ def map_arrow(
 
     def run(batches):
         each = make()
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in _gathered(batches, gather):
             kept = [b.column(n_read + i) for i in range(n_keep)]
             at = 0
             for out in each(b):
@@ -117,6 +128,24 @@ def map_arrow(
     )
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The batches that have rows, neighbours put together until they have `size` bytes."""
+    held, held_bytes = [], 0
+
+    def together():
+        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            held_bytes += b.nbytes
+        if held and held_bytes >= size:
+            yield together()
+            held, held_bytes = [], 0
+    if held:
+        yield together()
+
+
 def rows_within(offsets, limit: int) -> Iterator[tuple[int, int]]:
     """Consecutive row ranges of at most `limit` bytes; a longer row stands alone."""
     lo, n = 0, len(offsets) - 1

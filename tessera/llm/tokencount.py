@@ -142,4 +142,4 @@ def count(docs: DataFrame, pieces: list[str], text_col: str = "text", keep: list
         return each
 
     fields = [("n_pretokens", T.LongType()), ("n_tokens", T.LongType())]
-    return runtime.map_arrow(docs, [text_col], make, fields, docs.columns if keep is None else keep)
+    return runtime.map_arrow(docs, [text_col], make, fields, docs.columns if keep is None else keep, SHARD_CHARS)

@@ -84,3 +84,24 @@ def test_filter_and_empty_tables(spark):
     assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(str(x[0]) for x in brute(docs, items, 6) if x[2] == 0)
     assert decontam.annotate(d, b.limit(0)).where("n_hit > 0").count() == 0
     assert decontam.annotate(d.limit(0), b).count() == 0
+
+
+def test_ids_keep_their_type(spark):
+    docs = spark.createDataFrame([("x1", "one two three four"), (None, "four five six seven eight"), ("x1", None)], "doc_id string, text string")
+    bench = spark.createDataFrame([("q-2", "two three"), ("q-1", "five six seven"), ("q-1", "seven eight"), (None, "one"), ("q-3", None)], "item_id string, text string")
+    for blocks in (1, 1 << 20):
+        got = sorted(((r.doc_id, r.n_hit, [tuple(m) for m in r.matches]) for r in decontam.annotate(docs, bench, keep=["doc_id"], block_words=blocks).collect()), key=str)
+        assert got == sorted([(None, 4, [("q-1", 0, 1, 3)]), ("x1", 0, []), ("x1", 2, [("q-2", 0, 1, 2)])], key=str)
+
+
+def test_a_shard_is_gathered_from_batches(spark, monkeypatch):
+    seen = []
+    from tessera.llm import runtime
+
+    import pyarrow as pa
+
+    batches = [pa.record_batch({"t": pa.array(["ab" * 50] * n, pa.string())}) for n in (3, 0, 5, 40, 1)]
+    for b in runtime._gathered(iter(batches), 1500):
+        seen.append(b.num_rows)
+    assert seen == [48, 1] or seen == [8 + 40, 1]
+    assert [b.num_rows for b in runtime._gathered(iter(batches), 0)] == [3, 5, 40, 1]
