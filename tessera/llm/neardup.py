@@ -12,12 +12,15 @@ no comparison, as they cannot change the result, so members of a shingle's large
 others. Near copies with many changes of their own start with shingles that no other has, and meet nobody.
 
 The number of bands follows from the threshold: a pair at the threshold is missed with a probability of at
-most MISS. Sets of candidates are fetched by a join; ids are broadcast only below BROADCAST_IDS of them.
+most MISS. Sets of candidates are made once; ids and pairs are broadcast only below BROADCAST_IDS of them. A
+centre with many members, and a shingle that many have, are divided: the many are dealt out by a salt, and the
+other side is sent once to each part, not once to each pair.
 
 Defined results: a document without words or text has an empty set and is linked with nothing; one with
 fewer words than a shingle has one shingle, the whole sequence; rows that share an id are linked with each
-other through it; a row with a null id is linked with nothing, has a null component_id and is kept; empty
-tables give empty results.
+other through it; a row with a null id is linked with nothing, has a null component_id and is kept by
+components(); deduplicate() tells rows that share an id, or have none, apart and keeps one row of each group;
+ids may be of any type with an order; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -37,6 +40,7 @@ SHARD_BYTES = 1 << 20
 ROWS = 5
 MISS = 1e-7
 BROADCAST_IDS = 500_000
+DEALT = 1000  # rows of a centre or a shingle that go to one task together
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _ODD = np.array([0x9E3779B97F4A7C15 + 0x6A09E667F3BCC909 * k & (1 << 64) - 1 | 1 for k in range(64)], np.uint64)
 
@@ -182,20 +186,24 @@ class _Finder:
         return self.docs.join(ids, "id", "left_semi")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose full sets reach the threshold, as a table."""
+        """The pairs (a, b) whose full sets reach the threshold, as a table. b's set goes to a's, whose pairs
+        are dealt out DEALT at a time; a's set goes there once for each deal."""
         s = self.scratch
         ids = s.table(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
         sets = s.table(_sets(self.of_ids(ids), self.words), "sets")
-        left, right = sets.toDF("a", "sa"), sets.toDF("b", "sb")
+        deals = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / DEALT).cast("int").alias("deals"))
+        dealt = s.table(pairs.join(deals, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("deals")).cast("int").alias("deal")), "dealt")
+        few = F.broadcast(dealt) if dealt.count() <= BROADCAST_IDS else dealt
+        right = sets.toDF("b", "sb").join(few, "b")
+        left = sets.toDF("a", "sa").join(deals, "a").select("a", "sa", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"))
         both = F.size(F.array_intersect("sa", "sb"))
         links = (
-            pairs.join(left, "a")
-            .join(right, "b")
+            right.join(left, ["a", "deal"])
             .select("a", "b", (F.size("sa") + F.size("sb")).alias("total"), both.alias("both"))
             .where(F.col("both") * 100 >= (F.col("total") - F.col("both")) * self.percent)
         )
         out = s.table(links.select("a", "b").distinct(), "links")
-        s.drop(ids, sets)
+        s.drop(ids, sets, dealt)
         return out
 
     def run(self) -> DataFrame:
@@ -241,9 +249,12 @@ class _Finder:
                 labels = s.table(graph.components(links, s), "labels")
         comp = member.distinct().join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
         comp = comp.groupBy("id").agg(F.min(F.coalesce("label", "rep")).alias("component"))
-        return sig.select("id", "n").join(comp, "id", "left").select(
+        found = sig.select("id", "n").join(comp, "id", "left").select(
             "id", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component")
         )
+        found = s.table(found, "components")
+        s.close(found)
+        return found
 
     def _second(self, rows: DataFrame) -> DataFrame:
         """Pairs of each member of the open buckets with a centre of another component."""
@@ -270,12 +281,18 @@ class _Finder:
         prefix = tokens.join(shared, "token").withColumn("i", place).where(F.expr(f"i <= n - (n * {p} + 99) div 100 + 1"))
         prefix = s.table(prefix.select("token", "rep", "n", "i", "comp"), "prefixes")
         sizes = prefix.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
-        mixed = sizes.groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("major"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-        minor = prefix.join(mixed.select("token", "major"), "token").where("comp <> major").drop("major")
-        other = prefix.toDF("token", "rep2", "n2", "i2", "comp2")
+        mixed = sizes.groupBy("token").agg(
+            F.max_by("comp", F.struct("k", "comp")).alias("major"), F.count(F.lit(1)).alias("comps"), F.ceil(F.sum("k") / DEALT).cast("int").alias("deals")
+        )
+        # a table of its own, so that the joins with it can be divided where a shingle has many rows
+        mixed = s.table(mixed.where("comps > 1").drop("comps"), "mixed")
+        marked = prefix.join(mixed, "token")
+        minor = marked.where("comp <> major").withColumn("deal", F.pmod(F.xxhash64("rep"), F.col("deals")).cast("int")).drop("major", "deals")
+        other = marked.withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).select("token", "rep", "n", "i", "comp", "deal")
+        other = other.toDF("token", "rep2", "n2", "i2", "comp2", "deal")
         overlap = f"((n + n2) * {p} + {99 + p}) div {100 + p}"
         room = F.expr(f"comp <> comp2 and i <= n - {overlap} + 1 and i2 <= n2 - {overlap} + 1") & self.close("n", "n2")
-        found = minor.join(other, (minor["token"] == other["token"]) & room)
+        found = minor.join(other, ["token", "deal"]).where(room)
         return found.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
 
 
@@ -283,18 +300,42 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """For each row: id_col, n_shingles, component_id (the smallest id reachable over links, itself included)
     and kept (id = component_id). Two documents are linked if 100 * |intersection| >= percent * |union| of
     their sets of `words`-word shingles; words are lower-cased (A-Z) and divided by white space."""
-    inner = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    out = _Finder(inner, words, percent).run()
+    inner = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    kind = docs.schema[id_col].dataType
+    if isinstance(kind, T.IntegralType):
+        out = _Finder(inner.withColumn("id", F.col("id").cast("long")), words, percent).run()
+    else:
+        # links are found between numbers: the ids' places in their order
+        scratch = runtime.Scratch(docs.sparkSession, "neardup-ids")
+        ids = inner.select("id").where("id is not null").distinct().orderBy("id").select("id", F.monotonically_increasing_id().alias("number"))
+        ids = scratch.table(ids, "ids")
+        numbered = inner.join(ids, "id", "left").select(F.col("number").alias("id"), "text")
+        found = _Finder(numbered, words, percent).run()
+        found = found.join(ids.select("id", "number").toDF("own", "id"), "id", "left")
+        found = found.join(ids.select(F.col("id").alias("first"), F.col("number").alias("component")), "component", "left")
+        out = found.select(F.col("own").alias("id"), "n", F.col("first").alias("component"))
     return out.select(
-        F.col("id").alias(id_col),
+        F.col("id").cast(kind).alias(id_col),
         F.col("n").alias("n_shingles"),
-        F.col("component").alias("component_id"),
+        F.col("component").cast(kind).alias("component_id"),
         F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"),
     )
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that are kept, one of each group, with their own columns."""
-    found = components(docs, id_col, text_col, words, percent)
-    gone = found.where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[f"`{id_col}`"] == gone["_gone"], "left_anti")
+    """One row of each group of near-duplicates, with its own columns: the row with the least id."""
+    names = {f"c{i}": c for i, c in enumerate(docs.columns)}
+    own = docs.toDF(*names)
+    key, text = (next(k for k, c in names.items() if c == x) for x in (id_col, text_col))
+    if own.groupBy(key).count().where((F.col("count") > 1) | F.col(key).isNull()).isEmpty():
+        found = components(own.select(key, text), key, text, words, percent)
+        gone = found.where(~F.col("kept")).select(F.col(key).alias("gone"))
+        kept = own.join(gone, own[key] == F.col("gone"), "left_anti")
+    else:
+        # rows are told apart by a number of their own
+        scratch = runtime.Scratch(docs.sparkSession, "neardup-rows")
+        rows = scratch.table(own.withColumn("row", F.monotonically_increasing_id()), "rows")
+        found = components(rows.select("row", text), "row", text, words, percent).join(rows.select("row", key), "row")
+        groups = found.groupBy("component_id").agg(F.min(F.struct(F.col(key).isNull(), F.col(key), "row"))["row"].alias("row"))
+        kept = rows.join(groups.select("row"), "row", "left_semi").drop("row")
+    return kept.select(*[F.col(k).alias(c) for k, c in names.items()])

@@ -88,3 +88,33 @@ def test_components_of_a_path_and_a_hub(spark):
     df = spark.createDataFrame(edges, "a long, b long")
     labels = {r.node: r.label for r in graph.components(df, runtime.Scratch(spark, "test")).collect()}
     assert all(labels[i] == 0 for i in range(201)) and all(labels[k] == 1000 for k in range(1000, 1400))
+
+
+def test_ids_of_any_type(spark):
+    rows = [("x10", "same words in this text here"), ("x2", "Same words in this text here"), ("a", "other words in that text there"), (None, "same words in this text here"), ("x2", None)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in neardup.components(df).collect()), key=str)
+    assert got == sorted([("x10", "x10", True), ("x2", "x10", False), ("a", "a", True), (None, None, True), ("x2", "x2", True)], key=str)
+    dates = spark.createDataFrame([(i % 3, "the same text for all of them") for i in range(6)], "doc_id short, text string")
+    assert {(r.doc_id, r.component_id) for r in neardup.components(dates).collect()} == {(0, 0), (1, 0), (2, 0)}
+    assert neardup.components(dates).schema["component_id"].dataType == dates.schema["doc_id"].dataType
+
+
+def test_one_row_of_each_group_is_kept(spark):
+    text, near = " ".join(f"w{i}" for i in range(60)), " ".join(f"w{i}" for i in range(1, 61))
+    rows = [(5, text), (5, text), (None, text), (None, near), (4, near), (None, "quite another text of its own here"), (7, "the third text of all of these"), (7, "a fourth text with the id of the third"), (9, None), (9, "")]
+    df = spark.createDataFrame([(a, b, "x", "y") for a, b in rows], "doc_id long, text string, `a.b` string, row string")
+    kept = neardup.deduplicate(df)
+    assert kept.columns == df.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert got == sorted([(4, near), (None, rows[5][1]), (7, rows[6][1]), (7, rows[7][1]), (9, None), (9, "")], key=str)
+
+
+def test_a_hot_centre_and_a_hot_shingle_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "DEALT", 7)
+    monkeypatch.setattr(neardup, "BROADCAST_IDS", 0)
+    r = random.Random(4)
+    base = [f"w{i}" for i in range(80)]
+    rows = [(i, vary(r, base, r.choice([0, 1, 2, 3, 4, 5, 6, 7]))) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(neardup.components(df, words=3, percent=85)) == brute(rows, 3, 85)
