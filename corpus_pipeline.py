@@ -1,7 +1,12 @@
 """The training-data pipeline: toxicity, near-duplicates, decontamination, secrets, encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
-documents. A stage's result is written as Parquet and read again as the next one's docs.
+documents. A stage's result is written as Parquet and read again as the next one's docs; the table before it
+is then deleted, so that one table stands between two stages.
+
+Defined results: a null or empty text is not toxic, not a copy, not contaminated, has no secrets and no ids;
+rows that repeat an id, or have none, are told apart, and of equal texts one row stays; further columns, whatever
+their names, pass through all stages but the last; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -16,11 +21,21 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 TOXIC = 0.3
 
 
+def _names(docs: DataFrame) -> dict[str, str]:
+    """Plain names for the columns, whatever their own are."""
+    return {f"c{i}": c for i, c in enumerate(docs.columns)}
+
+
+def _of(names: dict[str, str], column: str) -> str:
+    return next(k for k, c in names.items() if c == column)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays below TOXIC."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.score(docs.select(*[F.col(c).alias(f"d_{c}") for c in docs.columns]), model, "d_text")
-    return scored.where(F.col("score") < TOXIC).select(*[F.col(f"d_{c}").alias(c) for c in docs.columns])
+    names = _names(docs)
+    scored = toxicity.score(docs.toDF(*names), model, _of(names, "text"))
+    return scored.where(F.col("score") < TOXIC).select(*[F.col(k).alias(c) for k, c in names.items()])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,10 +51,15 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, every secret in their text replaced by a mask; n_chars follows the text."""
     out = secrets.redact(docs, secrets.train(secrets.labelled_samples(docs)))
-    if "n_chars" in docs.columns:
-        changed = F.length("text").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.coalesce(changed, F.col("n_chars")))
-    return out.select(*docs.columns)
+    names = _names(out)
+    text = _of(names, "text")
+
+    def column(k: str, c: str):
+        if c != "n_chars":
+            return F.col(k)
+        return F.coalesce(F.length(text).cast(docs.schema[c].dataType), F.col(k))
+
+    return out.toDF(*names).select(*[column(k, c).alias(c) for k, c in names.items()])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +83,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in their order over sf_dir's documents."""
     scratch = runtime.Scratch(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
         docs = scratch.table(stage(spark, docs, sf_dir), name)
+        scratch.drop(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
