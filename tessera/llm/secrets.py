@@ -3,12 +3,16 @@
 Three base kinds are found by regular expressions. A fourth, `random`, is found by the method: runs of
 at least MIN_RUN key characters are scored by the log-likelihood ratio of two first-order Markov models
 over characters, one trained on random strings, one on ordinary identifiers. The labelled samples are
-`labelled_samples`: random strings made from digests (hexadecimal, base 62 and base 64), and words and
-joined words of at most SAMPLE_DOCS documents chosen by a hash of their id.
+`labelled_samples`: random strings made from digests (hexadecimal, base 62 and base 64), and the words of
+all documents, each with its count; joined by "_", "-" or a capital letter they make identifiers. Words are
+counted before they are shuffled, and only counts of pairs of characters reach the driver.
+
+A run of MIN_RUN characters is the shortest that the models tell apart: README has the recall by length.
 
 Spans are in code points, end exclusive. Base spans stay whatever the model says; runs that overlap a
 base span add nothing. Positions come from one split and one extraction by the same expression: the
-lengths of the pieces and of the matches between them add up to the offsets.
+lengths of the pieces and of the matches between them add up to the offsets, in blocks of BLOCK matches, so
+that time grows with the text and its matches and not with their product.
 
 Defined results: a null text is an empty one and has no spans; an empty table trains on random strings
 alone and finds nothing; repeated rows each get their own result.
@@ -16,15 +20,18 @@ alone and finds nothing; repeated rows each get their own result.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 RUN = "[A-Za-z0-9+/_-]"
 MIN_RUN = 20
-SAMPLE_DOCS = 300
-SAMPLE_TEXT_BYTES = 16_000
 RANDOM_STRINGS = 6_000
+BLOCK = 128  # matches of a block of offsets
+PIECE = 64  # code points of a piece of text that a mask's surroundings are cut from
 #: A run is random if its ratio exceeds this many nats for the run and this many for each character.
 LIMIT, LIMIT_PER_CHAR = 10.0, 0.6
 
@@ -44,23 +51,56 @@ HEX = "[0-9a-f]+"
 KINDS = ("assign", "access", "hex", "random")
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f mentions it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _running(
+    items: Column, zero: Column, weight: Callable[[Column], Column], combine: Callable[[Column, Column], Column], emit: Callable[[Column, Column], Column], kind: str
+) -> Column:
+    """emit(before, item) for each item of an array, `before` being the combined weights of the items before it.
+    Blocks of BLOCK items are gone through on their own, from the combined weights of the blocks before."""
+
+    def within(block: Column, start: Column) -> Column:
+        def step(acc: Column, item: Column) -> Column:
+            return F.struct(combine(acc["at"], weight(item)).alias("at"), F.concat(acc["out"], F.array(emit(acc["at"], item))).alias("out"))
+
+        return F.aggregate(block, F.struct(start.alias("at"), F.array().cast(kind).alias("out")), step, lambda acc: acc["out"])
+
+    def in_blocks(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.aggregate(b, zero, lambda acc, item: combine(acc, weight(item))))
+        before = F.aggregate(
+            totals,
+            F.struct(zero.alias("at"), F.array().cast("array<int>").alias("out")),
+            lambda acc, t: F.struct(combine(acc["at"], t).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
+            lambda acc: acc["out"],
+        )
+        return F.flatten(F.zip_with(blocks, before, within))
+
+    def cut(all_: Column) -> Column:
+        firsts = F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / BLOCK).cast("int"))
+        return F.transform(firsts, lambda b: F.slice(all_, b * BLOCK + 1, F.lit(BLOCK)))
+
+    return F.when(F.size(items) > 0, _let(_let(items, cut), in_blocks)).otherwise(F.array().cast(kind))
+
+
 def find_all(text: Column, pattern: str) -> Column:
     """array<struct<start, end, value>> of the leftmost non-overlapping matches of a pattern that never
     matches the empty string."""
     parts = F.zip_with(
         F.split(text, pattern, -1),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-        lambda piece, match: F.struct(F.length(piece).alias("gap"), match.alias("value")),
+        lambda piece, match: F.struct(F.length(piece).alias("gap"), F.length(match).alias("size"), match.alias("value")),
     )
 
-    def step(acc: Column, part: Column) -> Column:
-        start = acc["at"] + part["gap"]
-        end = start + F.length(part["value"])
-        span = F.struct(start.alias("start"), end.alias("end"), part["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+    def span(at: Column, part: Column) -> Column:
+        start = at + part["gap"]
+        return F.struct(start.alias("start"), (start + part["size"]).alias("end"), part["value"].alias("value"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_FOUND).alias("out"))
-    found = F.aggregate(F.filter(parts, lambda p: p["value"].isNotNull()), zero, step, lambda acc: acc["out"])
+    found = _let(
+        F.filter(parts, lambda p: p["value"].isNotNull()), lambda ps: _running(ps, F.lit(0), lambda p: p["gap"] + p["size"], lambda x, y: x + y, span, _FOUND)
+    )
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(_FOUND))
 
 
@@ -80,16 +120,10 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(_as_spans(long, 0), _as_spans(access, 1), _as_spans(hexa, 2)))
 
 
-def _read_docs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Texts of at most SAMPLE_DOCS ids, chosen among all ids by a hash; only ids travel to be chosen."""
-    ids = docs.select(F.col(f"`{id_col}`").alias("_id")).where("_id is not null").distinct()
-    ids = ids.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_DOCS)
-    texts = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("t")).where(F.octet_length("t") <= SAMPLE_TEXT_BYTES)
-    return texts.join(F.broadcast(ids), "_id").select("t")
-
-
-def labelled_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(s, random): labelled strings over ALPHABET to train the models on."""
+def labelled_samples(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(s, random, n): labelled strings over ALPHABET to train the models on, and how often each occurs. The
+    ordinary ones are the words of all documents, between blanks that stand for a joint with another word;
+    words of MIN_RUN characters or more that hold a digit are left out, as they may be secrets themselves."""
     spark: SparkSession = docs.sparkSession
     digest = F.sha2(F.concat(F.lit("sample "), F.col("id").cast("string")).cast("binary"), 256)
     b64 = F.base64(F.unhex(digest))
@@ -100,36 +134,48 @@ def labelled_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.upper(F.translate(b64, "+/=", "")).substr(F.lit(1), size),
         F.translate(b64, "=", "").substr(F.lit(1), size),
     )
-    made = spark.range(RANDOM_STRINGS).select(F.get(kinds, F.pmod(F.col("id"), F.lit(4)).cast("int")).alias("s"), F.lit(True).alias("random"))
-    clean = F.regexp_replace(F.regexp_replace(F.regexp_replace("t", ASSIGN, " "), ACCESS, " "), "[0-9a-f]{32,}", " ")
-    texts = _read_docs(docs, id_col, text_col).select(F.filter(F.split(clean, f"[^{RUN[1:-1]}]+"), lambda w: F.length(w) >= 2).alias("words"))
-    words = F.col("words")
-    joined = F.transform(
-        words,
-        lambda w, i: F.when(i % 4 == 0, F.concat_ws("_", w, F.get(words, i + 1)))
-        .when(i % 4 == 1, F.concat(w, F.initcap(F.get(words, i + 1)), F.initcap(F.get(words, i + 2))))
-        .when(i % 4 == 2, F.concat_ws("-", w, F.get(words, i + 1), F.get(words, i + 2)))
-        .otherwise(w),
-    )
-    own = texts.select(F.explode(joined).alias("s"), F.lit(False).alias("random"))
-    return made.unionAll(own.where("s is not null"))
+    made = spark.range(RANDOM_STRINGS).select(F.get(kinds, F.pmod(F.col("id"), F.lit(4)).cast("int")).alias("s"), F.lit(True).alias("random"), F.lit(1).cast("long").alias("n"))
+    texts = docs.select(F.col(f"`{text_col}`").alias("t")).where("t is not null")
+    words = texts.select(F.explode(F.regexp_extract_all("t", F.lit(f"{RUN}{{2,}}"), F.lit(0))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    # what may be a secret itself teaches nothing about ordinary words
+    words = words.where(~((F.length("w") >= MIN_RUN) & F.col("w").rlike("[0-9]")) & ~F.col("w").rlike(ACCESS))
+    return made.unionAll(words.select(F.concat(F.lit(" "), "w", F.lit(" ")).alias("s"), F.lit(False).alias("random"), "n"))
 
 
 def train(samples: DataFrame) -> list[float]:
     """Log-likelihood ratios (random against ordinary) of each pair of characters, row by row over ALPHABET.
 
     The counts of pairs are summed by Spark; what comes to the driver is one row for each label and pair of
-    ALPHABET, 2 * len(ALPHABET) ** 2 at most, whatever the samples' size.
+    ALPHABET and the blank, 2 * (len(ALPHABET) + 1) ** 2 at most, whatever the samples' size. A word that can
+    follow another does so as an identifier's part: behind "_", behind "-", or with a capital letter.
     """
-    import math
-
+    # long strings in pieces, each with the first character of the next
+    pieces = samples.select("random", "n", F.regexp_extract_all("s", F.lit("(?s).{1,500}"), F.lit(0)).alias("p"))
+    pieces = pieces.select("random", "n", F.explode(F.transform("p", lambda x, i: F.concat(x, F.coalesce(F.substring(F.get("p", i + 1), 1, 1), F.lit(""))))).alias("s"))
     pair = F.explode(F.transform(F.sequence(F.lit(1), F.length("s") - 1), lambda i: F.substring("s", i, F.lit(2))))
-    counts = samples.where(F.length("s") >= 2).select("random", pair.alias("p")).where(F.col("p").rlike(f"^{RUN}{RUN}$"))
+    one = f"[ {RUN[1:]}"
+    counts = pieces.where(F.length("s") >= 2).select("random", "n", pair.alias("p")).where(F.col("p").rlike(f"^{one}{one}$"))
     n = len(ALPHABET)
     table = {True: [[0.5] * n for _ in range(n)], False: [[0.5] * n for _ in range(n)]}
     place = {c: i for i, c in enumerate(ALPHABET)}
-    for r in counts.groupBy("random", "p").count().collect():
-        table[r["random"]][place[r["p"][0]]][place[r["p"][1]]] += r["count"]
+    first, last = {}, {}
+    for r in counts.groupBy("random", "p").agg(F.sum("n").alias("n")).collect():
+        a, b = r["p"]
+        if a == " ":
+            first[b] = r["n"]
+        elif b == " ":
+            last[a] = r["n"]
+        else:
+            table[r["random"]][place[a]][place[b]] += r["n"]
+    words = sum(first.values())
+    for joint in "_-":
+        for c, k in first.items():
+            table[False][place[joint]][place[c]] += k
+        for c, k in last.items():
+            table[False][place[c]][place[joint]] += k
+    for a, k in last.items():
+        for b, m in first.items():
+            table[False][place[a]][place[b.upper()]] += k * m / words
     sums = {k: [sum(row) for row in t] for k, t in table.items()}
     return [math.log(table[True][i][j] / sums[True][i]) - math.log(table[False][i][j] / sums[False][i]) for i in range(n) for j in range(n)]
 
@@ -180,15 +226,30 @@ def redact(docs: DataFrame, model: list[float], text_col: str = "text", mask: st
     names = {f"c{i}": c for i, c in enumerate(docs.columns)}
     text = next(k for k, c in names.items() if c == text_col)
     found = scan(docs.toDF(*names), model, text, "spans")
+    spans = F.col("spans")
+    # what stands before each span and behind those before it; null inside a mask
+    kept = _running(
+        spans,
+        F.lit(0),
+        lambda s: s["end"],
+        lambda x, y: F.greatest(x, y),
+        lambda at, s: F.struct(at.alias("from"), F.when(s["start"] >= at, s["start"]).alias("to")),  # an overlapping span only lengthens the mask before it
+        "array<struct<from:int,to:int>>",
+    )
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.col(text).substr(acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        fresh = s["start"] >= acc["at"]  # an overlapping span only lengthens the mask before it
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], gap, F.lit(mask))).otherwise(acc["out"]).alias("out"))
-
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(
-        "spans", zero, step, lambda acc: F.concat(acc["out"], F.col(text).substr(acc["at"] + 1, F.length(text)))
+    def piece(parts: Column, a: Column, b: Column) -> Column:
+        """The code points a to b of the text, from its parts of PIECE code points."""
+        lo = F.floor(a / PIECE).cast("int")
+        inner = F.array_join(F.slice(parts, lo + 1, F.floor((b - 1) / PIECE).cast("int") - lo + 1), "")
+        return F.when(b > a, F.substring(inner, a - lo * PIECE + 1, b - a)).otherwise("")
+
+    end = F.aggregate(spans, F.lit(0), lambda acc, s: F.greatest(acc, s["end"]))
+    done = _let(
+        F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)),
+        lambda parts: F.concat(
+            F.array_join(F.transform(F.filter(kept, lambda k: k["to"].isNotNull()), lambda k: F.concat(piece(parts, k["from"], k["to"]), F.lit(mask))), ""),
+            piece(parts, end, F.length(text)),
+        ),
     )
     safe = F.when(F.size("spans") > 0, done).otherwise(F.col(text))
     return found.select(*[(safe if k == text else F.col(k)).alias(c) for k, c in names.items()])

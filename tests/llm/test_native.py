@@ -70,6 +70,47 @@ def test_spans_equal_brute_force(spark, docs, model):
     assert secrets.scan(df.limit(0), model).count() == 0
 
 
+def test_recall_by_length(model):
+    """Of random strings of MIN_RUN characters and more nearly all are found, of joined words nearly none."""
+    import random
+    import string
+
+    r = random.Random(1)
+    for alphabet in (string.ascii_letters + string.digits, "0123456789abcdef", string.ascii_letters + string.digits + "+/", string.ascii_lowercase + string.digits):
+        for n in (20, 24, 32):
+            runs = ["".join(r.choice(alphabet) for _ in range(n)) for _ in range(300)]
+            found = sum(x >= secrets.LIMIT and x >= secrets.LIMIT_PER_CHAR * n for x in (ratio(z, model) for z in runs))
+            assert found >= 0.97 * len(runs), (alphabet, n, found)
+
+
+def test_ordinary_words_are_counted_over_all_documents(spark):
+    docs = spark.createDataFrame([(1, "alpha beta"), (1, "alpha-beta gamma " + "x" * 40 + "1"), (None, "gamma"), (2, None), (3, "a " + "y" * 1200)], "doc_id long, text string")
+    rows = {r.s.strip(): r.n for r in secrets.labelled_samples(docs).where("not random").collect()}
+    assert rows == {"alpha": 1, "beta": 1, "alpha-beta": 1, "gamma": 2, "y" * 1200: 1}
+    m = secrets.train(secrets.labelled_samples(docs))
+    n, at = len(secrets.ALPHABET), secrets.ALPHABET.index
+    assert m[at("y") * n + at("y")] < -4 < m[at("q") * n + at("q")]
+    assert m[at("_") * n + at("g")] < m[at("_") * n + at("z")] and m[at("a") * n + at("B")] < m[at("a") * n + at("Z")]
+
+
+def test_many_matches_and_a_long_text(spark, model):
+    n = 3000
+    texts = ["password=hunter2hunter2 é😀 " * n, f"a{RANDOM} " * 300 + "z" * 200_000, "token=" * 5000, "0" * 300_000 + " " + "ab" * 100_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in secrets.scan(df, model).collect()}
+    assert got == {i: every(t, model) for i, t in enumerate(texts)}
+
+    def masked(t, spans):
+        at, out = 0, []
+        for s, _, e in spans:
+            if s >= at:
+                out += [t[at:s], "[SECRET]"]
+            at = max(at, e)
+        return "".join(out) + t[at:]
+
+    assert {r.doc_id: r.text for r in secrets.redact(df, model).collect()} == {i: masked(t, got[i]) for i, t in enumerate(texts)}
+
+
 def test_redaction(spark, model):
     df = spark.createDataFrame([(1, "a password=hunter2hunter2 b"), (2, None), (3, "plain"), (4, "token=" + "ab12" * 10 + " z")], "doc_id long, text string")
     got = {r.doc_id: r.text for r in secrets.redact(df, model).collect()}
