@@ -134,21 +134,21 @@ URLS = [None, "", "nourl", "http://EXAMPLE.org/es/x", "https://a.b.example.org/e
         "http://org", "http://org/", "ftp://com/de/#a/org/", "http://x.org?y=/z", "http://u.example.org/en/2", "http://example.net/a?utm_source=b", "http://m.example.net/fr/12/", "://com/de/q"]
 
 
-def expected(url):
+def expected(url, rules=queries.OP6_RULES):
     at = (url or "").find("://")
     rest = url[at + 3 :] if at >= 0 else ""
     host = re.match("[^/?#]*", rest)[0]
     path = re.match("[^?#]*", rest[len(host) :])[0]
     host = host.lower()
     best = None
-    for r in queries.OP6_RULES:
+    for r in rules:
         if r.tier == 0:
             h, _, p = r.name.partition("/")
             if (host == h or host.endswith("." + h)) and path.startswith("/" + p) and (best is None or len(r.name) > len(best.name)):
                 best = r
     if best:
         return host, path, best.name, best.action
-    own = [r for r in queries.OP6_RULES if r.tier == 1 and rest and re.search(r.regex, host + rest[len(host) :])]
+    own = [r for r in rules if r.tier == 1 and rest and re.search(r.regex, host + rest[len(host) :])]
     return host, path, None, max(own, key=lambda r: r.weight).action if own else "allow"
 
 
@@ -162,6 +162,42 @@ def test_urls(spark, monkeypatch, literal):
     assert urlfilter.classify(df.limit(0), queries.OP6_RULES).count() == 0
 
 
+def test_tokens_are_derived_from_the_expression():
+    want = {
+        r"[?&]utm_source=": ("utm", "source"), r"^m\.[^/?#]+/[a-z]+/[0-9]+/?$": ("m",), r"/[0-9]+\.html$": ("html",), r"^www\.x": ("www",), r"abc": (), r"/abc": (), r"/abc$": ("abc",),
+        r"^(?:[^/?#]*\.)?org/en/1": ("org", "en"), r"/(?:x/)?Login(?:[/?#]|$)": ("login",), r"/(?:x)?login/": (), r"/login(?:s|$)": (), r"^a?b/": (), r"/a[bd]c/": (), r"/ab(?:-cd)+/": ("ab",), r"/\w/ef/": ("ef",),
+    }
+    assert {r: urlfilter.tokens_of(r) for r in want} == want
+
+
+def test_every_rule_finds_what_its_expression_matches(spark, monkeypatch):
+    """The index loses nothing: all rules over URLs that are made to match, against every expression by itself."""
+    import random
+
+    rules = queries.OP6_RULES
+    assert len(rules) > 100 and sum(not r.tokens for r in rules) == 0
+    r = random.Random(3)
+    words = sorted({t for x in rules for t in x.tokens}) + ["a", "xx", "9", "Login", "free-bets", "example"]
+    urls = [
+        f"https://{r.choice(['', 'www.', 'm.', 'ads.', 'blog.'])}{r.choice(words)}{r.choice('.-/')}{r.choice(words)}.{r.choice(['com', 'org', 'net'])}"
+        f"{r.choice(['', '/', '/' + r.choice(words), '/x/' + r.choice(words) + '/', '/7.html', '/y.' + r.choice(words)])}{r.choice(['', '?', '#'])}{r.choice(words)}{r.choice(['', '=1', '&page=3&ref=' + r.choice(words)])}"
+        for _ in range(3000)
+    ]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {x.page_id: (x.host, x.path, x.rule, x.verdict) for x in urlfilter.classify(df, rules).collect()}
+    assert got == {i: expected(u) for i, u in enumerate(urls)}
+    assert sum(v[3] == "block" for v in got.values()) > 500
+    long = spark.createDataFrame([(1, "http://a.org/" + "x/login" * 20000 + "/", "h"), (2, "http://" + "b" * 100000, None)], "page_id long, url string, Host string")
+    out = urlfilter.classify(long, rules)
+    assert out.columns == ["page_id", "url", "host", "path", "rule", "verdict"] and {x.page_id: x.verdict for x in out.collect()} == {1: "allow", 2: "allow"}
+    free = (urlfilter.pattern_rule("block", "[0-9]x"), urlfilter.pattern_rule("allow", "zz"))
+    few = (*rules[:5], *free)
+    for literal in (2000, 0):
+        monkeypatch.setattr(urlfilter, "LITERAL_RULES", literal)
+        got = {x.page_id: (x.host, x.path, x.rule, x.verdict) for x in urlfilter.classify(df, few).collect()}
+        assert got == {i: expected(u, few) for i, u in enumerate(urls)}
+
+
 def test_licences(spark):
     texts = {
         1: "x\nReleased under the MIT License.\ny", 2: None, 3: "", 4: "word", 5: "ALL RIGHTS RESERVED", 6: "all all all rights reserved reserved rights",
