@@ -76,23 +76,13 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = licences.scan(_read(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
-    return out.select(
-        "doc_id",
-        F.size("licences").cast("long").alias("n_licences"),
-        "licence",
-        F.array_join(F.transform("licences", lambda h: F.concat_ws(":", h["line"].cast("string"), h["licence"], h["dice"].cast("string"))), ",").alias("licences"),
-    )
-
-
-def op7_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences in windows of words, across line ends and inside lines."""
     out = licences.notices(_read(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     return out.select(
         "doc_id",
-        F.size("notices").cast("long").alias("n_notices"),
-        "notice",
-        F.array_join(F.transform("notices", lambda h: F.concat_ws(":", h["licence"], h["word"].cast("string"), h["words"].cast("string"), h["dice"].cast("string"))), ",").alias("notices"),
+        F.size("notices").cast("long").alias("n_licences"),
+        F.col("notice").alias("licence"),
+        F.array_join(F.transform("notices", lambda h: F.concat_ws(":", h["licence"], h["word"].cast("string"), h["words"].cast("string"), h["dice"].cast("string"))), ",").alias("licences"),
     )
 
 
@@ -122,7 +112,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_token_counts, op3_decontamination, op4_near_duplicates, op5_secrets, op6_url_filter, op7_licences, op7_notices, op8_audio_fingerprints, op9_toxicity, op10_bpe)}
+    return {f.__name__: f for f in (op1_quality, op2_token_counts, op3_decontamination, op4_near_duplicates, op5_secrets, op6_url_filter, op7_licences, op8_audio_fingerprints, op9_toxicity, op10_bpe)}
 
 
 #: Words of a text, windows of an item and their occurrences, by joining on the window's words.
@@ -199,29 +189,29 @@ select page_id, host, path, h.name as rule, coalesce(h.action, m.action, 'allow'
 from p left join h using (k) left join m using (k)
 """
 
-_TEMPLATE_ROWS = ", ".join(
-    "('%s', [%s])" % (k, ", ".join(f"'{g}'" for g in licences.bigrams_of(v))) for k, v in sorted(licences.TEMPLATES.items())
-)
+_TEMPLATE_ROWS = ", ".join("('%s', '%s', %d)" % (k, g, len(licences.bigrams_of(v))) for k, v in sorted((licences.TEMPLATES | licences.TEXTS).items()) for g in licences.bigrams_of(v))
+#: Every window that begins with a bigram of a template, by running sums.
 OP7_SQL = rf"""
-with t(licence, tg) as (values {_TEMPLATE_ROWS}),
-unit as (
-  select doc_id, k, unnest(range(0, len(l))) as line, unnest(l) as s
-  from (select doc_id, row_number() over () as k, list_prepend(coalesce(text, ''), string_split(coalesce(text, ''), chr(10))) as l from documents)),
+with t(licence, x, n) as (values {_TEMPLATE_ROWS}),
 w as (
-  select k, line, list_filter(regexp_split_to_array(translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda x: x <> '') as w
-  from unit),
-g as (select k, line, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as g from w where len(w) > 1),
+  select doc_id, row_number() over () as k, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda x: x <> '') as w
+  from documents),
+g as (select k, unnest(range(1, len(w))) as i, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as x from w where len(w) > 1),
+b as (select k, i, x, coalesce(lag(i) over (partition by k, x order by i), 0) as before from g),
+c as (select b.k, t.licence, t.n from b join t using (x) group by all having count(distinct b.x) * 120 >= t.n * 80),
+s as (select c.k, c.licence, c.n, b.i as start from c join t using (licence) join b on b.k = c.k and b.x = t.x),
+m as (
+  select s.k, s.licence, s.n, s.start, b.i, sum(case when b.before < s.start then 1 else 0 end) over u as all_, sum(case when b.before < s.start and t.x is not null then 1 else 0 end) over u as own
+  from s join b on b.k = s.k and b.i between s.start and s.start + s.n * 120 // 80 - 1 left join t on t.licence = s.licence and t.x = b.x
+  window u as (partition by s.k, s.licence, s.start order by b.i)),
 d as (
-  select k, line, licence, len(list_intersect(g, tg)) as s, len(g) + len(tg) as n from g, t
-  where len(g) * 120 >= len(tg) * 80 and len(g) * 80 <= len(tg) * 120),
-b as (
-  select k, line, licence, cast(s * 2000 // n as int) as dice from d where s * 200 >= n * 80
-  qualify row_number() over (partition by k, line order by s * 2000 // n desc, licence) = 1),
+  select k, licence, start, i - start + 2 as words, cast(own * 2000 // (all_ + n) as bigint) as dice from m where own * 200 >= (all_ + n) * 80
+  qualify row_number() over (partition by k, licence order by own * 2000 // (all_ + n) desc, start, i) = 1),
 a as (
-  select k, count(*) as n, string_agg(line || ':' || licence || ':' || dice, ',' order by line) as l, arg_min(licence, (-dice, licence)) as best
-  from b group by k)
+  select k, count(*) as n, string_agg(licence || ':' || start || ':' || words || ':' || dice, ',' order by licence) as l, arg_min(licence, (-dice, -words, licence)) as best
+  from d group by k)
 select doc_id, coalesce(n, 0) as n_licences, best as licence, coalesce(l, '') as licences
-from (select distinct doc_id, k from unit) left join a using (k)
+from w left join a using (k)
 """
 
 
