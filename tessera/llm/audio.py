@@ -7,12 +7,16 @@ of the offsets at which they have equal integers, where a query's integer also c
 differ from it in some of its FLIPS least certain bits (whose filter values are next to a level). Every offset
 found is checked by the bit errors of its overlap; of those that hold, the one found most often is taken.
 
-Recordings with equal fingerprints are one class, found by an aggregate, and only classes are compared, so
-copies cost nothing however many there are. An integer counts where it first stands in a recording, so a held
-tone or silence does not multiply.
+Recordings with equal fingerprints are one class, told apart by a digest and not by their ids, and only classes
+are compared, so copies cost nothing however many there are. An integer counts wherever it stands. Where it is
+held, as in silence, its run is one row, and two runs add to the histogram once for each offset, with the number
+of places that meet there, and not once for each pair of places. An integer that many recordings hold is dealt
+out, DEALT rows at a time.
 
 Defined results: a null, empty, unreadable or too short recording has no integers and aligns with nothing;
-silence has integers of its own; repeated rows are copies of a class; empty tables give empty results.
+silence has integers of its own; repeated rows are copies of a class; rows that share an id but not their
+recording each have a class and a result of their own; a null id is an id like others, but is the first of no class
+that has another; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,10 +39,11 @@ SPAN = 16  # frames under the widest filter
 FILTERS = tuple((k % 4, (5 * k) % 12, 2 + (3 * k) % 9, (4, 8, 12, 16)[(k // 4) % 4]) for k in range(16))
 LEVELS = (-0.35, 0.15, 0.65)  # areas without sound have a ratio of 0, well inside a step
 GRAY = np.array([0, 1, 3, 2], np.uint32)
-RUN = 3  # integers in a row of the stricter rule that the tests compare with
 FLIPS = 6  # least certain bits of a query's integer, five bits each in the doubt
 MAX_BIT_ERRORS = 0.2
 MIN_OVERLAP = 12
+DEALT = 20_000  # rows of an integer that go to one task together
+BROADCAST_KEYS = 500_000
 ROWS = 32
 
 
@@ -162,35 +167,64 @@ def fingerprints(
     return runtime.map_arrow(df, [media_col], make, [(out_col, ints), (f"{out_col}_doubt", ints)], df.columns if keep is None else keep)
 
 
+def _runs(values: Column, what: list[str]) -> Column:
+    """array<struct<..., pos, size>>: runs of equal neighbours in an array of structs with the fields `what`."""
+    starts = F.filter(F.sequence(F.lit(0), F.size(values) - 1), lambda i: (i == 0) | (F.get(values, i) != F.get(values, i - 1)))
+    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(values)))
+    return F.zip_with(starts, ends, lambda a, b: F.struct(*[F.get(values, a)[w].alias(w) for w in what], a.alias("pos"), (b - a).alias("size")))
+
+
 def _keys(classes: DataFrame) -> DataFrame:
-    """(rep, key, pos): each integer, where it first stands."""
-    return classes.select("rep", F.posexplode("fp").alias("pos", "key")).groupBy("rep", "key").agg(F.min("pos").alias("pos"))
+    """(b, key, j, size): each run of an integer."""
+    runs = F.explode(_runs(F.transform("fp", lambda x: F.struct(x.alias("key"))), ["key"])).alias("r")
+    return classes.select(F.col("class").alias("b"), runs).select("b", "r.key", F.col("r.pos").alias("j"), F.col("r.size").alias("size_b"))
 
 
 def _probes(classes: DataFrame) -> DataFrame:
-    """(a, key, i): each integer with any of its FLIPS least certain bits flipped, where such a key first stands."""
-    each = classes.select("rep", F.posexplode(F.arrays_zip("fp", "doubt")).alias("pos", "x"))
-    each = each.select("rep", "pos", "x.*", F.explode(F.sequence(F.lit(0), F.lit(2**FLIPS - 1))).alias("m"))
+    """(a, key, i, size): each run of an integer with any of its FLIPS least certain bits flipped."""
+    both = F.zip_with("fp", "doubt", lambda x, d: F.struct(x.alias("fp"), d.alias("doubt")))
+    each = classes.select(F.col("class").alias("a"), F.explode(_runs(both, ["fp", "doubt"])).alias("r")).select("a", "r.*")
+    each = each.select("*", F.explode(F.sequence(F.lit(0), F.lit(2**FLIPS - 1))).alias("m"))
     key = F.col("fp")
     for i in range(FLIPS):
         key = key.bitwiseXOR(F.expr(f"shiftleft((m >> {i}) & 1, (doubt >> {5 * i}) & 31)"))
-    return each.select("rep", "pos", key.alias("key")).groupBy(F.col("rep").alias("a"), "key").agg(F.min("pos").alias("i"))
+    return each.select("a", key.alias("key"), F.col("pos").alias("i"), F.col("size").alias("size_a"))
+
+
+def _votes(probes: DataFrame, keys: DataFrame, scratch: runtime.Scratch) -> DataFrame:
+    """(a, b, offset, votes): the histograms of offsets."""
+    deals = keys.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / DEALT).cast("int").alias("deals")).where("deals > 1")
+    deals = scratch.table(deals, "deals")
+    deals = F.broadcast(deals) if deals.count() <= BROADCAST_KEYS else deals
+    dealt = keys.join(deals, "key", "left").select("*", F.pmod(F.xxhash64("b"), F.coalesce("deals", F.lit(1))).cast("int").alias("deal")).drop("deals")
+    sent = probes.join(deals, "key", "left").select("*", F.explode(F.sequence(F.lit(0), F.coalesce("deals", F.lit(1)) - 1)).alias("deal")).drop("deals")
+    hits = sent.join(dealt, ["key", "deal"]).where("a <> b")
+    low, high = F.col("i") - F.col("j") - F.col("size_b") + 1, F.col("i") + F.col("size_a") - 1 - F.col("j")
+    each = hits.select("a", "b", "size_a", "size_b", low.alias("low"), high.alias("high"), F.explode(F.sequence(low, high)).alias("offset"))
+    meet = F.least("size_a", "size_b", F.col("offset") - F.col("low") + 1, F.col("high") - F.col("offset") + 1)
+    return each.groupBy("a", "b", "offset").agg(F.sum(meet).alias("votes"))
+
+
+def _digests(prints: DataFrame, id_col: str, is_query, fp_col: str) -> DataFrame:
+    own = prints.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{fp_col}`").alias("fp"), F.col(f"`{fp_col}_doubt`").alias("doubt"), F.coalesce(is_query, F.lit(False)).alias("q"))
+    return own.withColumn("d", F.when(F.size("fp") > 0, F.xxhash64("fp"))).withColumn("d2", F.when(F.size("fp") > 0, F.xxhash64(F.lit(1), "fp")))
 
 
 def align(prints: DataFrame, id_col: str, is_query, fp_col: str = "fingerprint") -> tuple[DataFrame, DataFrame]:
-    """(membership, pairs): membership gives each row's id its class (the smallest id with an equal
-    fingerprint); pairs are classes (a: holds a query row, b: any other) that align, with the offset of b's
-    start in a, the overlap and the share of differing bits. prints has fp_col and its doubt as fingerprints() makes them."""
+    """(membership, pairs): membership gives each row's id its class (a number) and the class's name `rep`, the
+    smallest id with an equal fingerprint; pairs are classes (a: holds a query row, b: any other) that align, by
+    name and by number (class_a, class_b), with the offset of b's start in a, the overlap and the share of
+    differing bits. prints has fp_col and its doubt as fingerprints() makes them."""
     scratch = runtime.Scratch(prints.sparkSession, "audio")
-    own = prints.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{fp_col}`").alias("fp"), F.col(f"`{fp_col}_doubt`").alias("doubt"), is_query.alias("q")).where("id is not null")
-    heard = own.where(F.size("fp") > 0).withColumn("d", F.xxhash64("fp")).withColumn("d2", F.hash("fp"))
-    classes = scratch.table(
-        heard.groupBy("d", "d2").agg(F.min("id").alias("rep"), F.first("fp").alias("fp"), F.min_by("doubt", F.struct("id", "doubt")).alias("doubt"), F.max("q").alias("q"), F.count(F.lit(1)).alias("n")), "classes"
+    heard = _digests(prints, id_col, is_query, fp_col).where("d is not null")
+    classes = heard.groupBy("d", "d2").agg(
+        F.min("id").alias("rep"), F.first("fp").alias("fp"), F.min("doubt").alias("doubt"), F.max("q").alias("q"), F.count(F.lit(1)).alias("n")
     )
-    members = scratch.table(heard.select("id", "d", "d2", "q").join(classes.select("d", "d2", "rep"), ["d", "d2"]).select("id", "rep", "q"), "members")
-    hits = _probes(classes.where("q")).join(_keys(classes).select("key", F.col("rep").alias("b"), F.col("pos").alias("j")), "key").where("a <> b")
-    votes = hits.groupBy("a", "b", (F.col("i") - F.col("j")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
-    pairs = votes.join(classes.select(F.col("rep").alias("a"), F.col("fp").alias("fa")), "a").join(classes.select(F.col("rep").alias("b"), F.col("fp").alias("fb")), "b")
+    classes = scratch.table(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
+    members = scratch.table(heard.select("id", "d", "d2", "q").join(classes.select("d", "d2", "rep", "class"), ["d", "d2"]).select("id", "rep", "class", "q", "d", "d2"), "members")
+    votes = _votes(_probes(classes.where("q")), _keys(classes), scratch)
+    one, other = (classes.select(F.col("class").alias(c), F.col("rep").alias(f"rep_{c}"), F.col("fp").alias(f"f{c}")) for c in "ab")
+    pairs = votes.join(one, "a").join(other, "b")
     first = F.greatest("offset", F.lit(0))
     overlap = F.least(F.size("fa"), F.size("fb") + F.col("offset")) - first
     wrong = F.aggregate(
@@ -198,28 +232,33 @@ def align(prints: DataFrame, id_col: str, is_query, fp_col: str = "fingerprint")
         F.lit(0),
         lambda s, x: s + x,
     )
-    pairs = pairs.where(overlap >= MIN_OVERLAP).select("a", "b", "votes", F.col("offset").cast("long").alias("offset"), overlap.alias("overlap"), wrong.alias("wrong"))
+    pairs = pairs.where(overlap >= MIN_OVERLAP).select("a", "b", "rep_a", "rep_b", "votes", F.col("offset").cast("long").alias("offset"), overlap.alias("overlap"), wrong.alias("wrong"))
     pairs = pairs.where(F.col("wrong") <= F.col("overlap") * 32 * MAX_BIT_ERRORS)
     best = F.max_by(F.struct("offset", "overlap", "wrong"), F.struct("votes", -F.abs("offset"), "offset"))
-    pairs = pairs.groupBy("a", "b").agg(best.alias("best")).select("a", "b", "best.*")
-    return members, pairs.select("a", "b", "offset", F.col("overlap").cast("long").alias("overlap"), (F.col("wrong") / (F.col("overlap") * 32)).alias("bit_errors"))
+    pairs = pairs.groupBy("a", "b").agg(F.first("rep_a").alias("rep_a"), F.first("rep_b").alias("rep_b"), best.alias("best"))
+    pairs = pairs.select(
+        F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), F.col("a").alias("class_a"), F.col("b").alias("class_b"),
+        "best.offset", F.col("best.overlap").cast("long").alias("overlap"), (F.col("best.wrong") / (F.col("best.overlap") * 32)).alias("bit_errors"),
+    )
+    pairs = scratch.table(pairs, "pairs")
+    scratch.close(members, pairs)
+    return members, pairs
 
 
 def search(prints: DataFrame, id_col: str, is_query, fp_col: str = "fingerprint") -> DataFrame:
     """One row per query row: id_col, class_id, n_copies (other rows of its class), n_aligned (rows of other
     classes that align with it), best_id, best_offset and best_bit_errors of the best-aligned other class."""
     members, pairs = align(prints, id_col, is_query, fp_col)
-    sizes = members.groupBy("rep").agg(F.count(F.lit(1)).alias("size"))
+    sizes = members.groupBy("class", "rep", "d", "d2").agg(F.count(F.lit(1)).alias("size"))
     found = (
-        pairs.join(sizes.select(F.col("rep").alias("b"), "size"), "b")
-        .groupBy("a")
+        pairs.join(sizes.select(F.col("class").alias("class_b"), "size"), "class_b")
+        .groupBy("class_a")
         .agg(F.sum("size").alias("n_aligned"), F.min(F.struct("bit_errors", "b", "offset")).alias("best"))
-        .select(F.col("a").alias("rep"), "n_aligned", "best")
+        .select(F.col("class_a").alias("class"), "n_aligned", "best")
     )
-    known = members.where("q").select("id", "rep").join(sizes, "rep").join(found, "rep", "left")
-    rows = prints.select(F.col(f"`{id_col}`").alias("id"), is_query.alias("q")).where("q")
-    known = known.dropDuplicates(["id"])
-    return rows.join(known, "id", "left").select(
+    known = sizes.join(found, "class", "left").select("d", "d2", "rep", "size", "n_aligned", "best")
+    rows = _digests(prints, id_col, is_query, fp_col).where("q").select("id", "d", "d2")
+    return rows.join(known, ["d", "d2"], "left").select(
         F.col("id").alias(id_col),
         F.col("rep").alias("class_id"),
         F.coalesce(F.col("size") - 1, F.lit(0)).cast("long").alias("n_copies"),

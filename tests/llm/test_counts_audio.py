@@ -71,25 +71,24 @@ def test_fingerprint_of_wav_and_noise():
     assert len(set(audio.fingerprint(audio.chroma(np.zeros(30000), 8000)).tolist())) == 1
 
 
-def brute(prints):
+def brute(prints, doubts):
+    """Every offset that any place votes for, a place of the query with its doubtful bits either way."""
     out = {}
     for a, x in prints.items():
+        free = [~sum(1 << ((d >> 5 * k) & 31) for k in range(audio.FLIPS)) & 0xFFFFFFFF for d in doubts[a] or []]
         for b, y in prints.items():
             if a == b or x == y or not x or not y:
                 continue
-            votes = {}
-            runs = lambda z: {tuple(z[k : k + audio.RUN]): k for k in range(len(z) - audio.RUN, -1, -1)}
-            for run, i in runs(x).items():
-                if (j := runs(y).get(run)) is not None:
-                    votes[i - j] = votes.get(i - j, 0) + 1
-            if not votes:
-                continue
-            off = max(votes, key=lambda o: (votes[o], -abs(o), o))
-            first, n = max(off, 0), 0
-            n = min(len(x), len(y) + off) - first
-            wrong = sum(bin((x[first + k] ^ y[first - off + k]) & 0xFFFFFFFF).count("1") for k in range(max(n, 0)))
-            if n >= audio.MIN_OVERLAP and wrong <= n * 32 * audio.MAX_BIT_ERRORS:
-                out[a, b] = (off, n, wrong)
+            best = None
+            for off in range(1 - len(y), len(x)):
+                first, n = max(off, 0), min(len(x), len(y) + off) - max(off, 0)
+                apart = [(x[first + k] ^ y[first - off + k]) & 0xFFFFFFFF for k in range(n)]
+                votes = sum(not d & free[first + k] for k, d in enumerate(apart))
+                wrong = sum(d.bit_count() for d in apart)
+                if votes and n >= audio.MIN_OVERLAP and wrong <= n * 32 * audio.MAX_BIT_ERRORS:
+                    best = max(best or (0,), (votes, -abs(off), off, n, wrong))
+            if best:
+                out[a, b] = best[2:]
     return out
 
 
@@ -102,10 +101,11 @@ def test_alignment_equals_brute_force(spark):
     from pyspark.sql import functions as F
 
     local = {r.vec_id: list(r.fingerprint) for r in prints.collect()}
+    doubts = {r.vec_id: list(r.fingerprint_doubt) for r in prints.collect()}
     members, pairs = audio.align(prints, "vec_id", F.lit(True))
     rep = {r.id: r.rep for r in members.collect()}
     assert rep[20] == 3 and rep[63] == 62 and 60 not in rep
-    want = {k: v for k, v in brute({k: v for k, v in local.items() if rep.get(k) == k}).items()}
+    want = {k: v for k, v in brute({k: v for k, v in local.items() if rep.get(k) == k}, doubts).items()}
     got = {(r.a, r.b): (r.offset, r.overlap, round(r.bit_errors * r.overlap * 32)) for r in pairs.collect()}
     assert got == want and (3, 40) in got
     found = {r.vec_id: r for r in audio.search(prints, "vec_id", F.col("vec_id") % 20 == 0).collect()}
@@ -120,8 +120,36 @@ def test_a_passage_of_all(spark):
     df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
     prints = audio.fingerprints(df, "embedding", audio.render, keep=["vec_id"])
     local = {r.vec_id: list(r.fingerprint) for r in prints.collect()}
+    doubts = {r.vec_id: list(r.fingerprint_doubt) for r in prints.collect()}
     _, pairs = audio.align(prints, "vec_id", F.lit(True))
-    assert {(r.a, r.b) for r in pairs.collect()} == set(brute(local)) != set()
+    assert {(r.a, r.b) for r in pairs.collect()} == set(brute(local, doubts)) != set()
+
+
+def test_repeats_held_tones_and_shared_ids(spark, monkeypatch):
+    """A passage that comes again votes at each of its places, silence does not multiply, an id may have two recordings."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(audio, "DEALT", 3)
+    verse, other = melody(1).tolist()[:24], melody(2).tolist()
+    vectors = [(1, verse + verse + verse[:16]), (2, verse + other[:8]), (3, [0.0] * 64), (3, [0.0] * 30 + verse), (4, [0.0] * 20 + verse + other[:20]), (5, other), (5, other), (5, verse + other), (None, other[:50]), (None, None)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    prints = audio.fingerprints(df, "embedding", audio.render, keep=["vec_id"]).cache()
+    rows = [(r.vec_id, tuple(r.fingerprint), list(r.fingerprint_doubt)) for r in prints.collect()]
+    distinct = sorted({f for _, f, _ in rows if f})
+    local = dict(enumerate(map(list, distinct)))
+    want = brute(local, {k: min(d for _, f, d in rows if f == tuple(v)) for k, v in local.items()})
+    members, pairs = audio.align(prints, "vec_id", F.lit(True))
+    assert members.select("class").distinct().count() == len(distinct)
+    name = {f: min(i for i, g, _ in rows if g == f and i is not None) if any(g == f and i is not None for i, g, _ in rows) else None for f in distinct}
+    got = sorted(((r.a, r.b, r.offset, r.overlap, round(r.bit_errors * r.overlap * 32)) for r in pairs.collect()), key=str)
+    assert got == sorted(((name[distinct[a]], name[distinct[b]], *v) for (a, b), v in want.items()), key=str) and got
+    found = audio.search(prints, "vec_id", F.lit(True)).collect()
+    copies = sorted(((r.vec_id, r.class_id, r.n_copies, r.n_aligned) for r in found), key=str)
+    size = {f: sum(g == f for _, g, _ in rows) for f in distinct}
+    near = lambda f: sum(size[distinct[b]] for a, b in want if distinct[a] == f)
+    assert copies == sorted(((i, name[f] if f else None, size[f] - 1 if f else 0, near(f) if f else 0) for i, f, _ in rows), key=str)
+    long = spark.createDataFrame([(1, [0.0] * 4000), (2, [0.0] * 3000), (3, other * 40 + [0.0] * 500)], "vec_id long, embedding array<double>")
+    assert {(r.a, r.b) for r in audio.align(audio.fingerprints(long, "embedding", audio.render, keep=["vec_id"]), "vec_id", F.lit(True))[1].collect()} >= {(1, 2), (2, 1)}
 
 
 def test_recall_of_noisy_and_shifted_copies(spark):
