@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from . import types as ty
 from .functions import udfs
+from .plans import special
 from .plans.dialect import Emitter, ident, string
 from .plans.parser import Parser, SqlError
 
@@ -90,7 +91,47 @@ class Database:
         return out if isinstance(out, DataFrame) else self.spark.createDataFrame([(out or word.upper(),)], "command string")
 
     def query(self, text: str, args: list | None = None) -> DataFrame:
-        return self.spark.sql(self.translate(text, args))
+        """The rows of a query; values of types that Spark lacks in their output form."""
+        p = Parser(text)
+        q = p.query()
+        p.done()
+        em = self._emitter(args)
+        return self._shown(self._numbers(self.spark.sql(em.query(q)), em.numbered))
+
+    @staticmethod
+    def _shown(df: DataFrame) -> DataFrame:
+        kinds = [special.kind_of(f.dataType.simpleString()) for f in df.schema]
+        if not any(kinds):
+            return df
+        plain = df.toDF(*[f"c{i}" for i in range(len(kinds))])
+        return plain.select(*[(F.expr(special.show(k, f"c{i}")) if k else F.col(f"c{i}")).alias(c) for i, (k, c) in enumerate(zip(kinds, df.columns, strict=True))])
+
+    def _numbers(self, df: DataFrame, numbered: list[tuple[str, str]]) -> DataFrame:
+        """Sequences' values in place of the row numbers in these columns, one after another without gaps."""
+        if not numbered:
+            return df
+        rows = self._pinned(df)
+        for name, sequence in numbered:
+            number, n = self._consecutive(rows, F.col(f"`{name}`"))
+            s = self.sequences[sequence]
+            first = s.start if s.last is None else s.last + s.step
+            rows = rows.withColumn(name, number * s.step + first)
+            if n:
+                s.last = first + (n - 1) * s.step
+                self._lastval = sequence
+        return rows
+
+    def _consecutive(self, rows: DataFrame, place):
+        """(0, 1, 2, ... for the rows in the order of monotonically increasing ids, and their number). The ids
+        hold their partition above 33 bits; only the partitions' counts come to the driver."""
+        part = F.shiftright(place, 33)
+        counts = sorted(tuple(r) for r in rows.groupBy(part.alias("p")).count().collect())
+        before, total = {}, 0
+        for p, n in counts:
+            before[p] = total
+            total += n
+        offsets = F.create_map(*[F.lit(x) for kv in before.items() for x in kv]) if before else F.create_map().cast("map<bigint,bigint>")
+        return F.element_at(offsets.cast("map<bigint,bigint>"), part) + place.bitwiseAND(F.lit((1 << 33) - 1)), total
 
     def translate(self, text: str, args: list | None = None) -> str:
         """The Spark SQL of a query."""
@@ -103,7 +144,9 @@ class Database:
         return self.query(text)._jdf.queryExecution().toString()
 
     def _emitter(self, args=None) -> Emitter:
-        return Emitter(self.spark, args, self.functions, self.enums)
+        em = Emitter(self.spark, args, self.functions, self.enums)
+        em.db = self
+        return em
 
     def _expr(self, e, df: DataFrame | None = None):
         """A Column from a parsed expression."""
@@ -365,6 +408,7 @@ class Database:
 
     def nextval(self, name: str) -> int:
         s = self.sequences[name]
+        self._lastval = name
         s.last = s.start if s.last is None else s.last + s.step
         return s.last
 
@@ -373,6 +417,37 @@ class Database:
             raise SqlError(f'currval of sequence "{name}" is not yet defined in this session', "55000")
         return self.sequences[name].last
 
+    def lastval(self) -> int:
+        if getattr(self, "_lastval", None) is None:
+            raise SqlError("lastval is not yet defined in this session", "55000")
+        return self.currval(self._lastval)
+
+    def transaction(self) -> int:
+        """The number of the transaction, or of the statement outside one."""
+        if self._saved is None or getattr(self, "_xid", None) is None:
+            self._xid = getattr(self, "_xid_last", 2) + 1
+            self._xid_last = self._xid
+        return self._xid
+
+    def size_of(self, name: str) -> int:
+        """Bytes of a table's files."""
+        paths = [leaf.path for leaf in self._leaves(self._table(name)) if leaf.path] if name in self.tables else []
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        found = [jvm.org.apache.hadoop.fs.Path(p) for p in paths]
+        return sum(p.getFileSystem(conf).getContentSummary(p).getLength() for p in found)
+
+    def describe(self, name: str, *args: str) -> str:
+        """Catalog functions as literals."""
+        if name == "pg_get_serial_sequence":
+            e = self._table(args[0]).defaults.get(args[1])
+            return string(f"public.{e[2][0][1]}") if isinstance(e, tuple) and e[:2] == ("call", "nextval") else "CAST(NULL AS STRING)"
+        if name == "pg_get_viewdef":
+            text = self.views.get(args[0])
+            return string(re.sub(r"(?is)^.*?\bas\b\s*", " ", text, count=1).rstrip("; ") + ";") if text else "CAST(NULL AS STRING)"
+        if name == "pg_table_is_visible":
+            return str(args[0] in self.tables or args[0] in self.views).upper()
+        return "CAST(NULL AS STRING)"
+
     def setval(self, name: str, value: int, called: bool = True) -> int:
         s = self.sequences[name]
         s.last = value if called else value - s.step
@@ -467,8 +542,9 @@ class Database:
             if c in t.generated:
                 raise SqlError(f'cannot insert a non-DEFAULT value into column "{c}"', "428C9")
         em = self._emitter(getattr(self, "_args", None))
+        kinds = dict(t.columns)
         if p.take_all("default", "values"):
-            rows, cols, defaulted = self.spark.range(1), [], [set()]
+            rows, cols = self.spark.range(1), []
         elif p.take("values"):
             parts, marks = [], []
             while True:
@@ -483,19 +559,22 @@ class Database:
                     break
             cols = cols[: len(parts[0])]
             body = [
-                "(" + ", ".join(em.expr(self._default(t, cols[i]) if i in m else e, None) for i, e in enumerate(r)) + ")" for r, m in zip(parts, marks, strict=True)
+                "(" + ", ".join(em.expr(self._default(t, cols[i]) if i in m else self._meant(e, kinds[cols[i]]), None) for i, e in enumerate(r)) + ")" for r, m in zip(parts, marks, strict=True)
             ]
             rows = self.spark.sql(f"SELECT * FROM VALUES {', '.join(body)} AS v({', '.join(f'c{i}' for i in range(len(cols)))})")
         else:
             q = p.query()
             rows = self.spark.sql(em.query(q))
             cols = cols[: len(rows.columns)]
-        kinds = dict(t.columns)
         rows = rows.toDF(*[f"c{i}" for i in range(len(rows.columns))])
-        put = {c: F.col(f"c{i}").cast(kinds[c]) for i, c in enumerate(cols)}
+        put = {c: self._assigned(F.col(f"c{i}"), rows.schema[i].dataType.simpleString(), kinds[c]) for i, c in enumerate(cols)}
+        counted = {c: s for c in names if c not in put and c not in t.generated and (s := self._own_sequence(t, c))}
+        if counted:
+            rows = self._numbers(rows.select("*", *[F.monotonically_increasing_id().alias(f"_n_{c}") for c in counted]), [(f"_n_{c}", s) for c, s in counted.items()])
+            put |= {c: F.col(f"_n_{c}").cast(kinds[c]) for c in counted}
         for c in names:
             if c not in put and c not in t.generated:
-                put[c] = F.expr(em.expr(self._default(t, c), None)).cast(kinds[c])
+                put[c] = F.expr(em.expr(self._meant(self._default(t, c), kinds[c]), None)).cast(kinds[c])
         rows = rows.select(*[put[c].alias(c) for c in names if c not in t.generated])
         for c, (e, _) in t.generated.items():
             rows = rows.withColumn(c, F.expr(em.expr(e, None)).cast(kinds[c]))
@@ -503,6 +582,25 @@ class Database:
         self._route(t, rows)
         return self._returning(p, rows, f"INSERT 0 {rows.count()}")
 
+    @staticmethod
+    def _own_sequence(t: Table, c: str) -> str | None:
+        """The sequence that a column's default draws from."""
+        e = t.defaults.get(c)
+        return e[2][0][1] if isinstance(e, tuple) and e[:2] == ("call", "nextval") else None
+
+    @staticmethod
+    def _meant(e, kind: str):
+        """A literal for a column of a type that Spark lacks is of that type."""
+        special_kind = special.kind_of(kind)
+        return ("cast", e, (special_kind, (), False)) if special_kind and e[0] == "str" else e
+
+    @staticmethod
+    def _assigned(column, have: str, want: str):
+        kind = special.kind_of(want)
+        if kind and have == "string":
+            return F.call_function(f"tessera_to_{kind}", column).cast(want)
+        return column.cast(want)
+
     def _default(self, t: Table, c: str):
         e = t.defaults.get(c, ("const", "null"))
         if isinstance(e, tuple) and e[0] == "call" and e[1] == "nextval":
@@ -550,7 +648,7 @@ class Database:
         name = f"_r{uuid.uuid4().hex}"
         rows.createOrReplaceTempView(name)
         cols = ["*" if e[0] == "star" else f"{em.expr(e, None)} AS {ident(a or em.default_name(e))}" for e, a in items]
-        return self.spark.sql(f"SELECT {', '.join(cols)} FROM {name}")
+        return self._shown(self.spark.sql(f"SELECT {', '.join(cols)} FROM {name}"))
 
     def _leaves(self, t: Table) -> list[Table]:
         below = [x for n in (*t.partitions, *t.children) for x in self._leaves(self._table(n))]

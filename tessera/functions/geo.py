@@ -542,5 +542,97 @@ def polygon_same(g, h):
     return (n == n_points(h)) & (match(twice) | match(back))
 
 
+# segments, lines and boxes against each other
+def lseg_same(s, t):
+    return point_same(s["a"], t["a"]) & point_same(s["b"], t["b"])
+
+
+def _nearest(*pairs) -> Column:
+    """The point of the (distance, point) with the least distance."""
+    return F.array_min(F.array(*[F.struct(d.alias("d"), p.alias("p")) for d, p in pairs]))["p"]
+
+
+def closest_on_other_lseg(s, t):
+    """The point of t that is closest to s."""
+    ends = _nearest((point_lseg_distance(s["a"], t), closest_on_lseg(s["a"], t)), (point_lseg_distance(s["b"], t), closest_on_lseg(s["b"], t)), (point_lseg_distance(t["a"], s), t["a"]), (point_lseg_distance(t["b"], s), t["b"]))
+    return F.coalesce(lseg_intersection(s, t), ends)
+
+
+def line_intersects(l, m):
+    return ~line_parallel(l, m)
+
+
+def lseg_on_line(s, l):
+    return point_on_line(s["a"], l) & point_on_line(s["b"], l)
+
+
+def _side(p, l):
+    return l["a"] * p["x"] + l["b"] * p["y"] + l["c"]
+
+
+def lseg_crosses_line(s, l):
+    a, b = _side(s["a"], l), _side(s["b"], l)
+    return ((a <= EPSILON) & (b >= -EPSILON)) | ((a >= -EPSILON) & (b <= EPSILON))
+
+
+def lseg_line_distance(s, l):
+    return F.when(lseg_crosses_line(s, l), 0.0).otherwise(F.least(point_line_distance(s["a"], l), point_line_distance(s["b"], l)))
+
+
+def closest_on_lseg_to_line(s, l):
+    near = F.when(point_line_distance(s["a"], l) <= point_line_distance(s["b"], l), s["a"]).otherwise(s["b"])
+    return F.when(lseg_crosses_line(s, l), F.coalesce(line_intersection(line_of(s), l), s["a"])).otherwise(near)
+
+
+def box_edges(b) -> Column:
+    high, low = b["high"], b["low"]
+    corners = [low, point(low["x"], high["y"]), high, point(high["x"], low["y"])]
+    return F.array(*[lseg(p, q) for p, q in zip(corners, corners[1:] + corners[:1], strict=True)])
+
+
+def box_meets_line(b, l):
+    return F.exists(box_edges(b), lambda e: lseg_crosses_line(e, l))
+
+
+def box_below_eq(b, c):
+    return le(b["high"]["y"], c["low"]["y"])
+
+
+def box_above_eq(b, c):
+    return le(c["high"]["y"], b["low"]["y"])
+
+
+def lseg_in_box(s, b):
+    return box_contains_point(b, s["a"]) & box_contains_point(b, s["b"])
+
+
+def lseg_meets_box(s, b):
+    return box_contains_point(b, s["a"]) | box_contains_point(b, s["b"]) | F.exists(box_edges(b), lambda e: lseg_intersects(s, e))
+
+
+def lseg_box_distance(s, b):
+    return F.when(lseg_meets_box(s, b), 0.0).otherwise(F.array_min(F.transform(box_edges(b), lambda e: lseg_distance(s, e))))
+
+
+def closest_on_box_to_lseg(s, b):
+    """The point of the box that is closest to the segment; where they meet, the segment's closest to the centre."""
+    near = F.array_min(F.transform(box_edges(b), lambda e: F.struct(lseg_distance(s, e).alias("d"), closest_on_other_lseg(s, e).alias("p"))))["p"]
+    return F.when(lseg_meets_box(s, b), closest_on_lseg(box_center(b), s)).otherwise(near)
+
+
+def path_scale(p, by):
+    return F.struct(p["closed"].alias("closed"), F.transform(p["points"], lambda x: point_mul(x, by)).alias("points"))
+
+
+def circle_bounds(c):
+    """The box around a circle."""
+    x, y, r = c["center"]["x"], c["center"]["y"], c["radius"]
+    return box(point(x + r, y + r), point(x - r, y - r))
+
+
+def circle_polygon_distance(c, g):
+    return F.greatest(polygon_point_distance(g, c["center"]) - c["radius"], F.lit(0.0))
+
+
 def all_of(*tests: Column) -> Column:
     return reduce(lambda a, b: a & b, tests)

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+from .functions import values
+
 #: Spark SQL names of the scalar types (fixed values).
 SPARK = {
     "bool": "BOOLEAN", "boolean": "BOOLEAN",
     "smallint": "SMALLINT", "int2": "SMALLINT", "int": "INT", "integer": "INT", "int4": "INT", "bigint": "BIGINT", "int8": "BIGINT",
     "real": "FLOAT", "float4": "FLOAT", "float": "DOUBLE", "double": "DOUBLE", "float8": "DOUBLE",
     "text": "STRING", "varchar": "STRING", "char": "STRING", "character": "STRING", "bpchar": "STRING", "name": "STRING",
-    "date": "DATE", "timestamp": "TIMESTAMP_NTZ", "timestamptz": "TIMESTAMP", "bytea": "BINARY",
-    "uuid": "STRING", "json": "STRING", "jsonb": "STRING", "inet": "STRING", "cidr": "STRING", "bit": "STRING", "varbit": "STRING",
-    "money": "DECIMAL(19,2)", "oid": "BIGINT", "regclass": "STRING", "time": "BIGINT",
+    "date": "DATE", "timestamp": "TIMESTAMP_NTZ", "timestamptz": "TIMESTAMP_LTZ", "bytea": "BINARY",
+    "uuid": "STRING", "json": "STRING", "jsonb": "STRING", "bit": "STRING", "varbit": "STRING",
+    "oid": "BIGINT", "regclass": "STRING", "xid": "BIGINT", "xid8": "DECIMAL(20,0)", "tid": "STRING",
+    **values.SHAPES,
 }
 NUMERIC = "DECIMAL(38,16)"
 INTEGRAL = {"tinyint", "smallint", "int", "bigint"}
