@@ -13,7 +13,7 @@ from collections.abc import Callable
 import numpy as np
 
 BLOCK = 48
-AT_ONCE = 200_000  # positions of a step of training, which bounds its memory
+AT_ONCE = 200_000  # positions that are gone through together, which bounds the memory
 
 
 def _forward(e: np.ndarray, first: np.ndarray, length: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -89,21 +89,31 @@ def log_ratios(e: np.ndarray, offsets: np.ndarray, w: np.ndarray) -> tuple[np.nd
 
 def marginals(e: np.ndarray, offsets: np.ndarray, w: np.ndarray) -> np.ndarray:
     """The probability of state 1 at each position, from emissions e of sequences divided by offsets."""
-    f, b = log_ratios(e, offsets, w)
-    return 1.0 / (1.0 + np.exp(-np.clip(f + b, -60, 60)))
+    p = np.empty(len(e))
+    for i, j in _some(offsets):
+        a, b = offsets[i], offsets[j]
+        forward, backward = log_ratios(e[a:b], offsets[i : j + 1] - a, w)
+        p[a:b] = 1.0 / (1.0 + np.exp(-np.clip(forward + backward, -60, 60)))
+    return p
 
 
-def _expected(e: np.ndarray, offsets: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """(sum of log partition functions, marginals, expected transition counts), some sequences at a time."""
-    z, p, counts = 0.0, np.empty(len(e)), np.zeros((2, 2))
+def _some(offsets: np.ndarray):
+    """Ranges of sequences of at most AT_ONCE positions; a longer one stands alone."""
     i, n = 0, len(offsets) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + AT_ONCE, side="right")) - 1)
+        yield i, j
+        i = j
+
+
+def _expected(e: np.ndarray, offsets: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """(sum of log partition functions, marginals, expected transition counts), some sequences at a time."""
+    z, p, counts = 0.0, np.empty(len(e)), np.zeros((2, 2))
+    for i, j in _some(offsets):
         a, b = offsets[i], offsets[j]
         part = _expected_of(e[a:b], offsets[i : j + 1] - a, w)
         z, counts = z + part[0], counts + part[2]
         p[a:b] = part[1]
-        i = j
     return z, p, counts
 
 

@@ -143,7 +143,9 @@ def train(texts: list[str], y: np.ndarray) -> Model:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model from the labelled rows that are not held out (training.sample states the bounds)."""
-    return train(*training.sample(docs, labels, label, id_col, text_col))
+    model = train(*training.sample(docs, labels, label, id_col, text_col))
+    runtime.release()
+    return model
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score", keep: list[str] | None = None, lines_col: str | None = None) -> DataFrame:

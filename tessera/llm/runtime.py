@@ -38,8 +38,8 @@ def _small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
-def _release() -> None:
-    """Gives freed memory back to the system: a worker lives on between stages."""
+def release() -> None:
+    """Gives freed memory back to the system: a worker lives on between stages, the driver between models."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -119,7 +119,7 @@ def map_arrow(
                 at += n
                 yield pa.RecordBatch.from_arrays(cols, names=[f"_k{i}" for i in range(n_keep)] + [f"_o{i}" for i in range(len(out))])
         del each
-        _release()
+        release()
 
     out = inner.mapInArrow(run, schema)
     return out.select(

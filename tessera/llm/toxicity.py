@@ -119,18 +119,24 @@ def train(texts: list[str], y: np.ndarray) -> Model:
         return Model(np.zeros(size), np.zeros(size), -60.0, np.zeros((2, 2)), np.zeros(3), float(y.mean()) if len(y) else 0.5)
     data, offsets = tk.column_bytes(pa.array(texts, pa.large_string()))
     parts = [features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]) for lo, hi in runtime.rows_within(offsets, SHARD_BYTES)]
-    own = np.concatenate([p[0] for p in parts])
     words = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(p[3]) for p in parts]))))
-    del parts
+    own = np.empty((int(words[-1]), N_OWN), np.int32, order="F")
+    at = 0
+    while parts:
+        part = parts.pop(0)[0]
+        own[at : at + len(part)] = part
+        at += len(part)
     state = _seeds(own, words, y)
     doc = np.repeat(np.arange(len(y)), np.diff(words))
     # weights only for features that occur LEAST times (number n stands for all others and has no weight);
     # columns: own features, then neighbours, then the bias
-    used = np.flatnonzero(np.bincount(own.ravel(), minlength=size) >= LEAST)
+    used = np.flatnonzero(sum(np.bincount(own[:, k], minlength=size) for k in range(N_OWN)) >= LEAST)
     n = len(used)
     number = np.full(size, n, np.int32)
     number[used] = np.arange(n, dtype=np.int32)
-    c = np.asfortranarray(number[own])
+    c = own
+    for k in range(N_OWN):
+        c[:, k] = number[own[:, k]]
     # training windows: the documents in pieces, all of them
     cuts = np.unique(np.concatenate([words, *(np.arange(a, b, TRAIN_WINDOW) for a, b in zip(words[:-1], words[1:], strict=True))]))
     model = Model(np.zeros(size, np.float32), np.zeros(size, np.float32), 0.0, np.zeros((2, 2)), np.zeros(3))
@@ -138,8 +144,8 @@ def train(texts: list[str], y: np.ndarray) -> Model:
     for again in (False, True):
         s = state.astype(float)
 
-        def emission(w):
-            out = _neighbours(np.append(w[n : 2 * n], 0.0)[c[:, 0]], cuts) + w[2 * n]
+        def emission(w, offsets=cuts):
+            out = _neighbours(np.append(w[n : 2 * n], 0.0)[c[:, 0]], offsets) + w[2 * n]
             mine = np.append(w[:n], 0.0)
             for k in range(N_OWN):
                 out += mine[c[:, k]]
@@ -157,16 +163,18 @@ def train(texts: list[str], y: np.ndarray) -> Model:
         fitted = np.concatenate([w, model.transitions.ravel()])
         model.own[used], model.near[used], model.bias = w[:n], w[n : 2 * n], float(w[2 * n])
         if not again:
-            p = crf.marginals(model.emission(own, words), words, model.transitions)
+            p = crf.marginals(emission(w, words), words, model.transitions)
             state = state | ((p >= 0.5) & (y[doc] == 1))
-    p = crf.marginals(model.emission(own, words), words, model.transitions)
+    p = crf.marginals(emission(w, words), words, model.transitions)
     model.scale = training.platt(model.evidence(p, words), y)
     return model
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model from the labelled rows that are not held out (training.sample states the bounds)."""
-    return train(*training.sample(docs, labels, label, id_col, text_col, PER_CLASS))
+    model = train(*training.sample(docs, labels, label, id_col, text_col, PER_CLASS))
+    runtime.release()
+    return model
 
 
 def _share(docs: DataFrame, model: Model):
