@@ -1,8 +1,9 @@
 """A database of Parquet tables with PostgreSQL's statements on top.
 
-Tables are immutable Parquet snapshots: a statement that changes one writes a new snapshot and swaps it in
-after its constraints hold, so a failed statement changes nothing. Queries are rewritten to Spark SQL and
-run by Catalyst.
+Tables are lists of immutable Parquet folders. INSERT and COPY add a folder with the new rows, UPDATE and DELETE
+write the table's rows once into a new one; the list is swapped after the constraints hold, so a failed statement
+changes nothing. Constraints are checked on the new rows alone, in one pass; keys are joined with the old ones.
+VACUUM deletes folders that no table lists any more. Queries are rewritten to Spark SQL and run by Catalyst.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from .functions import udfs
 from .plans import special
 from .plans.dialect import Emitter, ident, string
 from .plans.parser import Parser, SqlError
+from .scratch import shared_folder
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -28,7 +30,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 class Table:
     name: str
     columns: list[tuple[str, str]] = field(default_factory=list)  # name, Spark type
-    path: str | None = None  # the snapshot
+    paths: tuple[str, ...] = ()  # the folders that make up its rows
     defaults: dict[str, object] = field(default_factory=dict)
     not_null: set[str] = field(default_factory=set)
     checks: list[tuple[str, object]] = field(default_factory=list)
@@ -54,7 +56,7 @@ class Database:
 
     def __init__(self, spark: SparkSession, folder: str | None = None):
         self.spark = spark
-        base = folder or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse")
+        base = folder or shared_folder(spark)
         self.folder = f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex[:12]}"
         self.tables: dict[str, Table] = {}
         self.views: dict[str, str] = {}
@@ -163,15 +165,20 @@ class Database:
             return self.spark.createDataFrame([], ", ".join(f"`{c}` {k}" for c, k in t.columns))
         return reduce(lambda a, b: a.unionByName(b), (a.select(*cols) for a in arms))
 
-    def _own(self, t: Table) -> DataFrame:
-        stored = [(c, k) for c, k in t.columns if c not in t.generated or t.generated[c][1]]
-        schema = ", ".join(f"`{c}` {k}" for c, k in stored)
-        df = self.spark.read.schema(schema).parquet(t.path) if t.path else self.spark.createDataFrame([], schema)
+    def _own(self, t: Table, paths: tuple[str, ...] | None = None) -> DataFrame:
+        """The rows of a table's own folders (or of some of them)."""
+        paths = t.paths if paths is None else paths
+        schema = ", ".join(f"`{c}` {k}" for c, k in self._stored(t))
+        df = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
         for c, (e, kept) in t.generated.items():
             if not kept:
                 df = df.withColumn(c, self._expr(e).cast(dict(t.columns)[c]))
         return df.select(*[c for c, _ in t.columns])
 
+    @staticmethod
+    def _stored(t: Table) -> list[tuple[str, str]]:
+        return [(c, k) for c, k in t.columns if c not in t.generated or t.generated[c][1]]
+
     def _table(self, name: str) -> Table:
         if name not in self.tables:
             raise SqlError(f'relation "{name}" does not exist', "42P01")
@@ -183,38 +190,41 @@ class Database:
             self.frame(name).createOrReplaceTempView(name)
             name = self.tables[name].parent
 
-    def _commit(self, t: Table, df: DataFrame) -> None:
-        """Writes a new snapshot, checks the constraints on it, and swaps it in."""
+    def _write(self, t: Table, df: DataFrame) -> str:
         path = f"{self.folder}/{t.name}/{uuid.uuid4().hex}"
-        stored = [c for c, _ in t.columns if c not in t.generated or t.generated[c][1]]
-        df.select(*stored).write.parquet(path)
-        old, t.path = t.path, path
+        df.write.parquet(path)
+        return path
+
+    def _commit(self, t: Table, path: str, append: bool) -> None:
+        """Takes a folder of rows into the table, beside its others or in their place, if the constraints hold."""
+        old = t.paths
+        t.paths = (*old, path) if append else (path,)
         try:
-            self._validate(t)
+            self._validate(t, self._own(t, (path,)), self._own(t, old) if append and old else None)
         except Exception:
-            t.path = old
+            t.paths = old
             raise
         self._publish(t.name)
 
-    def _validate(self, t: Table) -> None:
-        df = self._own(t)
-        for c in sorted(t.not_null):
-            if not df.where(F.col(c).isNull()).isEmpty():
-                raise SqlError(f'null value in column "{c}" of relation "{t.name}" violates not-null constraint', "23502")
-        for name, e in t.checks:
-            if not df.where(~F.coalesce(self._expr(e), F.lit(True))).isEmpty():
-                raise SqlError(f'new row for relation "{t.name}" violates check constraint "{name}"', "23514")
+    def _validate(self, t: Table, rows: DataFrame, before: DataFrame | None = None) -> None:
+        """Checks new rows: one pass for all that concerns a row by itself, then each key, on the new rows and
+        against the rows before."""
+        tests = [(F.col(c).isNull(), f'null value in column "{c}" of relation "{t.name}" violates not-null constraint', "23502") for c in sorted(t.not_null)]
+        tests += [(~F.coalesce(self._expr(e), F.lit(True)), f'new row for relation "{t.name}" violates check constraint "{name}"', "23514") for name, e in t.checks]
+        tests += [(F.char_length(F.rtrim(c)) > n, f"value too long for type character varying({n})", "22001") for c, n in t.lengths.items()]
+        key = self.tables[t.parent].partition_by if t.bounds and t.parent else None
+        if key:
+            tests.append((~F.coalesce(self._inside(t, key), F.lit(False)), f'new row for relation "{t.name}" violates partition constraint', "23514"))
+        if tests:
+            broken = rows.agg(*[F.bool_or(x).alias(f"b{i}") for i, (x, _, _) in enumerate(tests)]).first()
+            for wrong, (_, message, state) in zip(broken, tests, strict=True):
+                if wrong:
+                    raise SqlError(message, state)
         for name, cols in t.unique:
-            keyed = df.where(reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in cols)))
-            if not keyed.groupBy(*cols).count().where("count > 1").isEmpty():
+            keyed = rows.where(reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in cols))).select(*cols)
+            twice = not keyed.groupBy(*cols).count().where("count > 1").isEmpty()
+            if twice or (before is not None and not before.select(*cols).join(keyed, cols, "left_semi").isEmpty()):
                 raise SqlError(f'duplicate key value violates unique constraint "{name}"', "23505")
-        for c, n in t.lengths.items():
-            if not df.where(F.char_length(F.rtrim(c)) > n).isEmpty():
-                raise SqlError(f"value too long for type character varying({n})", "22001")
-        if t.bounds and t.parent:
-            key = self.tables[t.parent].partition_by
-            if key and not df.where(~F.coalesce(self._inside(t, key), F.lit(False))).isEmpty():
-                raise SqlError(f'new row for relation "{t.name}" violates partition constraint', "23514")
 
     def _inside(self, t: Table, key: str):
         lo, hi = t.bounds
@@ -250,7 +260,7 @@ class Database:
             df = self.query(text[re.search(r"(?i)\bas\b", text).end() :])
             t.columns = [(f.name, f.dataType.simpleString()) for f in df.schema]
             self.tables[name] = t
-            self._commit(t, df)
+            self._commit(t, self._write(t, df), append=False)
             return "SELECT"
         if p.take_all("partition", "of"):
             return self._create_partition(p, t)
@@ -431,7 +441,7 @@ class Database:
 
     def size_of(self, name: str) -> int:
         """Bytes of a table's files."""
-        paths = [leaf.path for leaf in self._leaves(self._table(name)) if leaf.path] if name in self.tables else []
+        paths = [x for leaf in self._leaves(self._table(name)) for x in leaf.paths] if name in self.tables else []
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         found = [jvm.org.apache.hadoop.fs.Path(p) for p in paths]
         return sum(p.getFileSystem(conf).getContentSummary(p).getLength() for p in found)
@@ -500,7 +510,7 @@ class Database:
         if m:
             t = self._table(m[2].lower())
             t.unique.append((m[1] or f"{m[2]}_idx", [c.strip() for c in m[3].split(",")]))
-            self._validate(t)
+            self._validate(t, self._own(t))
         return "CREATE INDEX"
 
     def _create_schema(self, p, text, temp):
@@ -529,7 +539,7 @@ class Database:
         p.need("add")
         label = p.ident() if p.take("constraint") else None
         self._constraint(p, t, label, None)
-        self._validate(t)
+        self._validate(t, self._own(t))
         return "ALTER TABLE"
 
     # DML
@@ -578,10 +588,19 @@ class Database:
         rows = rows.select(*[put[c].alias(c) for c in names if c not in t.generated])
         for c, (e, _) in t.generated.items():
             rows = rows.withColumn(c, F.expr(em.expr(e, None)).cast(kinds[c]))
-        rows = self._pinned(rows.select(*names))
-        self._route(t, rows)
+        rows = self._added(t, rows.select(*names))
         return self._returning(p, rows, f"INSERT 0 {rows.count()}")
 
+    def _added(self, t: Table, rows: DataFrame) -> DataFrame:
+        """Adds rows to a table, written once; to a partitioned table once more, by partition."""
+        if t.partition_by:
+            rows = self._pinned(rows)
+            self._route(t, rows)
+            return rows
+        path = self._write(t, rows.select(*[c for c, _ in self._stored(t)]))
+        self._commit(t, path, append=True)
+        return self._own(t, (path,))
+
     @staticmethod
     def _own_sequence(t: Table, c: str) -> str | None:
         """The sequence that a column's default draws from."""
@@ -616,7 +635,7 @@ class Database:
     def _route(self, t: Table, rows: DataFrame) -> None:
         """Rows to the leaf whose bounds hold them; all of them or none."""
         if not t.partition_by:
-            self._commit(t, self._own(t).unionByName(rows))
+            self._added(t, rows)
             return
         rest, plan = rows, []
         for leaf in (self._table(n) for n in t.partitions):
@@ -625,14 +644,14 @@ class Database:
             rest = rest.where(~inside)
         if not rest.isEmpty():
             raise SqlError(f'no partition of relation "{t.name}" found for row', "23514")
-        saved = {leaf.name: leaf.path for leaf, _ in plan}
+        saved = {leaf.name: leaf.paths for leaf, _ in plan}
         try:
             for leaf, part in plan:
                 if not part.isEmpty():
                     self._route(leaf, part)
         except Exception:
             for leaf, _ in plan:
-                leaf.path = saved[leaf.name]
+                leaf.paths = saved[leaf.name]
             self._publish(t.name)
             raise
 
@@ -677,18 +696,26 @@ class Database:
             after = marked.select(*[(F.when(F.col("_hit"), values[c]).otherwise(F.col(c)) if c in values else F.col(c)).alias(c) for c, _ in t.columns], "_hit")
             for c, (e, _) in t.generated.items():
                 after = after.withColumn(c, F.expr(em.expr(e, None)).cast(kinds[c]))
-            after = self._pinned(after)
+            # one folder holds the rows and which of them have changed; the table does not read that column
+            path = self._write(leaf, after)
+            after = self.spark.read.schema(after.schema).parquet(path)
             changed.append(after.where("_hit").drop("_hit"))
-            plan.append((leaf, after.drop("_hit")))
+            plan.append((leaf, after.drop("_hit"), path))
         rows = reduce(DataFrame.unionByName, changed)
-        if t.partition_by in sets:  # rows may change partitions
-            everything = reduce(DataFrame.unionByName, (a for _, a in plan))
-            for leaf, _ in plan:
-                leaf.path = None
-            self._route(t, everything)
-        else:
-            for leaf, after in plan:
-                self._commit(leaf, after)
+        saved = {leaf.name: leaf.paths for leaf, _, _ in plan}
+        try:
+            if t.partition_by in sets:  # rows may change partitions
+                for leaf, _, _ in plan:
+                    leaf.paths = ()
+                self._route(t, reduce(DataFrame.unionByName, (a for _, a, _ in plan)))
+            else:
+                for leaf, _, path in plan:
+                    self._commit(leaf, path, append=False)
+        except Exception:
+            for leaf, _, _ in plan:
+                leaf.paths = saved[leaf.name]
+                self._publish(leaf.name)
+            raise
         return self._returning(p, rows, f"UPDATE {rows.count()}")
 
     def _delete(self, p: Parser, text: str):
@@ -698,9 +725,10 @@ class Database:
         em = self._emitter(getattr(self, "_args", None))
         gone = []
         for leaf in self._leaves(t):
-            marked = self._pinned(self._own(leaf).withColumn("_hit", F.coalesce(F.expr(em.expr(where, None)), F.lit(False))))
-            gone.append(marked.where("_hit").drop("_hit"))
-            self._commit(leaf, marked.where("not _hit").drop("_hit"))
+            own, hit = self._own(leaf), F.coalesce(F.expr(em.expr(where, None)), F.lit(False))
+            gone.append(own.where(hit))  # from the folders before, which stay as they are
+            leaf.paths = (self._write(leaf, own.where(~hit).select(*[c for c, _ in self._stored(leaf)])),)
+            self._publish(leaf.name)
         rows = reduce(DataFrame.unionByName, gone)
         return self._returning(p, rows, f"DELETE {rows.count()}")
 
@@ -708,7 +736,7 @@ class Database:
         p.take("table")
         while True:
             for leaf in self._leaves(self._table(p.ident())):
-                leaf.path = None
+                leaf.paths = ()
                 self._publish(leaf.name)
             if not p.take(","):
                 return "TRUNCATE TABLE"
@@ -724,13 +752,47 @@ class Database:
         em = self._emitter()
         o.defaults = {c: F.expr(em.expr(e, None)) for c, e in t.defaults.items() if e[0] != "call"}
         schema = StructType.fromDDL(", ".join(f"`{c}` {k}" for c, k in t.columns))
-        rows = self._pinned(copy_from(self.spark, path, schema, o))
-        self._route(t, rows)
-        return rows.count()
+        return self._added(t, copy_from(self.spark, path, schema, o)).count()
+
+    def _copy(self, p: Parser, text: str):
+        """COPY table [(columns)] FROM 'path' | STDIN [WITH] (option value, ...). STDIN's lines are the argument."""
+        from .sources.copy import CopyOptions
+
+        name = p.ident()
+        columns = tuple(p.names()) if p.at("(") else None
+        p.need("from")
+        if p.take("stdin"):
+            path = f"{self.folder}/_stdin/{uuid.uuid4().hex}"
+            lines = [(x,) for x in (self._args[0] if self._args else "").split("\n")]
+            self.spark.createDataFrame(lines[:-1] if lines[-1] == ("",) else lines, "value string").coalesce(1).write.text(path)
+        else:
+            path = p.peek()[1]
+            p.i += 1
+        p.take("with")
+        o = CopyOptions(columns=columns)
+        if p.take("("):
+            while not p.take(")"):
+                word = p.ident()
+                kind, value = p.peek()
+                if word == "header":
+                    o.header = True
+                    if not p.at(",", ")"):
+                        p.i += 1
+                        o.header = "match" if value == "match" else value in ("true", "on", "1")
+                elif word == "force_not_null":
+                    o.force_not_null = tuple(p.names())
+                elif word in ("format", "delimiter", "null", "quote", "escape"):
+                    p.i += 1
+                    setattr(o, word, value)
+                else:
+                    raise SqlError(f'option "{word}" not recognized', "42601")
+                p.take(",")
+        p.done()
+        return f"COPY {self.copy(name, path, o)}"
 
     # transactions: a snapshot of all table versions
     def _begin(self, p, text):
-        self._saved = {n: (t.path, t) for n, t in self.tables.items()}
+        self._saved = {n: (t.paths, t) for n, t in self.tables.items()}
         return "BEGIN"
 
     _start = _begin
@@ -743,7 +805,7 @@ class Database:
         if self._saved is not None:
             self.tables = {}
             for n, (path, t) in self._saved.items():
-                t.path = path
+                t.paths = path
                 self.tables[n] = t
             for n in list(self.tables):
                 self._publish(n)
@@ -789,7 +851,10 @@ class Database:
 
     def _declare(self, p: Parser, text: str):
         name = p.ident()
-        self.cursors[name] = Cursor(self.query(text[re.search(r"(?i)\bfor\b", text).end() :]))
+        df = self.query(text[re.search(r"(?i)\bfor\b", text).end() :])
+        rows = self._pinned(df.withColumn("_place", F.monotonically_increasing_id()))
+        number, total = self._consecutive(rows, F.col("_place"))
+        self.cursors[name] = Cursor(rows.withColumn("_place", number), total)
         return "DECLARE CURSOR"
 
     def _fetch(self, p: Parser, text: str):
@@ -812,16 +877,16 @@ class Database:
         name = p.ident()
         if name not in self.cursors:
             raise SqlError(f'cursor "{name}" does not exist', "34000")
-        return self.cursors[name].fetch(self.spark, n, back)
+        return self.cursors[name].fetch(n, back)
 
     def _move(self, p: Parser, text: str):
-        return f"MOVE {len(self._fetch(p, text).collect())}"
+        return f"MOVE {self._fetch(p, text).count()}"
 
     def _close(self, p: Parser, text: str):
         if p.take("all"):
             self.cursors.clear()
         else:
-            self.cursors.pop(p.ident()).stop()
+            self.cursors.pop(p.ident())
         return "CLOSE CURSOR"
 
     def _set(self, p: Parser, text: str):
@@ -850,6 +915,15 @@ class Database:
         return "ANALYZE"
 
     def _vacuum(self, p, text):
+        """Deletes the folders of rows that neither a table nor an open transaction lists."""
+        kept = {x for t in self.tables.values() for x in t.paths} | {x for paths, _ in (self._saved or {}).values() for x in paths}
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for name in self.tables:
+            folder = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+            fs = folder.getFileSystem(conf)
+            for f in fs.listStatus(folder) if fs.exists(folder) else []:
+                if f"{self.folder}/{name}/{f.getPath().getName()}" not in kept:
+                    fs.delete(f.getPath(), True)
         return "VACUUM"
 
     def _do(self, p: Parser, text: str):
@@ -881,33 +955,22 @@ class Database:
 
 
 class Cursor:
-    """Rows of a query fetched as they are asked for; fetched rows can be gone back over."""
+    """A query's rows, written once with their places, and a position among them. What is fetched is a range of
+    places, read when it is asked for; nothing is kept on the driver."""
 
-    def __init__(self, df: DataFrame):
-        self.schema = df.schema
-        self.rows = df.toLocalIterator()
-        self.seen: list = []
+    def __init__(self, rows: DataFrame, total: int):
+        self.rows, self.total = rows, total
         self.at = 0  # rows before the position
 
-    def fetch(self, spark: SparkSession, n: int | None, back: bool = False) -> DataFrame:
-        out = []
+    def fetch(self, n: int | None, back: bool = False) -> DataFrame:
         if back:
-            while self.at > 1 and (n is None or len(out) < n):
-                self.at -= 1
-                out.append(self.seen[self.at - 1])
-            if n is None or len(out) < n:
-                self.at = 0
+            first = max(0, self.at - 1)
+            least = 0 if n is None else max(0, first - n)
+            self.at = least + 1 if n is not None and first - least == n else 0
+            lo, hi, order = least, first, F.col("_place").desc()
         else:
-            while n is None or len(out) < n:
-                if self.at >= len(self.seen):
-                    row = next(self.rows, None)
-                    if row is None:
-                        self.at = len(self.seen) + 1
-                        break
-                    self.seen.append(row)
-                out.append(self.seen[self.at])
-                self.at += 1
-        return spark.createDataFrame(out, self.schema)
-
-    def stop(self) -> None:
-        self.rows = iter(())
+            lo = min(self.at, self.total)
+            hi = self.total if n is None else min(self.total, lo + n)
+            self.at = hi if n is not None and lo + n <= self.total else self.total + 1
+            order = F.col("_place").asc()
+        return self.rows.where((F.col("_place") >= lo) & (F.col("_place") < hi)).orderBy(order).drop("_place")

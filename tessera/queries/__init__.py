@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import exotic, functions, programs, relational, suites
+from . import exotic, functions, programs, relational, suites, typed
 
 
 def queries() -> dict:
-    return {k: v for m in (relational, suites, functions, exotic, programs) for k, v in m.queries().items()}
+    return {k: v for m in (relational, suites, typed, functions, exotic, programs) for k, v in m.queries().items()}
 
 
 def oracle_sql() -> dict:
-    return {k: v for m in (relational, suites, functions, exotic, programs) for k, v in m.oracle_sql().items()}
+    return {k: v for m in (relational, suites, typed, functions, exotic, programs) for k, v in m.oracle_sql().items()}

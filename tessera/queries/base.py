@@ -18,14 +18,6 @@ class Texts:
         self.run[name] = text
         self.oracle[name] = text if oracle is None else oracle
 
-    def whole(self, name: str, *bounds: str) -> None:
-        """Adds name_whole, the query `name` over whole tables: both texts without the id bounds given."""
-        run, oracle = self.run[name], self.oracle[name]
-        for b in bounds:
-            assert b in run and b in oracle, (name, b)
-            run, oracle = run.replace(b, ""), oracle.replace(b, "")
-        self.add(f"{name}_whole", run, oracle)
-
     def queries(self) -> dict:
         def make(text):
             used = sorted(set(re.findall(r"\w+", text.lower())) & set(TABLES))

@@ -101,15 +101,47 @@ def fn_sql_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     db = Database.over(spark, sf_dir)
     db.sql("create function taxed(price double precision, rate double precision) returns double precision language sql strict as 'select price * (1 + rate)'")
     db.sql("create function third(int) returns int return $1 / 3")
-    return db.sql("select l_orderkey, l_linenumber, round(taxed(l_extendedprice, l_tax), 4) as t, third(l_linenumber + 5) as d, taxed(null, 1) is null as n from lineitem where l_orderkey < 1000")
+    return db.sql("select l_orderkey, l_linenumber, round(taxed(l_extendedprice, l_tax), 4) as t, third(l_linenumber + 5) as d, taxed(null, 1) is null as n from lineitem")
 
 
-def fn_sql_function_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """fn_sql_function over all of lineitem."""
-    db = Database.over(spark, sf_dir)
-    db.sql("create function taxed(price double precision, rate double precision) returns double precision language sql strict as 'select price * (1 + rate)'")
-    db.sql("create function third(int) returns int return $1 / 3")
-    return db.sql("select l_orderkey, l_linenumber, round(taxed(l_extendedprice, l_tax), 4) as t, third(l_linenumber + 5) as d, taxed(null, 1) is null as n from lineitem")
+def expr_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parameters of a query: numbers, text, a date and a NULL."""
+    db = Database.over(spark, sf_dir, ["orders"])
+    return db.query(
+        "select o_orderkey, $3 || o_orderstatus as s, coalesce($4, o_custkey) + $1 as c from orders where o_totalprice > $2 and o_orderdate >= $5::date", [7, 250000.5, "is ", None, "1995-06-01"]
+    )
+
+
+def dml_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sequence as a default, over all rows of a query: each row gets a number of its own, none is left out."""
+    db = Database.over(spark, sf_dir, ["customer"])
+    db.sql("create table c (id bigserial primary key, k int not null)")
+    db.sql("insert into c (k) values (-1), (-2)")
+    db.sql("insert into c (k) select c_custkey from customer")
+    db.sql("create sequence s start 100 increment 10")
+    db.sql("select nextval('s') as n")
+    numbered = db.sql("select nextval('s') as n, id, k from c")
+    return spark.createDataFrame(
+        [("rows", numbered.count()), ("ids", numbered.select("id").distinct().count()), ("least", numbered.agg(F.min("id")).first()[0]), ("most", numbered.agg(F.max("id")).first()[0])]
+        + [("numbers", numbered.select("n").distinct().count()), ("from", numbered.agg(F.min("n")).first()[0]), ("to", numbered.agg(F.max("n")).first()[0]), ("last", db.currval("s"))],
+        "what string, n bigint",
+    )
+
+
+def copy_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """COPY with a header line in each file: the first line goes, whatever it says, and a row like it stays."""
+    db = Database.over(spark, sf_dir, ["nation"])
+    lines = db.query("select n_nationkey || E'\\t' || n_name as value from nation")
+    head = spark.createDataFrame([("k\tname",)], "value string")
+    folder = f"{db.folder}/headed"
+    for i in range(3):
+        part = lines.where(F.crc32("value") % 3 == i).unionAll(spark.createDataFrame([(f"{-i - 1}\tname",)], "value string"))
+        ordered = head.withColumn("o", F.lit(0)).unionAll(part.withColumn("o", F.lit(1))).repartition(1).sortWithinPartitions("o")
+        ordered.select("value").write.mode("append").text(folder)
+    db.sql("create table t (k int, name text)")
+    db.sql(f"copy t from '{folder}' with (header match)")
+    db.sql(f"copy t (k, name) from stdin (format csv, header, delimiter ';')", ["other;words\n-9;\"a;b\"\n"])
+    return db.sql("select k, name from t")
 
 
 def prog_prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,14 +211,6 @@ def df_not_in(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def df_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each purchase-like event with the user's last earlier event of another type."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    left = e.where("event_id % 3 = 0").select("event_id", "user_id", "ts")
-    right = e.where("event_id % 3 = 1").groupBy("user_id", "ts").agg(F.max("event_id").alias("last_id"))
-    return rel.as_of(left, right, "ts", ["user_id"]).select("event_id", F.col("r_last_id").alias("last_id"))
-
-
-def df_as_of_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each purchase with the user's last event of another type up to then, over all events."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     left = e.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
@@ -216,11 +240,16 @@ def stream_running_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ALL = (
-    dml_update_delete, dml_returning, dml_constraints, dml_partitions, dml_inheritance, dml_transaction, ddl_enum, ddl_view_sequence, fn_sql_function, fn_sql_function_whole, prog_prepared, prog_cursor, prog_plpgsql,
-    copy_text, copy_csv, df_not_in, df_as_of, df_as_of_whole, df_salted_join, df_distinct_on, stream_tumbling, stream_running_totals,
+    expr_params, dml_sequence, copy_header,
+    dml_update_delete, dml_returning, dml_constraints, dml_partitions, dml_inheritance, dml_transaction, ddl_enum, ddl_view_sequence, fn_sql_function, prog_prepared, prog_cursor, prog_plpgsql,
+    copy_text, copy_csv, df_not_in, df_as_of, df_salted_join, df_distinct_on, stream_tumbling, stream_running_totals,
 )
 
 ORACLE = {
+    "expr_params": "select o_orderkey, 'is ' || o_orderstatus as s, o_custkey + 7 as c from orders where o_totalprice > 250000.5 and o_orderdate >= date '1995-06-01'",
+    "dml_sequence": """with n as (select count(*) + 2 as n from customer) select * from (select 'rows' as what, n from n union all select 'ids', n from n union all select 'least', 1 union all select 'most', n from n
+        union all select 'numbers', n from n union all select 'from', 110 union all select 'to', 100 + 10 * n from n union all select 'last', 100 + 10 * n from n)""",
+    "copy_header": "select n_nationkey as k, n_name as name from nation union all select * from (values (-1, 'name'), (-2, 'name'), (-3, 'name'), (-9, 'a;b'))",
     "dml_update_delete": """with u as (select c_custkey, c_nationkey, case when c_nationkey = 3 then c_acctbal * 2 else c_acctbal end as c_acctbal, case when c_nationkey = 3 then upper(c_mktsegment) || '!' else c_mktsegment end as c_mktsegment from customer)
         select c_custkey, c_nationkey, round(c_acctbal, 4) as c_acctbal, c_mktsegment from u where c_acctbal >= 0 union all select c_custkey + 1000000, c_nationkey, 0.0, 'NEW' from customer where c_nationkey = 5""",
     "dml_returning": "select i as id, 'none' as name, 2 * i + 1 as t1 from (values (1), (2), (3)) t(i)",
@@ -231,17 +260,14 @@ ORACLE = {
     "dml_transaction": "select * from (values (1), (3)) t(a)",
     "ddl_enum": "select * from (values ('a', 'happy', 3), ('b', 'sad', 1), ('c', 'ok', 2)) t(name, m, place)",
     "ddl_view_sequence": "select n_regionkey as region, count(*) as n, 5 as a, 15 as b, 15 as c from nation group by n_regionkey",
-    "fn_sql_function": "select l_orderkey, l_linenumber, round(l_extendedprice * (1 + l_tax), 4) as t, (l_linenumber + 5) // 3 as d, true as n from lineitem where l_orderkey < 1000",
-    "fn_sql_function_whole": "select l_orderkey, l_linenumber, round(l_extendedprice * (1 + l_tax), 4) as t, (l_linenumber + 5) // 3 as d, true as n from lineitem",
+    "fn_sql_function": "select l_orderkey, l_linenumber, round(l_extendedprice * (1 + l_tax), 4) as t, (l_linenumber + 5) // 3 as d, true as n from lineitem",
     "prog_prepared": "select n_nationkey, n_name, 'in ' || n_name as x from nation where n_regionkey = 2",
     "prog_cursor": "select n_nationkey, n_name, 1 as step from nation where n_nationkey < 3 union all select n_nationkey, n_name, 2 from nation where n_nationkey in (3, 4) union all select n_nationkey, n_name, 3 from nation where n_nationkey in (3, 2)",
     "prog_plpgsql": "select * from (values ('collatz', 8), ('total', 35)) t(name, value)",
     "copy_text": "select n_nationkey, case when n_nationkey % 3 = 0 then null when n_nationkey % 3 = 1 then 'tab' || chr(9) || 'here' else 'back' || chr(92) || 'slash' || chr(10) || 'line' end as v, n_name from nation",
     "copy_csv": "select n_nationkey, case when n_nationkey % 3 = 0 then null when n_nationkey % 3 = 1 then 'a,\"b\"' else '' end as v, 7 as extra from nation",
     "df_not_in": "select n_nationkey from nation where n_nationkey not in (select s_nationkey from supplier where s_acctbal > 5000)",
-    "df_as_of": """with r as (select user_id, ts, max(event_id) as last_id from events where event_id % 3 = 1 group by user_id, ts)
-        select l.event_id, r.last_id from (select event_id, user_id, ts from events where event_id % 3 = 0) l asof left join r on l.user_id = r.user_id and l.ts >= r.ts""",
-    "df_as_of_whole": """with r as (select user_id, ts, max(event_id) as last_id from events where event_type <> 'purchase' group by user_id, ts)
+    "df_as_of": """with r as (select user_id, ts, max(event_id) as last_id from events where event_type <> 'purchase' group by user_id, ts)
         select l.event_id, r.last_id from (select event_id, user_id, ts from events where event_type = 'purchase') l asof left join r on l.user_id = r.user_id and l.ts >= r.ts""",
     "df_salted_join": "select p_size, sum(l_quantity) as q, count(*) as n from lineitem join part on l_partkey = p_partkey group by p_size",
     "df_distinct_on": "select distinct on (l_partkey) l_partkey, l_orderkey, l_linenumber, l_extendedprice from lineitem order by l_partkey, l_extendedprice desc, l_orderkey, l_linenumber",

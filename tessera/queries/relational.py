@@ -11,7 +11,7 @@ A = T.add
 A("scan_project", "select l_orderkey, l_linenumber, l_quantity from lineitem where l_quantity > 45 and l_returnflag = 'R'")
 A("scan_range_filter", "select o_orderkey, o_totalprice from orders where o_orderdate >= timestamp '1995-01-01' and o_orderdate < timestamp '1995-04-01'")
 A("scan_values", "select column1 as k, column2 as v from (values (1, 'a'), (2, 'b'), (3, null)) t(column1, column2)")
-A("scan_table", "select r_regionkey, r_name from region")
+A("scan_table", "table region", "select * from region")
 A("select_from_less", "select 1 + 1 as two, 'a' || 'b' as ab, null::int as n")
 A("derived_table", "select k, n from (select c_nationkey, count(*) from customer group by c_nationkey) t(k, n) where n > 2")
 A("cte_chain", "with a as (select c_nationkey as k, count(*) as n from customer group by c_nationkey), b(k, n) as (select k, n from a where n > 5) select b.k, b.n, n_name from b join nation on n_nationkey = b.k")
@@ -23,12 +23,12 @@ A("expr_between_in", "select n_nationkey, n_nationkey between 3 and 7 as b, n_na
 A("expr_in_nulls", "select v, v in (1, null) as i, v not in (1, null) as ni from (values (1), (2), (null)) t(v)")
 A("expr_distinct_from", "select a, b, a is distinct from b as d, a is not distinct from b as nd from (values (1, 1), (1, 2), (1, null), (null, null)) t(a, b)")
 A("expr_row_comparison", "select count(*) as n from lineitem where (l_returnflag, l_linestatus) = ('R', 'F')")
-A("expr_case", "select l_orderkey, l_linenumber, case when l_quantity < 10 then 'low' when l_quantity < 30 then 'mid' else 'high' end as band, case l_returnflag when 'R' then 1 when 'A' then 2 end as code from lineitem where l_orderkey < 200")
+A("expr_case", "select l_orderkey, l_linenumber, case when l_quantity < 10 then 'low' when l_quantity < 30 then 'mid' else 'high' end as band, case l_returnflag when 'R' then 1 when 'A' then 2 end as code from lineitem")
 A("expr_case_lazy", "select v, case when v = 0 then 0 else 10 / v end as q from (values (0), (2), (5)) t(v)", "select v, case when v = 0 then 0 else 10 // v end as q from (values (0), (2), (5)) t(v)")
 A("expr_coalesce_nullif", "select a, b, coalesce(a, b, 0) as c, nullif(a, 1) as n, greatest(a, b) as g, least(a, b) as l from (values (1, 2), (null, 3), (4, null)) t(a, b)")
 A("expr_cast", "select cast('12' as int) as i, '3.5'::double precision as d, 7::text as t, '2024-02-29'::date as dt, 2.5::double precision::int as h, 3.5::double precision::int as h2, cast(12.345 as numeric(6, 2))::double precision as n, 'yes'::boolean as b, 'abcdef'::varchar(3) as v",
   "select cast('12' as int) as i, cast('3.5' as double) as d, '7' as t, date '2024-02-29' as dt, cast(2 as int) as h, cast(4 as int) as h2, cast(12.35 as double) as n, true as b, 'abc' as v")
-A("expr_like", "select p_partkey, p_name like '%a%' as a, p_name ilike '%A%' as b, p_name not like 'p%' as c, p_type like '_%' as d from part where p_partkey < 100")
+A("expr_like", "select p_partkey, p_name like '%a%' as a, p_name ilike '%A%' as b, p_name not like 'p%' as c, p_type like '_%' as d from part")
 A("expr_similar", "select v, v similar to '(foo|ba)%' as s, v not similar to '_{3}' as n from (values ('foobar'), ('baz'), ('qux'), ('a.c')) t(v)",
   "select v, regexp_full_match(v, '(foo|ba).*') as s, not regexp_full_match(v, '.{3}') as n from (values ('foobar'), ('baz'), ('qux'), ('a.c')) t(v)")
 A("expr_regex", "select v, v ~ '^[a-c]+' as m, v ~* 'B' as i, v !~ 'z' as n, v !~* 'Q' as ni from (values ('abc'), ('xyz'), ('Qb')) t(v)",
@@ -41,27 +41,27 @@ A("expr_concat", "select n_name || '-' || n_nationkey as k, concat(n_name, null,
 A("expr_any_all_array", "select v, v = any(array[1, 2]) as a, v <> all(array[1, 2]) as b, v > all(array[0, 1]) as c, v < any(array[2, 3]) as d from (values (1), (3)) t(v)",
   "select v, v in (1, 2) as a, v not in (1, 2) as b, v > 1 as c, v < 3 as d from (values (1), (3)) t(v)")
 A("expr_subscript", "select (array[10, 20, 30])[2] as a, (array[10, 20])[5] as b, array[1, null, 3] as c", "select 20 as a, cast(null as int) as b, [1, null, 3] as c")
-A("expr_params_typed_literals", "select date '2024-01-15' as d, timestamp '2024-01-15 10:20:30' as t, extract(epoch from interval '1 day 2 hours')::double precision as s", "select date '2024-01-15' as d, timestamp '2024-01-15 10:20:30' as t, cast(93600 as double) as s")
+A("expr_typed_literals", "select date '2024-01-15' as d, timestamp '2024-01-15 10:20:30' as t, extract(epoch from interval '1 day 2 hours')::double precision as s", "select date '2024-01-15' as d, timestamp '2024-01-15 10:20:30' as t, cast(93600 as double) as s")
 A("expr_collate", "select n_name collate \"C\" as n from nation order by n_name collate \"C\" limit 5", "select n_name as n from nation order by n_name limit 5")
 
 # joins
-A("join_cross", "select r_name, n_name from region cross join nation where r_regionkey = 1 and n_nationkey < 3")
+A("join_cross", "select r_name, n_name from region cross join nation")
 A("join_comma", "select c_custkey, n_name from customer, nation where c_nationkey = n_nationkey and c_acctbal > 9000")
 A("join_inner_on", "select o_orderkey, c_name from orders join customer on o_custkey = c_custkey where o_totalprice > 300000")
 A("join_left", "select c_custkey, count(o_orderkey) as n from customer left join orders on c_custkey = o_custkey and o_totalprice > 200000 group by c_custkey")
 A("join_right", "select n_name, s_suppkey from supplier right join nation on s_nationkey = n_nationkey")
-A("join_full", "select a.k as ak, b.k as bk from (select c_nationkey as k from customer where c_custkey < 20) a full join (select s_nationkey as k from supplier where s_suppkey < 10) b on a.k = b.k")
+A("join_full", "select a.k as ak, b.k as bk from (select c_nationkey as k from customer) a full join (select s_nationkey as k from supplier) b on a.k = b.k")
 A("join_full_theta", "select a.k as ak, b.k as bk from (values (1), (2), (5)) a(k) full join (values (2), (3)) b(k) on a.k > b.k")
 A("join_using", "select k, a.v as av, b.v as bv from (values (1, 'x'), (2, 'y')) a(k, v) full join (values (2, 'z'), (3, 'w')) b(k, v) using (k)")
 A("join_natural", "select k, v, w from (values (1, 'x'), (2, 'y')) a(k, v) natural join (values (2, 'z'), (1, 'w')) b(k, w)")
-A("join_theta", "select count(*) as n from part a join part b on a.p_size < b.p_size and a.p_partkey < 40 and b.p_partkey < 40")
+A("join_theta", "select count(*) as n from part a join part b on a.p_size < b.p_size")
 A("join_self", "select a.n_name as a, b.n_name as b from nation a join nation b on a.n_regionkey = b.n_regionkey and a.n_nationkey < b.n_nationkey")
 A("join_null_keys", "select a.v as av, b.v as bv from (values (1), (null)) a(v) join (values (1), (null)) b(v) on a.v = b.v")
 A("join_semi_exists", "select c_custkey from customer c where exists (select 1 from orders o where o.o_custkey = c.c_custkey and o.o_totalprice > 350000)")
 A("join_anti_not_exists", "select c_custkey from customer c where not exists (select 1 from orders o where o.o_custkey = c.c_custkey)")
 A("join_not_in_nulls", "select count(*) as n from nation where n_nationkey not in (select v from (values (1), (null)) t(v))")
 A("join_or_factored", "select count(*) as n from lineitem, part where (p_partkey = l_partkey and p_size < 10 and l_quantity < 10) or (p_partkey = l_partkey and p_size > 40 and l_quantity > 40)")
-A("join_lateral", "select c_custkey, t.m from customer, lateral (select max(o_totalprice) as m from orders where o_custkey = c_custkey) t where c_custkey < 50")
+A("join_lateral", "select c_custkey, t.m from customer, lateral (select max(o_totalprice) as m from orders where o_custkey = c_custkey) t")
 
 # aggregates
 A("agg_basic", "select l_returnflag, count(*) as n, count(l_tax) as nt, min(l_quantity) as mn, max(l_shipdate) as mx, round(sum(l_extendedprice), 2) as s, round(avg(l_discount), 6) as a from lineitem group by l_returnflag")
@@ -83,14 +83,14 @@ A("agg_percentile", "select l_returnflag, percentile_cont(0.5) within group (ord
 A("agg_rollup", "select n_regionkey, n_name, count(*) as n from nation group by rollup (n_regionkey, n_name)")
 A("agg_cube", "select l_returnflag, l_linestatus, count(*) as n from lineitem group by cube (l_returnflag, l_linestatus)")
 A("agg_grouping_sets", "select l_returnflag, l_linestatus, count(*) as n from lineitem group by grouping sets ((l_returnflag), (l_linestatus), ())")
-A("agg_float_keys", "select v, count(*) as n from (values ('NaN'::double precision), ('NaN'::double precision), (0.0::double precision), (-0.0::double precision)) t(v) group by v having v = 0.0", "select cast(0.0 as double) as v, cast(2 as bigint) as n")
+A("agg_float_keys", "select case when v = 'NaN'::double precision then 'nan' else 'zero' end as k, count(*) as n from (values ('NaN'::double precision), ('NaN'::double precision), (0.0::double precision), (-0.0::double precision)) t(v) group by v", "select * from (values ('nan', 2), ('zero', 2)) t(k, n)")
 
 # windows
-A("win_ranking", "select o_orderkey, row_number() over w as rn, rank() over w as r, dense_rank() over w as d from (select o_orderkey, o_orderpriority, o_custkey from orders where o_orderkey < 2000) t window w as (partition by o_orderpriority order by o_custkey, o_orderkey)")
+A("win_ranking", "select o_orderkey, row_number() over w as rn, rank() over w as r, dense_rank() over w as d from (select o_orderkey, o_orderpriority, o_custkey from orders) t window w as (partition by o_orderpriority order by o_custkey, o_orderkey)")
 A("win_peers_share", "select n_nationkey, sum(n_regionkey) over (order by n_regionkey)::bigint as s, count(*) over (partition by n_regionkey) as c from nation")
 A("win_average", "select n_nationkey, (avg(n_nationkey) over (partition by n_regionkey))::double precision as a from nation")
-A("win_frame_rows", "select o_orderkey, round(sum(o_totalprice) over (partition by o_custkey order by o_orderdate, o_orderkey rows between 2 preceding and current row), 2) as s from orders where o_custkey < 100")
-A("win_lag_lead", "select o_orderkey, lag(o_orderkey) over w as p, lead(o_orderkey, 2) over w as n, first_value(o_orderkey) over w as f from orders where o_custkey < 60 window w as (partition by o_custkey order by o_orderdate, o_orderkey)")
+A("win_frame_rows", "select o_orderkey, round(sum(o_totalprice) over (partition by o_custkey order by o_orderdate, o_orderkey rows between 2 preceding and current row), 2) as s from orders")
+A("win_lag_lead", "select o_orderkey, lag(o_orderkey) over w as p, lead(o_orderkey, 2) over w as n, first_value(o_orderkey) over w as f from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey)")
 A("win_ntile", "select n_nationkey, ntile(4) over (order by n_nationkey) as q from nation")
 A("win_over_group", "select c_nationkey, count(*) as n, rank() over (order by count(*) desc, c_nationkey) as r from customer group by c_nationkey")
 A("win_named_base", "select n_nationkey, row_number() over (w order by n_name) as rn from nation window w as (partition by n_regionkey)")
@@ -109,9 +109,8 @@ A("distinct_on_first", "select distinct on (o_custkey) o_custkey, o_orderkey, o_
 # set operations
 A("set_union_all", "select n_regionkey as k from nation union all select r_regionkey from region")
 A("set_union", "select n_regionkey as k from nation union select c_nationkey from customer order by k")
-A("set_union_types", "select 1 as v union all select 2.5 union all select null", "select cast(1 as double) as v union all select 2.5 union all select null")
-T.run["set_union_types"] = "select v::double precision as v from (select 1 as v union all select 2.5 union all select null) t"
-A("set_intersect_except", "(select n_nationkey as k from nation intersect select c_nationkey from customer where c_custkey < 40) union all (select n_nationkey from nation except select c_nationkey from customer)")
+A("set_union_types", "select 1 as v union all select 2.5 union all select null", "select cast(1 as decimal(12,1)) as v union all select 2.5 union all select null")
+A("set_intersect_except", "(select n_nationkey as k from nation intersect select c_nationkey from customer) union all (select n_nationkey from nation except select c_nationkey from customer)")
 
 # subqueries
 A("sub_scalar", "select n_name, (select count(*) from customer where c_nationkey = n_nationkey) as n from nation")
@@ -120,10 +119,9 @@ A("sub_in", "select c_custkey from customer where c_nationkey in (select n_natio
 A("sub_in_select_list", "select v, v in (select n_nationkey from nation) as i, v not in (select n_nationkey from nation) as ni from (values (1), (99), (null)) t(v)")
 A("sub_any_all", "select v, v > any (select n_regionkey from nation) as a, v >= all (select n_regionkey from nation) as b, v = any (select n_regionkey from nation) as c from (values (0), (4), (9)) t(v)")
 A("sub_all_empty", "select v, v > all (select n_regionkey from nation where n_nationkey < 0) as a, v > any (select n_regionkey from nation where n_nationkey < 0) as b from (values (1), (null)) t(v)")
-A("sub_correlated_agg", "select l_orderkey, l_linenumber from lineitem l where l_quantity > (select 1.5 * avg(l2.l_quantity) from lineitem l2 where l2.l_partkey = l.l_partkey) and l_orderkey < 4000")
+A("sub_correlated_agg", "select l_orderkey, l_linenumber from lineitem l where l_quantity > (select 1.5 * avg(l2.l_quantity) from lineitem l2 where l2.l_partkey = l.l_partkey)")
 A("sub_count_bug", "select n_nationkey from nation where 0 = (select count(*) from supplier where s_nationkey = n_nationkey)")
 A("sub_array", "select r_regionkey, array_length(array(select n_nationkey from nation where n_regionkey = r_regionkey), 1)::bigint as n from region", "select r_regionkey, count(*) as n from region join nation on n_regionkey = r_regionkey group by r_regionkey")
-T.run["sub_array"] = "select r_regionkey, cardinality(array_agg(n_nationkey))::bigint as n from region join nation on n_regionkey = r_regionkey group by r_regionkey"
 A("cte_recursive", "with recursive r(n) as (select 1 union all select n + 1 from r where n < 20) select n from r")
 
 # table functions
@@ -135,19 +133,7 @@ A("srf_unnest", "select v from unnest(array[3, 1, 2]) as t(v)")
 A("srf_ordinality", "select v, o from unnest(array['x', 'y']) with ordinality as t(v, o)", "select unnest(['x', 'y']) as v, cast(unnest([1, 2]) as bigint) as o")
 A("srf_lockstep", "select unnest(array[1, 2]) as a, generate_series(1, 3) as b", "select unnest([1, 2, null]) as a, unnest([1, 2, 3]) as b")
 A("srf_subscripts", "select s from generate_subscripts(array[5, 6, 7], 1) as t(s)", "select unnest([1, 2, 3]) as s")
-A("srf_join", "select n_name, g from nation, generate_series(1, 2) as t(g) where n_nationkey < 3")
-
-# the bounded ones again, over whole tables
-T.whole("expr_case", " where l_orderkey < 200")
-T.whole("expr_like", " where p_partkey < 100")
-T.whole("join_full", " where c_custkey < 20", " where s_suppkey < 10")
-T.whole("join_theta", " and a.p_partkey < 40 and b.p_partkey < 40")
-T.whole("join_lateral", " where c_custkey < 50")
-T.whole("win_ranking", " where o_orderkey < 2000")
-T.whole("win_frame_rows", " where o_custkey < 100")
-T.whole("win_lag_lead", " where o_custkey < 60")
-T.whole("set_intersect_except", " where c_custkey < 40")
-T.whole("sub_correlated_agg", " and l_orderkey < 4000")
+A("srf_join", "select n_name, g from nation, generate_series(1, 2) as t(g)")
 
 
 def queries() -> dict:

@@ -1,7 +1,9 @@
 """COPY FROM: text and CSV files as DataFrames of a declared schema.
 
-Files are split and read by Spark; the text format's escapes are decoded by column expressions. A row
-that does not fit the schema fails the query when it runs, as in the original command.
+Files are read by Spark; the text format's escapes are decoded by column expressions. Files in text format are
+split; those in CSV format only where CopyOptions.split says that no quoted field holds a line's end, as a line's
+end alone then ends a row. A header line is the first line of each file, whatever it says; with HEADER MATCH it has
+to name the columns. A row that does not fit the schema fails the query when it runs, as in the original command.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ class CopyOptions:
     force_not_null: tuple[str, ...] = ()
     columns: tuple[str, ...] | None = None  # the file's columns, in order
     defaults: dict[str, object] = field(default_factory=dict)  # values of the columns that the file lacks
+    split: bool = False  # CSV: no quoted field holds a line's end
 
     def check(self) -> None:
         if self.format not in ("text", "csv"):
@@ -61,13 +64,36 @@ def _typed(df: DataFrame, schema: T.StructType, o: CopyOptions) -> DataFrame:
     return df.select(*cols)
 
 
+def _without_headers(lines: DataFrame, wanted: str | None) -> DataFrame:
+    """The lines without the first of each file. It is the first line of the split that begins at the file's
+    start, and a task reads its splits one after another."""
+    import pyarrow as pa
+
+    def skip(batches):
+        seen = set()
+        for b in batches:
+            keep = []
+            for line, file, start in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                first = start == 0 and file not in seen
+                if first:
+                    seen.add(file)
+                    if wanted is not None and line != wanted:
+                        raise CopyError(f'column name mismatch in header line: got "{line}", expected "{wanted}"')
+                keep.append(not first)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep, pa.bool_()))], names=["value"])
+
+    located = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    return located.mapInArrow(skip, "value string")
+
+
 def read_text(spark: SparkSession, path: str, schema: T.StructType, o: CopyOptions) -> DataFrame:
     o.check()
     names = list(o.columns or schema.fieldNames())
     delimiter, null = o.delimiter or "\t", "\\N" if o.null is None else o.null
-    lines = spark.read.text(path).where(F.col("value") != "\\.")
+    lines = spark.read.text(path)
     if o.header:
-        lines = lines.where(F.col("value") != delimiter.join(names))
+        lines = _without_headers(lines, delimiter.join(names) if o.header == "match" else None)
+    lines = lines.where(F.col("value") != "\\.")
     # a delimiter behind an odd number of backslashes is data
     parts = F.split("value", rf"(?<!(?<!\\)\\)\Q{delimiter}\E")
     wrong = F.raise_error(F.concat(F.lit("missing or extra data in COPY line: "), F.col("value")))
@@ -84,7 +110,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, o: CopyOption
     df = (
         spark.read.option("sep", o.delimiter or ",").option("quote", o.quote).option("escape", o.escape or o.quote)
         .option("header", bool(o.header)).option("enforceSchema", o.header != "match").option("mode", "FAILFAST")
-        .option("nullValue", o.null or "").option("emptyValue", "\x01" if not o.null else "").option("multiLine", True)
+        .option("nullValue", o.null or "").option("emptyValue", "\x01" if not o.null else "").option("multiLine", not o.split)
         .schema(strings).csv(path)
     )
     out = []

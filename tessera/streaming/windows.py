@@ -1,19 +1,16 @@
-"""Streams over files: windowed aggregates with watermarks, and a stateful running total.
+"""Streams over files: windowed aggregates with watermarks, and a running total.
 
 The analytical dialect has no streams of its own; `date_bin` is the batch form of the tumbling windows.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..scratch import shared_folder
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
@@ -49,26 +46,24 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
 
 
 def running_totals(events: DataFrame) -> DataFrame:
-    """Per user, the number and sum of events so far, kept as state between micro-batches."""
+    """Per user, the number and sum of events so far: a streaming aggregate, whose state Spark keeps."""
+    return events.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
-    def update(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        n, total = state.get if state.exists else (0, 0.0)
-        for f in frames:
-            n, total = n + len(f), total + float(f["value"].sum())
-        state.update((n, total))
-        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "total": [total]})
 
-    out = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("total", T.DoubleType())])
-    kept = T.StructType([T.StructField("n", T.LongType()), T.StructField("total", T.DoubleType())])
-    return events.select("user_id", "value").groupBy("user_id").applyInPandasWithState(update, out, kept, "update", "NoTimeout")
+def drain(spark: SparkSession, stream: DataFrame, mode: str = "complete") -> DataFrame:
+    """Runs a stream over what its source holds now and returns what it put out, as a table of files: the last
+    state in complete mode, else the rows of all micro-batches.
 
+    Table and checkpoint lie in the cluster's shared folder, so that a restarted query resumes; a batch that is
+    run again replaces its own files."""
+    base = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
 
-def drain(spark: SparkSession, stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what its source holds now and returns the sink's table.
+    def put(batch: DataFrame, number: int) -> None:
+        name = "state" if mode == "complete" else f"batch-{number}"
+        batch.write.mode("overwrite").parquet(f"{base}/rows/{name}")
 
-    The checkpoint lies in the cluster's shared folder, so that a restarted query resumes."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    name = "t" + uuid.uuid4().hex
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", os.path.join(base, "streams", name)).trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    if query.lastProgress is None:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{base}/rows")

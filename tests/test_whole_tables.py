@@ -18,8 +18,8 @@ def rows(spark, name):
 
 
 @pytest.mark.parametrize("name, of, key", [
-    ("expr_case_whole", "lineitem", ["l_orderkey", "l_linenumber"]), ("expr_like_whole", "part", ["p_partkey"]), ("join_lateral_whole", "customer", ["c_custkey"]),
-    ("win_ranking_whole", "orders", ["o_orderkey"]), ("win_frame_rows_whole", "orders", ["o_orderkey"]), ("win_lag_lead_whole", "orders", ["o_orderkey"]),
+    ("expr_case", "lineitem", ["l_orderkey", "l_linenumber"]), ("expr_like", "part", ["p_partkey"]), ("join_lateral", "customer", ["c_custkey"]),
+    ("win_ranking", "orders", ["o_orderkey"]), ("win_frame_rows", "orders", ["o_orderkey"]), ("win_lag_lead", "orders", ["o_orderkey"]),
 ])
 def test_every_row_is_read(spark, name, of, key):
     got = QUERIES[name](spark, FOLDER).select(*key).collect()
@@ -29,17 +29,17 @@ def test_every_row_is_read(spark, name, of, key):
 def test_joins_and_sets_of_whole_tables(spark):
     c, s, p = table("customer").c_nationkey.tolist(), table("supplier").s_nationkey.tolist(), table("part").p_size.tolist()
     full = [(x, y) for x in c for y in s if x == y] + [(x, None) for x in c if x not in s] + [(None, y) for y in s if y not in c]
-    assert rows(spark, "join_full_whole") == sorted(full, key=str)
-    assert rows(spark, "join_theta_whole") == [(sum(x < y for x in p for y in p),)]
+    assert rows(spark, "join_full") == sorted(full, key=str)
+    assert rows(spark, "join_theta") == [(sum(x < y for x in p for y in p),)]
     nations = set(table("nation").n_nationkey)
-    assert rows(spark, "set_intersect_except_whole") == sorted([(k,) for k in nations & set(c)] + [(k,) for k in nations - set(c)], key=str)
+    assert rows(spark, "set_intersect_except") == sorted([(k,) for k in nations & set(c)] + [(k,) for k in nations - set(c)], key=str)
 
 
 def test_correlated_over_whole_lineitem(spark):
     li = table("lineitem")
     mean = li.groupby("l_partkey").l_quantity.mean()
     want = [(r.l_orderkey, r.l_linenumber) for r in li.itertuples() if r.l_quantity > 1.5 * mean[r.l_partkey]]
-    assert rows(spark, "sub_correlated_agg_whole") == sorted(want, key=str)
+    assert rows(spark, "sub_correlated_agg") == sorted(want, key=str)
 
 
 def test_as_of_over_all_events(spark):
@@ -48,19 +48,19 @@ def test_as_of_over_all_events(spark):
     for e in (e for e in events if e.event_type == "purchase"):
         before = [o.event_id for o in events if o.event_type != "purchase" and o.user_id == e.user_id and o.ts <= e.ts]
         want.append((e.event_id, before[-1] if before else None))
-    assert rows(spark, "df_as_of_whole") == sorted(want, key=str)
+    assert rows(spark, "df_as_of") == sorted(want, key=str)
 
 
 def test_sql_functions_over_whole_lineitem(spark):
-    got = QUERIES["fn_sql_function_whole"](spark, FOLDER).select("l_orderkey", "l_linenumber", "d").collect()
+    got = QUERIES["fn_sql_function"](spark, FOLDER).select("l_orderkey", "l_linenumber", "d").collect()
     assert sorted(map(tuple, got)) == sorted((r.l_orderkey, r.l_linenumber, (r.l_linenumber + 5) // 3) for r in table("lineitem").itertuples())
 
 
-@pytest.mark.parametrize("name, of, key", [("fn_text_case_whole", "part", "p_partkey"), *((f"fn_time_{x}_whole", "events", "event_id") for x in ("extract", "extract_seconds", "trunc", "bin"))])
+@pytest.mark.parametrize("name, of, key", [("fn_text_case", "part", "p_partkey"), *((f"fn_time_{x}", "events", "event_id") for x in ("extract", "extract_seconds", "trunc", "bin"))])
 def test_functions_read_every_row(spark, name, of, key):
     assert sorted(r[key] for r in QUERIES[name](spark, FOLDER).select(key).collect()) == sorted(table(of)[key])
 
 
 def test_text_bound_is_gone():
     """sf0.001 has no part beyond the bound."""
-    assert "p_partkey <" not in ORACLE["fn_text_case_whole"]
+    assert "p_partkey <" not in ORACLE["fn_text_case"]
