@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from . import types as ty
 from .functions import udfs
 from .plans import special
-from .plans.dialect import Emitter, ident, string
+from .plans.dialect import Emitter, Scope, ident, string
 from .plans.parser import Parser, SqlError
 from .scratch import shared_folder
 
@@ -150,9 +150,17 @@ class Database:
         em.db = self
         return em
 
-    def _expr(self, e, df: DataFrame | None = None):
-        """A Column from a parsed expression."""
-        return F.expr(self._emitter(getattr(self, "_args", None)).expr(e, None))
+    def _expr(self, e, t: Table | None = None):
+        """A Column from a parsed expression over a table's columns."""
+        return F.expr(self._emitter(getattr(self, "_args", None)).expr(e, self._scope(t)))
+
+    @staticmethod
+    def _scope(t: Table | None) -> Scope | None:
+        """What expressions over a table see: its columns by their types, without reading a row."""
+        if t is None:
+            return None
+        columns = ", ".join(f"CAST(NULL AS {k}) AS {ident(c)}" for c, k in t.columns)
+        return Scope("", f"(SELECT {columns}) AS {ident(t.name)}", None)
 
     # tables
     def frame(self, name: str) -> DataFrame:
@@ -172,7 +180,7 @@ class Database:
         df = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
         for c, (e, kept) in t.generated.items():
             if not kept:
-                df = df.withColumn(c, self._expr(e).cast(dict(t.columns)[c]))
+                df = df.withColumn(c, self._expr(e, t).cast(dict(t.columns)[c]))
         return df.select(*[c for c, _ in t.columns])
 
     @staticmethod
@@ -210,7 +218,7 @@ class Database:
         """Checks new rows: one pass for all that concerns a row by itself, then each key, on the new rows and
         against the rows before."""
         tests = [(F.col(c).isNull(), f'null value in column "{c}" of relation "{t.name}" violates not-null constraint', "23502") for c in sorted(t.not_null)]
-        tests += [(~F.coalesce(self._expr(e), F.lit(True)), f'new row for relation "{t.name}" violates check constraint "{name}"', "23514") for name, e in t.checks]
+        tests += [(~F.coalesce(self._expr(e, t), F.lit(True)), f'new row for relation "{t.name}" violates check constraint "{name}"', "23514") for name, e in t.checks]
         tests += [(F.char_length(F.rtrim(c)) > n, f"value too long for type character varying({n})", "22001") for c, n in t.lengths.items()]
         key = self.tables[t.parent].partition_by if t.bounds and t.parent else None
         if key:
@@ -587,9 +595,9 @@ class Database:
                 put[c] = F.expr(em.expr(self._meant(self._default(t, c), kinds[c]), None)).cast(kinds[c])
         rows = rows.select(*[put[c].alias(c) for c in names if c not in t.generated])
         for c, (e, _) in t.generated.items():
-            rows = rows.withColumn(c, F.expr(em.expr(e, None)).cast(kinds[c]))
+            rows = rows.withColumn(c, F.expr(em.expr(e, self._scope(t))).cast(kinds[c]))
         rows = self._added(t, rows.select(*names))
-        return self._returning(p, rows, f"INSERT 0 {rows.count()}")
+        return self._returning(p, t, rows, f"INSERT 0 {rows.count()}")
 
     def _added(self, t: Table, rows: DataFrame) -> DataFrame:
         """Adds rows to a table, written once; to a partitioned table once more, by partition."""
@@ -655,7 +663,7 @@ class Database:
             self._publish(t.name)
             raise
 
-    def _returning(self, p: Parser, rows: DataFrame, command: str):
+    def _returning(self, p: Parser, t: Table, rows: DataFrame, command: str):
         if not p.take("returning"):
             p.done()
             return command
@@ -666,7 +674,7 @@ class Database:
         em = self._emitter()
         name = f"_r{uuid.uuid4().hex}"
         rows.createOrReplaceTempView(name)
-        cols = ["*" if e[0] == "star" else f"{em.expr(e, None)} AS {ident(a or em.default_name(e))}" for e, a in items]
+        cols = ["*" if e[0] == "star" else f"{em.expr(e, self._scope(t))} AS {ident(a or em.default_name(e))}" for e, a in items]
         return self._shown(self.spark.sql(f"SELECT {', '.join(cols)} FROM {name}"))
 
     def _leaves(self, t: Table) -> list[Table]:
@@ -690,12 +698,13 @@ class Database:
         changed, plan = [], []
         for leaf in self._leaves(t):
             own = self._own(leaf)
-            hit = F.coalesce(F.expr(em.expr(where, None)), F.lit(False))
-            values = {c: F.expr(em.expr(self._default(t, c) if e == ("const", "default") else e, None)).cast(kinds[c]) for c, e in sets.items()}
+            scope = self._scope(t)
+            hit = F.coalesce(F.expr(em.expr(where, scope)), F.lit(False))
+            values = {c: F.expr(em.expr(self._default(t, c) if e == ("const", "default") else self._meant(e, kinds[c]), scope)).cast(kinds[c]) for c, e in sets.items()}
             marked = own.withColumn("_hit", hit)
             after = marked.select(*[(F.when(F.col("_hit"), values[c]).otherwise(F.col(c)) if c in values else F.col(c)).alias(c) for c, _ in t.columns], "_hit")
             for c, (e, _) in t.generated.items():
-                after = after.withColumn(c, F.expr(em.expr(e, None)).cast(kinds[c]))
+                after = after.withColumn(c, F.expr(em.expr(e, scope)).cast(kinds[c]))
             # one folder holds the rows and which of them have changed; the table does not read that column
             path = self._write(leaf, after)
             after = self.spark.read.schema(after.schema).parquet(path)
@@ -716,7 +725,7 @@ class Database:
                 leaf.paths = saved[leaf.name]
                 self._publish(leaf.name)
             raise
-        return self._returning(p, rows, f"UPDATE {rows.count()}")
+        return self._returning(p, t, rows, f"UPDATE {rows.count()}")
 
     def _delete(self, p: Parser, text: str):
         p.need("from")
@@ -725,12 +734,12 @@ class Database:
         em = self._emitter(getattr(self, "_args", None))
         gone = []
         for leaf in self._leaves(t):
-            own, hit = self._own(leaf), F.coalesce(F.expr(em.expr(where, None)), F.lit(False))
+            own, hit = self._own(leaf), F.coalesce(F.expr(em.expr(where, self._scope(t))), F.lit(False))
             gone.append(own.where(hit))  # from the folders before, which stay as they are
             leaf.paths = (self._write(leaf, own.where(~hit).select(*[c for c, _ in self._stored(leaf)])),)
             self._publish(leaf.name)
         rows = reduce(DataFrame.unionByName, gone)
-        return self._returning(p, rows, f"DELETE {rows.count()}")
+        return self._returning(p, t, rows, f"DELETE {rows.count()}")
 
     def _truncate(self, p: Parser, text: str):
         p.take("table")

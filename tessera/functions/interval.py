@@ -91,7 +91,25 @@ def _justify_days(i: Column) -> Column:
 
 
 def justify_interval(i: Column) -> Column:
-    return justify_hours(justify_days(justify_hours(i)))
+    """Days of 24 hours and months of 30 days, then one sign for all three where that is possible."""
+
+    def carried(x: Column) -> Column:
+        days = x["days"] + _whole(x["micros"], DAY)
+        months = _whole(days, 30)
+        return make(x["months"] + months, days - months * 30, x["micros"] - _whole(x["micros"], DAY) * DAY)
+
+    def borrowed_months(x: Column) -> Column:
+        m, d, t = x["months"], x["days"], x["micros"]
+        down = (m > 0) & ((d < 0) | ((d == 0) & (t < 0)))
+        up = (m < 0) & ((d > 0) | ((d == 0) & (t > 0)))
+        return make(F.when(down, m - 1).when(up, m + 1).otherwise(m), F.when(down, d + 30).when(up, d - 30).otherwise(d), t)
+
+    def borrowed_days(x: Column) -> Column:
+        d, t = x["days"], x["micros"]
+        down, up = (d > 0) & (t < 0), (d < 0) & (t > 0)
+        return make(x["months"], F.when(down, d - 1).when(up, d + 1).otherwise(d), F.when(down, t + DAY).when(up, t - DAY).otherwise(t))
+
+    return let(let(let(i, carried), borrowed_months), borrowed_days)
 
 
 def add_to(ts: Column, i: Column) -> Column:

@@ -76,6 +76,41 @@ A("log_minutes", "select date_trunc('hour', ts) as m, count(*) as n from events
 A("log_case_group", "select case when value > 50 then 'big' else 'small' end as size, event_type, count(*) as n from events group by 1, 2")
 A("log_offset", "select user_id, count(*) as n from events group by user_id order by n desc, user_id limit 10 offset 5")
 
+# the rest of the log's shapes: events with the page that their user looks at
+HITS = "with hits as (select e.*, coalesce(p.url, '') as url, coalesce(p.page_id, -1) as page from events e left join pages p on p.page_id = e.user_id) "
+A("log_avg_user", "select avg(user_id)::double precision as a from events", "select avg(user_id) as a from events")
+A("log_distinct_props", "select count(distinct props) as n from events")
+A("log_types_filtered", "select event_type, count(*) as n from events where event_type <> 'error' group by event_type order by count(*) desc, event_type")
+A("log_types_users", "select event_type, count(distinct user_id) as u from events group by event_type order by u desc, event_type limit 10")
+A("log_types_many", "select event_type, round(sum(value), 2) as s, count(*) as c, round(avg(value), 4) as a, count(distinct user_id) as u from events group by event_type order by c desc, event_type limit 10")
+A("log_props_users", "select props, count(distinct user_id) as u from events where props <> '' group by props order by u desc, props limit 10")
+A("log_type_props_users", "select event_type, props, count(distinct user_id) as u from events where props <> '' group by event_type, props order by u desc, event_type, props limit 10")
+A("log_props", "select props, count(*) as c from events where props <> '' group by props order by c desc, props limit 10")
+A("log_type_props", "select event_type, props, count(*) as c from events where props <> '' group by event_type, props order by c desc, event_type, props limit 10")
+A("log_users", "select user_id, count(*) as n from events group by user_id order by count(*) desc, user_id limit 10")
+A("log_any_ten", "select count(*) as n from (select user_id, props, count(*) as c from events group by user_id, props limit 10) t")
+A("log_user_minutes", "select user_id, extract(minute from ts)::int as m, props, count(*) as n from events group by user_id, m, props order by count(*) desc, user_id, m, props limit 10",
+  "select user_id, extract(minute from ts)::int as m, props, count(*) as n from events group by all order by n desc, user_id, m, props limit 10")
+A("log_like_min", HITS + "select event_type, min(url) as u, count(*) as c from hits where url like '%example.org%' and props <> '' group by event_type order by c desc, event_type limit 10")
+A("log_like_not_like", "select count(*) as c, min(url) as u, count(distinct url) as d from pages where html like '%error%' and url not like '%.com%'")
+A("log_like_rows", HITS + "select event_id, ts, user_id, event_type, value, url from hits where url like '%example.org%' order by ts, event_id limit 10")
+A("log_by_time", "select props from (select props, ts, event_id from events where props <> '' order by ts, event_id limit 10) t")
+A("log_by_props", "select props from events where props <> '' order by props limit 10")
+A("log_by_time_props", "select ts, props from events where props <> '' order by ts, props limit 10")
+A("log_url_lengths", HITS + "select event_type, round(avg(length(url))::double precision, 4) as l, count(*) as c from hits where url <> '' group by event_type having count(*) > 10 order by l desc, event_type limit 25",
+  HITS + "select event_type, round(avg(length(url)), 4) as l, count(*) as c from hits where url <> '' group by event_type having count(*) > 10 order by l desc, event_type limit 25")
+A("log_type_user_sums", "select event_type, user_id, count(*) as c, round(sum(value), 2) as s, round(avg(value), 4) as a from events where props <> '' group by event_type, user_id order by c desc, event_type, user_id limit 10")
+A("log_event_sums", "select event_id, user_id, count(*) as c, round(sum(value), 2) as s, round(avg(value), 4) as a from events where props <> '' group by event_id, user_id order by c desc, event_id limit 10")
+A("log_event_sums_all", "select event_id, user_id, count(*) as c, round(sum(value), 2) as s, round(avg(value), 4) as a from events group by event_id, user_id order by c desc, event_id limit 10")
+A("log_urls", HITS + "select url, count(*) as c from hits group by url order by c desc, url limit 10")
+A("log_constant_urls", HITS + "select 1 as one, url, count(*) as c from hits group by 1, url order by c desc, url limit 10")
+A("log_page_views", HITS + "select url, count(*) as views from hits where page >= 0 and ts >= timestamp '2024-01-01' and ts <= timestamp '2024-01-31' and value > 0 and event_type <> 'error' and url <> '' group by url order by views desc, url limit 10")
+A("log_page_views_offset", HITS + "select url, count(*) as views from hits where ts >= timestamp '2024-01-01' and event_type in ('view', 'click', 'purchase') group by url order by views desc, url limit 10 offset 5")
+A("log_sources", HITS + "select event_type, case when value < 5 then url else '' end as src, url as dst, count(*) as views from hits where ts >= timestamp '2024-01-01' group by event_type, src, dst order by views desc, event_type, src, dst limit 10 offset 10")
+A("log_days", HITS + "select page, ts::date as d, count(*) as views from hits where event_type in ('view', 'click') group by page, ts::date order by views desc, page, d limit 10 offset 10",
+  HITS + "select page, ts::date as d, count(*) as views from hits where event_type in ('view', 'click') group by page, ts::date order by views desc, page, d limit 10 offset 10")
+A("log_minutes_offset", "select date_trunc('minute', ts) as m, count(*) as views from events where ts >= timestamp '2024-01-01' and ts < timestamp '2024-01-15' and value > 1 group by date_trunc('minute', ts) order by date_trunc('minute', ts) limit 10 offset 100")
+
 
 def queries() -> dict:
     return T.queries()
