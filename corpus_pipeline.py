@@ -31,8 +31,10 @@ def _of(names: dict[str, str], column: str) -> str:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score stays below TOXIC."""
+    """Documents whose toxicity score stays below TOXIC; all of them if no labels of both kinds could be learnt."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    if model.constant is not None:
+        return docs
     names = _names(docs)
     scored = toxicity.score(docs.toDF(*names), model, _of(names, "text"))
     return scored.where(F.col("score") < TOXIC).select(*[F.col(k).alias(c) for k, c in names.items()])
