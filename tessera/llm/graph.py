@@ -3,6 +3,9 @@
 Each task first joins its edges by union-find, some hundred thousand at a time, which leaves one edge per
 node and keeps connectivity; large-star and small-star rounds then finish the components across tasks.
 No group is ever gathered: a round is an aggregate (the least neighbour) and a join with it.
+
+Defined results: an edge from a node to itself and a repeated edge change nothing; edges with a null end are
+left out; a node without an edge to another is not in the result; no edges give an empty result.
 """
 
 from __future__ import annotations
@@ -63,7 +66,7 @@ def _contract(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, scratch: runtime.Scratch) -> DataFrame:
     """(node, label) for every node of the edges (a, b); label is the least node of its component."""
-    both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
+    both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b and a is not null and b is not null")
     now = scratch.table(_contract(both).distinct(), "edges")  # a > b
     mark = _mark(now)
     while mark[0]:

@@ -84,9 +84,11 @@ def test_signature_estimates_similarity():
 
 
 def test_components_of_a_path_and_a_hub(spark):
-    edges = [(i, i + 1) for i in range(200)] + [(1000, k) for k in range(1001, 1400)] + [(5000, 5000)]
+    edges = [(i, i + 1) for i in range(200)] + [(1000, k) for k in range(1001, 1400)] + [(5000, 5000), (None, 3), (7, None), (3, 2)]
     df = spark.createDataFrame(edges, "a long, b long")
     labels = {r.node: r.label for r in graph.components(df, runtime.Scratch(spark, "test")).collect()}
+    assert set(labels) == {*range(201), *range(1000, 1400)}
+    assert graph.components(df.limit(0), runtime.Scratch(spark, "test")).count() == 0
     assert all(labels[i] == 0 for i in range(201)) and all(labels[k] == 1000 for k in range(1000, 1400))
 
 

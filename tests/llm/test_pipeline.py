@@ -75,3 +75,29 @@ def test_rows_equal_plain_python(spark, tmp_path):
     want = {i: own.encode_ordinary(masked(text[i])) for i in kept}
     assert any(masked(text[i]) != text[i] for i in kept)
     assert {r.doc_id: list(r.ids) for r in pipeline.run(spark, d).collect()} == want
+
+
+def test_odd_rows_and_columns(spark, tmp_path):
+    """Nulls in any column, empty and repeated rows, columns whose names clash with the operators' own."""
+    pipeline = importlib.import_module("corpus_pipeline")
+    d = "/root/testdata/sf0.001"
+    plain = " ".join(f"word{i} and" for i in range(40))
+    rows = [(900001, plain, "en", None, 5), (900001, plain, "en", "s", 5), (None, plain + " end", None, "s", None), (900002, None, "en", "s", 0), (900003, "", None, None, None), (900004, "password=hunter2hunter2 " + plain[::-1], "en", "s", 3)]
+    odd = spark.createDataFrame([(*r, "x", 0.5, None) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, `a.b` string, score double, Spans string")
+    at = odd
+    for name, f in pipeline.STAGES[:-1]:
+        out = f(spark, at, d)
+        assert out.columns == odd.columns and out.dtypes == odd.dtypes
+        at = spark.createDataFrame(out.collect(), out.schema)
+    got = sorted(((r.doc_id, r.text, r.n_chars) for r in at.collect()), key=str)
+    masked = "[SECRET] " + plain[::-1]
+    assert got == sorted([(900001, plain, len(plain)), (900002, None, 0), (900003, "", 0), (900004, masked, len(masked))], key=str)
+    last = pipeline.encode(spark, at, d).collect()
+    assert {r.doc_id: r.n_tokens > 0 for r in last} == {900001: True, 900002: False, 900003: False, 900004: True}
+
+
+def test_empty_tables(spark, tmp_path):
+    pipeline = importlib.import_module("corpus_pipeline")
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
