@@ -4,8 +4,9 @@ One pass over the texts computes each document's set of word shingles (as 64-bit
 of the set and its SuperMinHash bands. Documents with equal sets are one class from then on, so exact
 copies cost nothing further, however many there are. Classes that share a band are candidates. Inside a
 bucket of candidates pairs are never enumerated: every member is compared to one centre, on the full sets,
-and the confirmed links are joined to components. A second centre serves the buckets that still hold
-several components. The members of the buckets that then remain open are joined exactly by prefix
+and the confirmed links are joined to components. Further centres serve the buckets that still hold several
+components, as long as a round joins a fifth of these (ROUNDS at most; what they leave is joined exactly, so
+their number changes no result). The members of the buckets that then remain open are joined by prefix
 filtering: with a set's shingles in the order of their rarity, two sets that reach the threshold share one
 among the first few of each, at positions that leave room for the overlap. Pairs inside one component need
 no comparison, as they cannot change the result, so members of a shingle's largest component only meet the
@@ -40,6 +41,7 @@ SHARD_BYTES = 1 << 20
 ROWS = 5
 MISS = 1e-7
 BROADCAST_IDS = 500_000
+ROUNDS = 8  # further centres of a bucket
 DEALT = 1000  # rows of a centre or a shingle that go to one task together
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _ODD = np.array([0x9E3779B97F4A7C15 + 0x6A09E667F3BCC909 * k & (1 << 64) - 1 | 1 for k in range(64)], np.uint64)
@@ -185,12 +187,17 @@ class _Finder:
             ids = F.broadcast(ids)
         return self.docs.join(ids, "id", "left_semi")
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """The full sets of these ids, as a table."""
+        ids = self.scratch.table(ids.distinct(), "ids")
+        out = self.scratch.table(_sets(self.of_ids(ids), self.words), "sets")
+        self.scratch.drop(ids)
+        return out
+
+    def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs (a, b) whose full sets reach the threshold, as a table. b's set goes to a's, whose pairs
         are dealt out DEALT at a time; a's set goes there once for each deal."""
         s = self.scratch
-        ids = s.table(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-        sets = s.table(_sets(self.of_ids(ids), self.words), "sets")
         deals = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / DEALT).cast("int").alias("deals"))
         dealt = s.table(pairs.join(deals, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("deals")).cast("int").alias("deal")), "dealt")
         few = F.broadcast(dealt) if dealt.count() <= BROADCAST_IDS else dealt
@@ -203,7 +210,7 @@ class _Finder:
             .where(F.col("both") * 100 >= (F.col("total") - F.col("both")) * self.percent)
         )
         out = s.table(links.select("a", "b").distinct(), "links")
-        s.drop(ids, sets, dealt)
+        s.drop(dealt)
         return out
 
     def run(self) -> DataFrame:
@@ -223,30 +230,29 @@ class _Finder:
         buckets = s.table(banded.join(centre, "bk"), "buckets")
         pairs = s.table(buckets.where(F.col("c") < F.col("rep")).where(self.close("n", "cn")).select(F.col("c").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
         tested = pairs
-        links = links.unionAll(self.verified(pairs))
+        sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("id")))
+        links = links.unionAll(self.verified(pairs, sets))
+        s.drop(sets)
         labels = s.table(graph.components(links, s), "labels")
 
-        for last in (False, True):
-            rows = (
-                buckets.select("bk", "rep", "n")
-                .join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
-                .select("bk", "rep", "n", F.coalesce("label", "rep").alias("comp"))
-            )
-            spread = rows.groupBy("bk").agg(
-                F.min("comp").alias("lo"),
-                F.max("comp").alias("hi"),
-                F.count(F.lit(1)).alias("k"),
-                F.max_by("rep", F.xxhash64("rep")).alias("c"),
-            ).where("lo <> hi")
-            rows = s.table(rows.join(spread.select("bk", "k", "c"), "bk"), "open")
+        sets, before = None, None
+        for turn in range(ROUNDS + 1):
+            rows = self._open(buckets, labels, turn)
             if rows.isEmpty():
                 break
-            pairs = s.table(self._rest(rows) if last else self._second(rows), "pairs")
+            if sets is None:  # later rounds leave a part of these open
+                sets = self.sets(rows.select(F.col("rep").alias("id")))
+            left = rows.select("comp").distinct().count()
+            last = turn == ROUNDS or (before is not None and left > 0.8 * before)
+            before = left
+            pairs = s.table(self._rest(rows, sets) if last else self._second(rows), "pairs")
             pairs = s.table(pairs.join(tested, ["a", "b"], "left_anti"), "untested")
             if not pairs.isEmpty():
-                links = links.unionAll(self.verified(pairs))
+                links = links.unionAll(self.verified(pairs, sets))
                 tested = tested.unionAll(pairs)
                 labels = s.table(graph.components(links, s), "labels")
+            if last:
+                break
         comp = member.distinct().join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
         comp = comp.groupBy("id").agg(F.min(F.coalesce("label", "rep")).alias("component"))
         found = sig.select("id", "n").join(comp, "id", "left").select(
@@ -256,6 +262,18 @@ class _Finder:
         s.close(found)
         return found
 
+    def _open(self, buckets: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+        """(bk, rep, n, comp, k, c): the members of the buckets that hold several components, and a centre."""
+        rows = (
+            buckets.select("bk", "rep", "n")
+            .join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
+            .select("bk", "rep", "n", F.coalesce("label", "rep").alias("comp"))
+        )
+        spread = rows.groupBy("bk").agg(
+            F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("k"), F.max_by("rep", F.xxhash64("rep", F.lit(turn))).alias("c")
+        ).where("lo <> hi")
+        return self.scratch.table(rows.join(spread.select("bk", "k", "c"), "bk"), "open")
+
     def _second(self, rows: DataFrame) -> DataFrame:
         """Pairs of each member of the open buckets with a centre of another component."""
         centre = rows.where("rep = c").select("bk", F.col("n").alias("cn"), F.col("comp").alias("cc")).distinct()
@@ -267,11 +285,10 @@ class _Finder:
             .distinct()
         )
 
-    def _rest(self, rows: DataFrame) -> DataFrame:
+    def _rest(self, rows: DataFrame, sets: DataFrame) -> DataFrame:
         """All pairs of different components among the open buckets' members that may reach the threshold."""
         s, p = self.scratch, self.percent
         reps = s.table(rows.select("rep", "comp").distinct(), "open-members")
-        sets = s.table(_sets(self.of_ids(reps.select(F.col("rep").alias("id"))), self.words), "open-sets")
         sets = sets.join(reps, sets["id"] == reps["rep"]).select("rep", "comp", F.xxhash64("set").alias("h"), F.size("set").alias("n"), "set")
         tokens = sets.select("rep", "comp", "h", "n", F.explode("set").alias("token"))
         shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
