@@ -50,11 +50,11 @@ class Codec:
         for t, r in ranks.items():
             self.token[r] = t
         self.pattern = regex.compile(pattern)
-        # lengths of the tokens that begin with these two bytes, longest first
+        # lengths of the tokens that begin like this, longest first: by three bytes, at an end by two
         lengths: dict[bytes, set[int]] = {}
         for t in ranks:
-            lengths.setdefault(t[:2], set()).add(len(t))
-        self._lengths = {k: sorted(v | {1}, reverse=True) for k, v in lengths.items()}
+            lengths.setdefault(t[:3], set()).add(len(t))
+        self._lengths = {k: tuple(sorted(v | {1} | ({2} if k[:2] in ranks else set()), reverse=True)) for k, v in lengths.items()}
         self._pairs: dict[int, bool] = {}  # keyed by one number, which takes less memory than a tuple
         self._words: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
@@ -99,7 +99,7 @@ class Codec:
         dead: set[int] = set()
         at = 0
         while at < n:
-            for k in lengths.get(data[at : at + 2], (1,)):
+            for k in lengths.get(data[at : at + 3], (2, 1)):
                 end = at + k
                 if end > n or end in dead or (t := ranks.get(data[at:end])) is None:
                     continue
