@@ -167,11 +167,22 @@ def fingerprints(
     return runtime.map_arrow(df, [media_col], make, [(out_col, ints), (f"{out_col}_doubt", ints)], df.columns if keep is None else keep)
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f mentions it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def _runs(values: Column, what: list[str]) -> Column:
     """array<struct<..., pos, size>>: runs of equal neighbours in an array of structs with the fields `what`."""
-    starts = F.filter(F.sequence(F.lit(0), F.size(values) - 1), lambda i: (i == 0) | (F.get(values, i) != F.get(values, i - 1)))
-    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(values)))
-    return F.zip_with(starts, ends, lambda a, b: F.struct(*[F.get(values, a)[w].alias(w) for w in what], a.alias("pos"), (b - a).alias("size")))
+
+    def of(v: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(v) - 1), lambda i: (i == 0) | (F.get(v, i) != F.get(v, i - 1)))
+        return _let(starts, lambda s: F.zip_with(s, ends(v, s), lambda a, b: F.struct(*[F.get(v, a)[w].alias(w) for w in what], a.alias("pos"), (b - a).alias("size"))))
+
+    def ends(v: Column, s: Column) -> Column:
+        return F.concat(F.slice(s, 2, F.greatest(F.size(s) - 1, F.lit(0))), F.array(F.size(v)))
+
+    return _let(values, of)
 
 
 def _keys(classes: DataFrame) -> DataFrame:
