@@ -66,6 +66,7 @@ class Database:
         self.prepared: dict[str, tuple[list, str]] = {}
         self.cursors: dict[str, Cursor] = {}
         self.settings: dict[str, str] = {"datestyle": "ISO, MDY", "timezone": "UTC", "search_path": '"$user", public'}
+        self.special: set[str] = set()  # tables and views with a column of a type that Spark lacks
         self._saved: dict | None = None
         udfs.register(spark)
 
@@ -74,9 +75,15 @@ class Database:
         """A database whose tables are the Parquet files of a folder."""
         db = cls(spark)
         for t in TABLES if tables is None else tables:
-            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+            db._named(t, spark.read.parquet(f"{sf_dir}/{t}.parquet"))
         return db
 
+    def _named(self, name: str, df: DataFrame) -> None:
+        df.createOrReplaceTempView(name)
+        self.special.discard(name)
+        if any(special.kind_of(f.dataType.simpleString()) for f in df.schema):
+            self.special.add(name)
+
     # entry points
     def sql(self, text: str, args: list | None = None) -> DataFrame:
         """Runs one statement. Queries are lazy; other statements act at once."""
@@ -195,7 +202,7 @@ class Database:
     def _publish(self, name: str) -> None:
         """Views are names for snapshots: everything above a changed table is named anew."""
         while name:
-            self.frame(name).createOrReplaceTempView(name)
+            self._named(name, self.frame(name))
             name = self.tables[name].parent
 
     def _write(self, t: Table, df: DataFrame) -> str:
@@ -388,7 +395,7 @@ class Database:
         q = p.query()
         p.done()
         df = self.spark.sql(self._emitter().query(q))
-        (df.toDF(*cols) if cols else df).createOrReplaceTempView(name)
+        self._named(name, df.toDF(*cols) if cols else df)
         self.views[name] = text
         return "CREATE VIEW"
 

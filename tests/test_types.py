@@ -44,6 +44,7 @@ def one(db, text, *args):
         ("""select '{"a":[1,2,3]}'::jsonb @? '$.a[*] ? (@ > 2)', '{"a":1}'::jsonb @@ '$.a > 0', jsonb_path_exists('{"a":1}', '$.a ? (@ > $x)', '{"x":0}'), jsonb_path_match('{"a":1}', 'strict $.b > 0', '{}', true)""", (True, True, True, None)),
         ("select date_bin(interval '15 minutes', timestamp '2024-01-15 10:20', timestamp '2001-01-01')::text, extract(second from timestamp '2024-01-15 10:20:30.5')::float8, extract(epoch from timestamp '1970-01-02')::int", ("2024-01-15 10:15:00", 30.5, 86400)),
         ("select current_database(), pg_typeof(time '10:00'), format_type(23, null), pg_encoding_to_char(6), pg_char_to_encoding('utf-8'), uuid_extract_version(uuidv7())", ("tessera", "time without time zone", "integer", "UTF8", 6, 7)),
+        ("select '12345678901234567890123456789012345'::numeric::text, '1.5'::numeric::float8, numeric '-0.25'::float8", ("12345678901234567890123456789012345.000", 1.5, -0.25)),
         ("select 'abc' ^@ 'ab', 'a' || time '10:00', concat(interval '1 day', 'x')", (True, "a10:00:00", "1 dayx")),
     ],
 )
@@ -55,7 +56,7 @@ def test_values(db, text, want):
 @pytest.mark.parametrize(
     ("text", "state"),
     [("select length('a', 'b')", "42883"), ("select left('abc', 1, 2)", "42883"), ("select jsonb_path_exists('{}', '$', '{}', true, 1)", "42883"), ("select '25:00'::time", "22P02"), ("select point 'x'", "22P02"),
-     ("select time '10:00' * 2", "42883"), ("select sum(time '10:00')", "42883"), ("select nextval('nosuch')", "42P01"), ("select current_setting('nosuch')", "42704"), ("select 'a'::tsvector @@ 'a &'::tsquery", "22P02")],
+     ("select time '10:00' * 2", "42883"), ("select sum(time '10:00')", "42883"), ("select nextval('nosuch')", "42P01"), ("select 'NaN'::numeric", "0A000"), ("select 'x'::numeric", "22P02"), ("select current_setting('nosuch')", "42704"), ("select 'a'::tsvector @@ 'a &'::tsquery", "22P02")],
 )
 def test_errors(db, text, state):
     with pytest.raises(SqlError) as e:
