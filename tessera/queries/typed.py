@@ -13,7 +13,7 @@ A("type_time", "select event_id, ts::time as t, (ts::time + interval '90 minutes
 A("type_interval", "select o_orderkey, (interval '1 day' * o_custkey) > interval '3 months' as long, extract(epoch from o_orderdate - timestamp '1995-01-01')::bigint as s, extract(day from interval '36 hours' * o_custkey + interval '2 days')::int as d, justify_hours(interval '36 hours' * o_custkey) = interval '36 hours' * o_custkey as same from orders",
   "select o_orderkey, o_custkey > 90 as long, epoch(o_orderdate - timestamp '1995-01-01')::bigint as s, 2 as d, true as same from orders")
 A("type_interval_text", "select o_orderkey, (timestamp '1998-12-31' - o_orderdate)::text as t, (interval '1 month' * (o_custkey % 30))::text as m from orders",
-  "select o_orderkey, case when d = 0 then '00:00:00' when abs(d) = 1 then d || ' day' else d || ' days' end as t, case when m = 0 then '00:00:00' else trim(case when m // 12 = 0 then '' when m // 12 = 1 then '1 year ' else (m // 12) || ' years ' end || case when m % 12 = 0 then '' when m % 12 = 1 then '1 mon' else (m % 12) || ' mons' end) end as m from (select o_orderkey, datediff('day', o_orderdate::date, date '1998-12-31') as d, o_custkey % 30 as m from orders)")
+  "select o_orderkey, case when d = 0 then '00:00:00' when d = 1 then d || ' day' else d || ' days' end as t, case when m = 0 then '00:00:00' else trim(case when m // 12 = 0 then '' when m // 12 = 1 then '1 year ' else (m // 12) || ' years ' end || case when m % 12 = 0 then '' when m % 12 = 1 then '1 mon' else (m % 12) || ' mons' end) end as m from (select o_orderkey, datediff('day', o_orderdate::date, date '1998-12-31') as d, o_custkey % 30 as m from orders)")
 A("type_interval_sums", "select event_type, sum(interval '1 second' * (user_id % 100))::text as t, max(interval '1 day' * (user_id % 40)) > interval '1 month' as m, min(ts::time)::text < '24' as f from events group by event_type",
   "select event_type, lpad(cast(s // 3600 as varchar), greatest(2, length(cast(s // 3600 as varchar)))::int, '0') || ':' || lpad(cast(s // 60 % 60 as varchar), 2, '0') || ':' || lpad(cast(s % 60 as varchar), 2, '0') as t, m > 30 as m, true as f from (select event_type, sum(user_id % 100)::bigint as s, max(user_id % 40) as m from events group by event_type)")
 A("type_age", "select o_orderkey, extract(year from age(timestamp '2000-01-01', o_orderdate))::int as y, extract(month from age(timestamp '2000-01-01', o_orderdate))::int as m from orders",
