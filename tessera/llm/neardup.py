@@ -13,7 +13,8 @@ no comparison, as they cannot change the result, so members of a shingle's large
 others. Near copies with many changes of their own start with shingles that no other has, and meet nobody.
 
 The number of bands follows from the threshold: a pair at the threshold is missed with a probability of at
-most MISS. Sets of candidates are made once; ids and pairs are broadcast only below BROADCAST_IDS of them. A
+most MISS. Sets of candidates are made once; ids and pairs are broadcast only below BROADCAST_IDS of them, and
+more ids as a bitmap of at most SIEVE_BITS, so that documents are picked without a shuffle of their texts. A
 centre with many members, and a shingle that many have, are divided: the many are dealt out by a salt, and the
 other side is sent once to each part, not once to each pair.
 
@@ -41,6 +42,7 @@ SHARD_BYTES = 1 << 20
 ROWS = 5
 MISS = 1e-7
 BROADCAST_IDS = 500_000
+SIEVE_BITS = 1 << 27
 ROUNDS = 8  # further centres of a bucket
 DEALT = 1000  # rows of a centre or a shingle that go to one task together
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -169,6 +171,37 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     return runtime.map_arrow(docs, ["text"], _per_shard(0, f), [("set", T.ArrayType(T.LongType()))], ["id"])
 
 
+def _marked(rows: DataFrame, key: str, ids: DataFrame, n: int) -> DataFrame:
+    """The rows and `_maybe`: true if the key is among the n ids, and for a few other keys by chance. The ids are
+    broadcast as a bitmap, in chunks of 64 words, so that the rows stay where they are."""
+    bits = min(SIEVE_BITS, 1 << max(12, (32 * n).bit_length()))
+
+    def place(column: str):
+        return F.pmod(F.xxhash64(column), F.lit(bits)).alias("_place")
+
+    words = ids.select(place(ids.columns[0])).groupBy(F.expr("_place div 64").alias("_word"))
+    words = words.agg(F.expr("bit_or(shiftleft(1L, cast(_place % 64 as int)))").alias("_bits"))
+    chunks = words.groupBy(F.expr("_word div 64").alias("_chunk")).agg(F.expr("map_from_entries(collect_list(struct(_word % 64, _bits)))").alias("_words"))
+    at = rows.select("*", place(key)).withColumn("_chunk", F.expr("_place div 4096"))
+    bit = F.expr("coalesce(shiftright(_words[_place div 64 % 64], cast(_place % 64 as int)) & 1L = 1L, false)")
+    return at.join(F.broadcast(chunks), "_chunk", "left").select(*rows.columns, bit.alias("_maybe"))
+
+
+def _without(rows: DataFrame, key: str, ids: DataFrame, scratch: runtime.Scratch) -> DataFrame:
+    """The rows whose key is not among the ids; no two rows share a key, and none lacks it. Only keys are shuffled:
+    those that the bitmap wrongly takes for ids are found by a join of keys, and their rows stay."""
+    ids = scratch.table(ids, "gone")
+    n = ids.count()
+    if n <= BROADCAST_IDS:
+        return rows.join(F.broadcast(ids), key, "left_anti")
+    by_chance = _marked(rows.select(key), key, ids, n).where("_maybe").select(key).join(ids, key, "left_anti")
+    by_chance = scratch.table(by_chance.withColumn("_stays", F.lit(True)), "by-chance")
+    if by_chance.count() <= BROADCAST_IDS:
+        by_chance = F.broadcast(by_chance)
+    found = _marked(rows, key, ids, n).join(by_chance, key, "left")
+    return found.where(~F.col("_maybe") | F.col("_stays").isNotNull()).select(*rows.columns)
+
+
 class _Finder:
     def __init__(self, docs: DataFrame, words: int, percent: int):
         self.docs, self.words, self.percent = docs, words, percent
@@ -181,14 +214,14 @@ class _Finder:
         return F.least(a, b) * 100 >= F.greatest(a, b) * self.percent
 
     def of_ids(self, ids: DataFrame) -> DataFrame:
-        """The documents with these ids, each id once in `ids`."""
+        """The documents with these ids, each id once in `ids`; with many ids, a few other documents too."""
         n = ids.count()
         if n <= BROADCAST_IDS:
-            ids = F.broadcast(ids)
-        return self.docs.join(ids, "id", "left_semi")
+            return self.docs.join(F.broadcast(ids), "id", "left_semi")
+        return _marked(self.docs, "id", ids, n).where("_maybe").drop("_maybe")
 
     def sets(self, ids: DataFrame) -> DataFrame:
-        """The full sets of these ids, as a table."""
+        """The full sets of these ids, and of a few others, as a table."""
         ids = self.scratch.table(ids.distinct(), "ids")
         out = self.scratch.table(_sets(self.of_ids(ids), self.words), "sets")
         self.scratch.drop(ids)
@@ -346,13 +379,13 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     key, text = (next(k for k, c in names.items() if c == x) for x in (id_col, text_col))
     if own.groupBy(key).count().where((F.col("count") > 1) | F.col(key).isNull()).isEmpty():
         found = components(own.select(key, text), key, text, words, percent)
-        gone = found.where(~F.col("kept")).select(F.col(key).alias("gone"))
-        kept = own.join(gone, own[key] == F.col("gone"), "left_anti")
+        kept = _without(own, key, found.where(~F.col("kept")).select(key), runtime.Scratch(docs.sparkSession, "neardup-gone"))
     else:
         # rows are told apart by a number of their own
         scratch = runtime.Scratch(docs.sparkSession, "neardup-rows")
         rows = scratch.table(own.withColumn("row", F.monotonically_increasing_id()), "rows")
         found = components(rows.select("row", text), "row", text, words, percent).join(rows.select("row", key), "row")
         groups = found.groupBy("component_id").agg(F.min(F.struct(F.col(key).isNull(), F.col(key), "row"))["row"].alias("row"))
-        kept = rows.join(groups.select("row"), "row", "left_semi").drop("row")
+        gone = found.select("row").join(groups.select("row"), "row", "left_anti")
+        kept = _without(rows, "row", gone, scratch).drop("row")
     return kept.select(*[F.col(k).alias(c) for k, c in names.items()])

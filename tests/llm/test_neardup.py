@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import graph, neardup, runtime
 
@@ -120,3 +121,28 @@ def test_a_hot_centre_and_a_hot_shingle_are_dealt_out(spark, monkeypatch):
     rows = [(i, vary(r, base, r.choice([0, 1, 2, 3, 4, 5, 6, 7]))) for i in range(120)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert got(neardup.components(df, words=3, percent=85)) == brute(rows, 3, 85)
+
+
+@pytest.mark.parametrize("bits", [1 << 9, 1 << 27])
+def test_documents_are_picked_without_a_shuffle_of_their_texts(spark, monkeypatch, bits):
+    """With more ids than are broadcast; half of the small bitmap is set, so that many ids are hit by chance."""
+    monkeypatch.setattr(neardup, "BROADCAST_IDS", 100)
+    monkeypatch.setattr(neardup, "SIEVE_BITS", bits)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        rows = [(i, f"text {i // 2 if i < 600 else i} of these documents", "x") for i in range(900)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, _maybe string")
+        kept = neardup.deduplicate(df)
+        assert kept.columns == df.columns
+        assert sorted(r.doc_id for r in kept.collect()) == sorted({*range(0, 600, 2), *range(600, 900)})
+        if bits > 1 << 9:
+            assert "SortMergeJoin" not in kept._jdf.queryExecution().sparkPlan().toString()
+        gone = df.where("doc_id < 600 and doc_id % 2 = 1").select("doc_id")
+        hit = neardup._marked(df.select("doc_id"), "doc_id", gone, 300).where("_maybe")
+        assert hit.join(gone, "doc_id", "left_semi").count() == 300
+        assert (hit.count() > 400) == (bits == 1 << 9)
+        numbered = df.withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")))
+        assert sorted(r.doc_id or 0 for r in neardup.deduplicate(numbered).collect()) == sorted([*range(0, 600, 2)] + [i if i % 2 == 0 else 0 for i in range(600, 900)])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
