@@ -64,3 +64,28 @@ def test_functions_read_every_row(spark, name, of, key):
 def test_text_bound_is_gone():
     """sf0.001 has no part beyond the bound."""
     assert "p_partkey <" not in ORACLE["fn_text_case"]
+
+
+@pytest.mark.parametrize("op", ["<", "<=", ">", ">="])
+def test_counts_by_order_make_no_pairs(spark, op):
+    """NULLs, values of one side only, either order of the sides, and values in several ranges."""
+    import operator
+
+    from tessera.database import Database
+
+    test = {"<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}[op]
+    db = Database.over(spark, FOLDER, [])
+    x, y = [None if i % 11 == 0 else i * 7 % 401 for i in range(600)], [None if i % 13 == 0 else i * 5 % 307 - 20 for i in range(500)]
+    spark.createDataFrame([(v,) for v in x], "x int").createOrReplaceTempView("order_left")
+    spark.createDataFrame([(v,) for v in y], "y int").createOrReplaceTempView("order_right")
+    want = sum(test(v, w) for v in x if v is not None for w in y if w is not None)
+    text = f"select count(*) as n from order_left join order_right on x {op} y"
+    assert [tuple(r) for r in db.query(text).collect()] == [(want,)]
+    assert [tuple(r) for r in db.query(f"select count(*) as n from order_right b, order_left a where a.x {op} b.y").collect()] == [(want,)]
+    assert [tuple(r) for r in db.query(text.replace("order_left", "(select x from order_left where x < 0) l")).collect()] == [(0,)]
+    assert "NestedLoop" not in db.query(text)._jdf.queryExecution().toString()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert [tuple(r) for r in db.query(text).collect()] == [(want,)]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
