@@ -68,6 +68,8 @@ class Database:
         self.settings: dict[str, str] = {"datestyle": "ISO, MDY", "timezone": "UTC", "search_path": '"$user", public'}
         self.special: set[str] = set()  # tables and views with a column of a type that Spark lacks
         self._saved: dict | None = None
+        # compiled, a full join holds all rows of a key before it hands on the first
+        spark.conf.set("spark.sql.codegen.join.fullOuterSortMergeJoin.enabled", "false")
         udfs.register(spark)
 
     @classmethod

@@ -42,7 +42,7 @@ def union(arms: list[DataFrame], distinct: bool = False) -> DataFrame:
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:

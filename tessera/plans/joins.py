@@ -58,3 +58,51 @@ def count_by_order(em, b: dict, outer, with_text: str) -> str | None:
     totals = f"SELECT p, sum(a) AS a, sum(b) AS b, sum(n) AS n FROM ({within}) GROUP BY p"
     n = f"SELECT n + b * coalesce(sum(a) OVER (ORDER BY p {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L) AS n FROM ({totals})"
     return f"SELECT {', '.join(f'coalesce(sum(n), 0L) AS {ident(name or em.default_name(e))}' for e, name in b['items'])} FROM ({n})"
+
+
+def _rowwise(e, em) -> bool:
+    """Whether an expression is one row's own: no aggregate, window, set or subquery."""
+    from . import calls
+
+    if isinstance(e, dict):
+        return "kind" not in e and all(_rowwise(x, em) for x in e.values())
+    if isinstance(e, (tuple, list)):
+        if len(e) == 4 and e[0] == "call" and (e[1] in calls.AGGREGATES or e[1] in em.SRF or e[3] or e[1] in ("nextval", "random", "gen_random_uuid")):
+            return False
+        return all(_rowwise(x, em) for x in e)
+    return True
+
+
+def full(em, b: dict, outer, with_text: str) -> str | None:
+    """A full join as an outer join, whose rows stream however many a key has, and the other side's rows without a
+    partner. Spark's own full join holds all pairs of a key in memory (or runs one thread a key). The larger side
+    is dealt out anew where the smaller one can be broadcast."""
+    sources = b["from"]
+    if outer or len(sources) != 1 or sources[0][0] != "join" or sources[0][1] != "full" or any(b[k] for k in ("distinct", "group", "having", "on", "windows")):
+        return None
+    _, _, left, right, on = sources[0]
+    if not on or on[0] != "on" or any(s[0] not in ("table", "sub") or (s[0] == "sub" and (s[4] or not s[2])) for s in (left, right)):
+        return None
+    if any(e[0] == "star" for e, _ in b["items"]) or not _rowwise([e for e, _ in b["items"]], em) or not (_rowwise(on[1], em) and _rowwise(b["where"], em)):
+        return None
+    from ..operators.relational import estimated_bytes
+    from .dialect import Scope, ident
+
+    texts = [em.source(s, None, with_text) for s in (left, right)]
+    names = [ident(s[2] or s[1]) for s in (left, right)]
+    scope = Scope(with_text, f"{texts[0]} CROSS JOIN {texts[1]}", None)
+    test, where = em.expr(on[1], scope), em.expr(b["where"], scope) if b["where"] else None
+    items = ", ".join(f"{em.expr(e, scope, top=True)} AS {ident(alias or em.default_name(e))}" for e, alias in b["items"])
+    sizes = [estimated_bytes(em.spark.sql(f"{with_text} SELECT * FROM {t}")) for t in texts]
+    kept = 0 if sizes[0] >= sizes[1] else 1
+    conf = em.spark._jsparkSession.sessionState().conf()
+    sides = list(texts)
+    if sizes[1 - kept] <= conf.autoBroadcastJoinThreshold():
+        n = min(conf.numShufflePartitions(), 4 * em.spark.sparkContext.defaultParallelism)
+        sides[kept] = f"(SELECT /*+ REPARTITION({n}) */ * FROM {texts[kept]}) AS {names[kept]}"
+    none = [f"(SELECT * FROM {t} WHERE FALSE) AS {n}" for t, n in zip(texts, names, strict=True)]
+    word, back = ("LEFT", "RIGHT") if kept == 0 else ("RIGHT", "LEFT")
+    alone = f"{none[0]} {back} JOIN {texts[1]} ON TRUE" if kept == 0 else f"{texts[0]} {back} JOIN {none[1]} ON TRUE"
+    also = f" AND ({where})" if where else ""
+    pairs = f"SELECT {items} FROM {sides[0]} {word} JOIN {sides[1]} ON {test}" + (f" WHERE {where}" if where else "")
+    return f"{pairs} UNION ALL SELECT {items} FROM {alone} WHERE NOT EXISTS (SELECT 1 FROM {texts[kept]} WHERE {test}){also}"
