@@ -76,10 +76,11 @@ def as_of(left: DataFrame, right: DataFrame, on: str, by: list[str], right_on: s
 def salted_join(left: DataFrame, right: DataFrame, key: str, salts: int = 16) -> DataFrame:
     """An inner join whose hot left keys are dealt over `salts` partitions; the right side is copied that
     many times, so use it where the right side is small next to the left. Rows are dealt by their number, so
-    equal rows of a hot key part too and columns may be of any type."""
+    equal rows of a hot key part too and columns may be of any type. Only the right side's share of a partition
+    is held: its copies are never broadcast, as Spark would have it by the size before copying, nor is the left sorted."""
     l = left.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
     r = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return l.join(r, [key, "_salt"]).drop("_salt")
+    return l.join(r.hint("shuffle_hash"), [key, "_salt"]).drop("_salt")
 
 
 def generate_series(spark, start: int, stop: int, step: int = 1) -> DataFrame:

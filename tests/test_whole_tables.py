@@ -111,3 +111,14 @@ def test_full_join_streams_its_pairs(spark, text):
     got = db.query(text)
     assert sorted(map(tuple, got.collect()), key=str) == sorted(con.execute(text).fetchall(), key=str)
     assert "FullOuter" not in got._jdf.queryExecution().toString()
+
+
+def test_salted_join_does_not_broadcast_its_copies(spark):
+    from tessera.operators import relational as rel
+
+    left = spark.range(2000).selectExpr("if(id % 2 = 0, 7, id % 50) as k", "id as v")
+    right = spark.range(60).selectExpr("id as k", "id * 3 as w").unionAll(spark.range(5).selectExpr("7L as k", "-1L as w"))
+    got = rel.salted_join(left, right, "k", 4)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" not in plan
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, left.join(right, "k").collect()))
