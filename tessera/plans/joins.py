@@ -1,4 +1,4 @@
-"""Joins whose pairs are more than the rows that decide about them."""
+"""Joins whose pairs are more than the rows that decide about them, and rows that cost more than their bytes."""
 
 from __future__ import annotations
 
@@ -73,6 +73,29 @@ def _rowwise(e, em) -> bool:
     return True
 
 
+#: Spark makes no part of a file smaller than this (spark.sql.files.openCostInBytes), so smaller tables keep few cores busy.
+LEAST_PART = 4 << 20
+
+
+def dealt_out(em, b: dict, from_text: str, with_text: str, items: str) -> str:
+    """The FROM clause of one table, its rows dealt out over the cores where Python or functions over arrays work on
+    each and the table is too small to be read in as many parts."""
+    if len(b["from"]) != 1 or b["from"][0][0] != "table" or not ("tessera_" in items or " -> " in items):
+        return from_text
+    from ..operators.relational import estimated_bytes
+    from .dialect import ident
+
+    n = _parts(em)
+    size = estimated_bytes(em.spark.sql(f"{with_text} SELECT * FROM {from_text}"))
+    if n < 2 or size >= n * LEAST_PART:
+        return from_text
+    return f"(SELECT /*+ REPARTITION({n}) */ * FROM {from_text}) AS {ident(b['from'][0][2] or b['from'][0][1])}"
+
+
+def _parts(em) -> int:
+    return min(em.spark._jsparkSession.sessionState().conf().numShufflePartitions(), 4 * em.spark.sparkContext.defaultParallelism)
+
+
 def full(em, b: dict, outer, with_text: str) -> str | None:
     """A full join as an outer join, whose rows stream however many a key has, and the other side's rows without a
     partner. Spark's own full join holds all pairs of a key in memory (or runs one thread a key). The larger side
@@ -98,8 +121,7 @@ def full(em, b: dict, outer, with_text: str) -> str | None:
     conf = em.spark._jsparkSession.sessionState().conf()
     sides = list(texts)
     if sizes[1 - kept] <= conf.autoBroadcastJoinThreshold():
-        n = min(conf.numShufflePartitions(), 4 * em.spark.sparkContext.defaultParallelism)
-        sides[kept] = f"(SELECT /*+ REPARTITION({n}) */ * FROM {texts[kept]}) AS {names[kept]}"
+        sides[kept] = f"(SELECT /*+ REPARTITION({_parts(em)}) */ * FROM {texts[kept]}) AS {names[kept]}"
     none = [f"(SELECT * FROM {t} WHERE FALSE) AS {n}" for t, n in zip(texts, names, strict=True)]
     word, back = ("LEFT", "RIGHT") if kept == 0 else ("RIGHT", "LEFT")
     alone = f"{none[0]} {back} JOIN {texts[1]} ON TRUE" if kept == 0 else f"{texts[0]} {back} JOIN {none[1]} ON TRUE"

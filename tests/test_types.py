@@ -119,3 +119,36 @@ def test_catalog_rows(db):
     assert one(db, "select message, sql_error_code from pg_input_error_info('abc', 'integer') e") == ('invalid input syntax for type integer: "abc"', "22P02")
     assert one(db, "select message from pg_input_error_info('12', 'integer') e") == (None,)
     assert one(db, "select name from pg_available_extensions() e") == ("plpgsql",)
+
+
+def test_ipv4_addresses_need_no_objects(monkeypatch):
+    """The short way for IPv4 says what ipaddress says, edges and errors too."""
+    from tessera.functions import udfs, values
+
+    texts = ["0.0.0.0", "255.255.255.255", "10.0.0.0/8", "10.1.2.3/0", "1.2.3.4/31", "10.0.0.1", "01.2.3.4", "::1", "fe80::1/64"]
+
+    def said(f, *args):
+        try:
+            return f(*args)
+        except ValueError as e:
+            return type(e), str(e)
+
+    def all_of_them():
+        one = [said(udfs.inet, w, x) for x in texts for w in ("host", "network", "text", "abbrev", "netmask")]
+        one += [said(f, x) for x in texts for f in (values.inet_key, values.abbreviated)] + [said(udfs.inet_set, x, n, k) for x in texts for n in (-1, 0, 24, 32, 33) for k in (True, False)]
+        one += [said(udfs.inet_op, op, x, n) for x in texts for op in "+-" for n in ("1", "-1", "300", "x")]
+        return one + [said(udfs.inet_op, op, x, y) for x in texts for y in texts for op in ("<<", "<<=", ">>", ">>=", "&&", "&", "|", "-")]
+
+    assert values.v4("10.1.2.3/8") == (0x0A010203, 8) and values.v4("01.2.3.4") is None and values.v4("1.2.3.4/33") is None
+    short = all_of_them()
+    monkeypatch.setattr(values, "v4", lambda text: None)
+    assert short == all_of_them()
+
+
+@pytest.mark.parametrize("name", ["type_inet", "geo_sql_segments", "geo_sql_polygons"])
+def test_costly_rows_are_dealt_out(spark, name):
+    """A small table is one part; its rows are not one task's where each costs much."""
+    from tessera import queries as registered
+
+    got = registered.queries()[name](spark, "/root/testdata/sf0.001")
+    assert got.rdd.getNumPartitions() > 1
