@@ -195,8 +195,12 @@ def lseg_intersects(s, t):
 
 
 def lseg_distance(s, t):
-    ends = LEAST(point_lseg_distance(s["a"], t), point_lseg_distance(s["b"], t), point_lseg_distance(t["a"], s), point_lseg_distance(t["b"], s))
-    return F.when(lseg_intersects(s, t), 0.0).otherwise(ends)
+    return F.when(lseg_intersects(s, t), 0.0).otherwise(_apart(s, t))
+
+
+def _apart(s, t):
+    """The distance of segments that do not meet: that of an end to the other."""
+    return LEAST(point_lseg_distance(s["a"], t), point_lseg_distance(s["b"], t), point_lseg_distance(t["a"], s), point_lseg_distance(t["b"], s))
 
 
 # lines
@@ -507,7 +511,7 @@ def polygon_distance(g, h):
 
 
 def _polygon_distance(g, h):
-    pairs = F.flatten(F.transform(edges(g), lambda e: F.transform(edges(h), lambda f: lseg_distance(e, f))))
+    pairs = F.flatten(F.transform(edges(g), lambda e: F.transform(edges(h), lambda f: _apart(e, f))))
     return F.when(polygon_overlaps(g, h), 0.0).otherwise(F.array_min(pairs))
 
 
@@ -611,7 +615,7 @@ def lseg_meets_box(s, b):
 
 
 def lseg_box_distance(s, b):
-    return F.when(lseg_meets_box(s, b), 0.0).otherwise(F.array_min(F.transform(box_edges(b), lambda e: lseg_distance(s, e))))
+    return F.when(lseg_meets_box(s, b), 0.0).otherwise(F.array_min(F.transform(box_edges(b), lambda e: _apart(s, e))))
 
 
 def closest_on_box_to_lseg(s, b):
